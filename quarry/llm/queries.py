@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm.shared import table
+from quarry.llm import language_id
+from quarry.llm.embedding_dedup import embedding_groups
+from quarry.llm.shared import id_remainder, table
 from quarry.llm.simhash_dedup import simhash_groups
 
 
@@ -14,8 +17,23 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = id_remainder(F.col("doc_id"), 4)
+    profiles = language_id.learn(docs.where(remainder != 2))
+    answer = language_id.predicted(F.col("text"), profiles)
+    return docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), answer.alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup}
+    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ from quarry.llm.shared import checkpointed
 
 #: Distinct vectors of a tile, about.
 TILE = 4096
-#: Rows of a tile multiplied at once, and pairs recomputed at once.
+#: Rows of two tiles multiplied at once, and pairs recomputed at once.
 ROWS, PAIRS = 512, 1 << 14
 #: Covers what double and single precision lose in bounds and products.
 SLACK = 1e-6
@@ -58,15 +58,18 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Tile:
+    """Rows in order of their scales, so that the rows of a block have nearly the same."""
+
     def __init__(self, rows: pd.DataFrame, kind: str) -> None:
-        self.ids, self.weight = rows["id"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
         full = np.frombuffer(b"".join(rows["full"]), kind).reshape(len(rows), -1).astype(np.float64)
-        largest = np.abs(full).max(axis=1)[:, None]  # first, so that squares neither overflow nor vanish
-        self.unit = full / largest
-        self.unit /= np.linalg.norm(self.unit, axis=1)[:, None]
-        values, self.scale, self.error = quantised(self.unit)
+        full /= np.abs(full).max(axis=1)[:, None]  # first, so that squares neither overflow nor vanish
+        full /= np.linalg.norm(full, axis=1)[:, None]
+        values, scale, error = quantised(full)
+        order = np.argsort(scale, kind="stable")
+        self.unit, self.scale, self.error = full[order], scale[order], error[order]
         # products of int8 values are exact in single precision up to 1040 components, in double far beyond
-        self.values = values.astype(np.float32 if full.shape[1] <= 1040 else np.float64)
+        self.values = values[order].astype(np.float32 if full.shape[1] <= 1040 else np.float64)
+        self.ids, self.weight = rows["id"].to_numpy(np.int64)[order], rows["copies"].to_numpy(np.int64)[order]
 
 
 def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -87,19 +90,21 @@ def tile_links(a: _Tile, b: _Tile | None, threshold: float) -> tuple[np.ndarray,
     shift = 0 if b is None else len(a.ids)
     ids, weight = (a.ids, a.weight) if b is None else (np.concatenate([a.ids, b.ids]), np.concatenate([a.weight, b.weight]))
     root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-    widest = other.error.max()
-    for start in range(0, len(a.ids), ROWS):
-        stop = min(start + ROWS, len(a.ids))
-        low = start if b is None else 0
-        product = a.values[start:stop] @ other.values[low:].T
-        product *= a.scale[start:stop, None].astype(product.dtype)
-        product *= other.scale[None, low:].astype(product.dtype)
-        error = a.error[start:stop]
-        i, j = np.nonzero(product >= (threshold - SLACK - (error + widest + error * widest))[:, None])
-        near = product[i, j] + error[i] + other.error[low + j] * (1 + error[i]) + SLACK >= threshold
-        i, j = i[near] + start, j[near] + low
+    starts = [(x, y) for x in range(0, len(a.ids), ROWS) for y in range(0, len(other.ids), ROWS) if b is not None or x <= y]
+    for x, y in starts:
+        left, right = slice(x, x + ROWS), slice(y, y + ROWS)
+        product = a.values[left] @ other.values[right].T
+        error, across = a.error[left], other.error[right]
+        widest = error.max() + across.max() + error.max() * across.max() + SLACK
+        largest = a.scale[left].max() * other.scale[right].max()
+        least = (threshold - widest) / largest if threshold > widest else -np.inf
+        i, j = np.divmod(np.flatnonzero(product >= least), product.shape[1])
+        i, j, close = i + x, j + y, product[i, j]
+        bound = a.error[i] + other.error[j] + a.error[i] * other.error[j] + SLACK
+        near = close * a.scale[i] * other.scale[j] + bound >= threshold
         if b is None:
-            i, j = i[i < j], j[i < j]
+            near &= i < j
+        i, j = i[near], j[near]
         for at in range(0, len(i), PAIRS):
             p, q = i[at : at + PAIRS], j[at : at + PAIRS]
             linked = np.einsum("ij,ij->i", a.unit[p], other.unit[q]) >= threshold

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import language_id
 from quarry.llm.embedding_dedup import embedding_groups
+from quarry.llm.packing import Vocabulary, packed
 from quarry.llm.shared import id_remainder, table
 from quarry.llm.simhash_dedup import simhash_groups
 
@@ -31,8 +33,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fifty_thousand() -> Vocabulary:
+    """The vocabulary of byte_bpe_50k.json, whose ranks the other file holds; its one special string keeps its id."""
+    return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), fifty_thousand(), near="lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id]
+    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing]
     return {f.__name__: f for f in made}
 
 

@@ -13,6 +13,7 @@ from quarry.llm.embedding_dedup import embedding_groups
 from quarry.llm.packing import Vocabulary, packed
 from quarry.llm.shared import id_remainder, table
 from quarry.llm.simhash_dedup import simhash_groups
+from quarry.llm.url_rules import judged
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +43,37 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), fifty_thousand(), near="lang")
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged(table(spark, sf_dir, "pages"), rules)
+
+
+OP5_SQL = rf"""
+WITH rules(h, p, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+urls AS (
+    SELECT page_id,
+        coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+),
+fits AS (
+    SELECT u.host, u.path, max({{'n': length(h || p), 'm': length(h), 'rule': h || p, 'verdict': v}}) AS best
+    FROM (SELECT DISTINCT host, path FROM urls) u JOIN rules ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
+    GROUP BY ALL
+)
+SELECT page_id, u.host, u.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM urls u LEFT JOIN fits f ON u.host = f.host AND u.path = f.path
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing]
+    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_rules": OP5_SQL}

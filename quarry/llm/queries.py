@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id
+from quarry.llm import language_id, personal_data, quality_classifier
 from quarry.llm.embedding_dedup import embedding_groups
 from quarry.llm.packing import Vocabulary, packed
 from quarry.llm.shared import id_remainder, table
@@ -70,8 +70,26 @@ FROM urls u LEFT JOIN fits f ON u.host = f.host AND u.path = f.path
 """
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.found(F.col("text"), personal_data.learn(docs))
+    return docs.select("doc_id", found.alias("f")).select(
+        "doc_id", "f.n_email", "f.n_ip", "f.n_card", "f.n_phone", F.sha2("f.base", 256).alias("base_sha256"), "f.spans"
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = id_remainder(F.col("doc_id"), 3)
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels").where(remainder != 1))
+    score = quality_classifier.score(F.col("text"), model)
+    return docs.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules]
+    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules, op6_personal_data, op10_quality_classifier]
     return {f.__name__: f for f in made}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import language_id, personal_data, quality_classifier
 from quarry.llm.embedding_dedup import embedding_groups
+from quarry.llm.line_dedup import CUTS, without_repeated_chunks
 from quarry.llm.packing import Vocabulary, packed
 from quarry.llm.shared import id_remainder, table
 from quarry.llm.simhash_dedup import simhash_groups
@@ -78,6 +79,41 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_chunks(docs)
+
+
+OP9_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM documents WHERE text IS NOT NULL
+),
+hashed AS (
+    SELECT *, md5(coalesce(lag(md5(line)) OVER d, '') || md5(line)) AS rolled, lead(i) OVER d IS NULL AS ends
+    FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
+numbered AS (
+    SELECT *, coalesce(sum((ends OR contains('{CUTS}', right(rolled, 1)))::int) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+    FROM hashed
+),
+chunks AS (
+    SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY ALL
+),
+judged AS (
+    SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks
+)
+SELECT d.doc_id,
+    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') END AS text,
+    coalesce(sum(n), 0)::bigint AS n_lines,
+    coalesce(sum(n) FILTER (gone), 0)::bigint AS n_removed_lines,
+    count(*) FILTER (gone) AS n_removed_chunks
+FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id
+GROUP BY d.doc_id, d.text
+"""
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     remainder = id_remainder(F.col("doc_id"), 3)
@@ -89,9 +125,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules, op6_personal_data, op10_quality_classifier]
+    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules, op6_personal_data, op9_line_dedup, op10_quality_classifier]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": OP5_SQL}
+    return {"op5_url_rules": OP5_SQL, "op9_line_dedup": OP9_SQL}

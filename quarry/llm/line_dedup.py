@@ -88,16 +88,18 @@ def _dropped(rows: DataFrame, window: int) -> DataFrame:
     return gone.groupBy("id", "mark").agg(F.array_sort(F.collect_list("k")).alias("gone"))
 
 
-def without_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``text`` cut, and the columns ``n_lines``, ``n_removed_lines`` and ``n_removed_chunks`` of type long."""
+_COUNTED = ("n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def _cut(docs: DataFrame, text: str, key: str, window: int) -> DataFrame:
+    """Each row of ``docs`` as ``row``, what is ``left`` of its text, and the counts."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     dropped = _dropped(rows.select("id", "text", "mark"), window).alias("d")
     r = rows.alias("r")
     joined = r.join(dropped, F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.mark") == F.col("d.mark")), "left")
     chunks = F.when(F.col("gone").isNotNull(), _chunks(F.col("text"), window))
-    cut = joined.select("row", "text", "gone", chunks.alias("chunks")).select(
+    return joined.select("row", "text", "gone", chunks.alias("chunks")).select(
         "row",
-        "text",
         F.when(F.col("gone").isNull(), F.col("text"))
         .otherwise(_joined(F.flatten(F.filter("chunks", lambda _, k: ~F.array_contains("gone", k)))))
         .alias("left"),
@@ -105,5 +107,18 @@ def without_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc
         F.coalesce(F.expr("aggregate(gone, 0L, (s, k) -> s + size(chunks[k]))"), F.lit(0)).cast("long").alias("n_removed_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
     )
-    names = [F.col("left").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return cut.select(*names, "n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def _fields(docs: DataFrame, text: str) -> list[Column]:
+    return [F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def without_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``text`` cut, and ``n_lines``, ``n_removed_lines`` and ``n_removed_chunks`` (long), which replace columns of these names."""
+    counts = ("n_lines", "n_removed_lines", "n_removed_chunks")
+    return _cut(docs, text, key, window).select(*(f for f, c in zip(_fields(docs, text), docs.columns, strict=True) if c not in counts), *counts)
+
+
+def shortened(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``text`` cut, less the rows of whose text nothing is left; the columns are those of ``docs``."""
+    return _cut(docs, text, key, window).where("left is null or left <> '' or n_removed_lines = 0").select(*_fields(docs, text))

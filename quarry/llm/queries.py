@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, language_id, personal_data, quality_classifier
+from quarry.llm import byte_bpe, language_id, personal_data, quality_classifier, quality_rules
 from quarry.llm.embedding_dedup import embedding_groups
 from quarry.llm.line_dedup import CUTS, without_repeated_chunks
 from quarry.llm.packing import Vocabulary, packed
@@ -79,6 +79,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -130,7 +134,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules, op6_personal_data, op8_byte_bpe, op9_line_dedup, op10_quality_classifier]
+    made = [op1_simhash_dedup, op2_embedding_dedup, op3_language_id, op4_packing, op5_url_rules, op6_personal_data, op7_quality_rules, op8_byte_bpe, op9_line_dedup, op10_quality_classifier]
     return {f.__name__: f for f in made}
 
 

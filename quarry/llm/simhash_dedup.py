@@ -118,24 +118,27 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = 3, large: int = LAR
     return pairs.union(_links_in_large(live.where(F.col("members") > large), masks, radius))
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
-    """One row per row of ``docs``: the id, ``fingerprint`` (hex), ``component_id`` and ``fp`` (the signed integer)."""
-    rows = checkpointed(docs.select(F.col(key).alias("id"), fingerprint_column(F.col(text), words).alias("fp")))
+def _labelled(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (``id``, ``fp``) with ``root``, the least fingerprint of the component, and ``component_id``, the least id."""
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(fingerprint_links(classes.select("fp"), radius), "a", "b")
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select(
-        F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
-    )
+    return rows.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 6) -> DataFrame:
-    """``docs`` without near copies: of each component the rows with the smallest id stay, one row of equal ids.
+def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
+    """One row per row of ``docs``: the id, ``fingerprint`` (16 hex digits) and ``component_id``."""
+    rows = checkpointed(docs.select(F.col(key).alias("id"), fingerprint_column(F.col(text), words).alias("fp")))
+    return _labelled(rows, radius).select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    Rows whose id is null stay, as nothing says which of them is which.
-    """
-    groups = simhash_groups(docs, text, key, words, radius)
-    kept = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.where(F.col(key).isNotNull()).dropDuplicates([key]).join(kept, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+
+def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 6) -> DataFrame:
+    """``docs`` without near copies: of each component one row stays, that with the smallest id (a null id comes last)."""
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), fingerprint_column(F.col(text), words).alias("fp"))
+    rows = checkpointed(marked.select("id", "fp"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("first")
+    kept = checkpointed(_labelled(rows, radius).groupBy("root").agg(first).select("first.id", "first.fp"))
+    m, k = marked.alias("m"), kept.alias("k")
+    same = (F.col("m.fp") == F.col("k.fp")) & F.col("m.id").eqNullSafe(F.col("k.id"))
+    return m.join(k, same, "left_semi").dropDuplicates(["id", "fp"]).select("row.*")

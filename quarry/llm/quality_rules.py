@@ -39,6 +39,7 @@ _X = [f"x{i}" for i in range(_DIMENSIONS)]
 _M = [f"m{i}" for i in range(_DIMENSIONS)]
 _W = {(i, j): f"w{i}_{j}" for i in range(_DIMENSIONS) for j in range(i + 1)}
 _STATE = [*_M, *_W.values()]
+_SUMS = [*(f"s{i}" for i in range(_DIMENSIONS)), *(f"p{i}_{j}" for i, j in _W)]
 
 
 def transformed(s: dict[str, int], text: str) -> list[float]:
@@ -93,17 +94,16 @@ def _start(quartiles: pd.DataFrame) -> pd.DataFrame:
 
 def _step(classes: pd.DataFrame) -> pd.DataFrame:
     """The next estimate from a group's sums by class of distance; ``median`` belongs to the estimate before."""
-    classes = classes.sort_values("class")
-    upto = classes["n"].cumsum().to_numpy()
-    total = upto[-1]
-    near = classes.iloc[: int(np.searchsorted(upto, SHARE * total)) + 1]
-    n = near["n"].sum()
-    mean = near[[f"s{i}" for i in range(_DIMENSIONS)]].sum().to_numpy() / n
+    order = np.argsort(classes["class"].to_numpy())
+    n, sums, middles = classes["n"].to_numpy()[order], classes[_SUMS].to_numpy()[order], classes["class"].to_numpy()[order]
+    upto = np.cumsum(n)
+    near = int(np.searchsorted(upto, SHARE * upto[-1])) + 1
+    mean, *products = np.split(sums[:near].sum(axis=0) / n[:near].sum(), [_DIMENSIONS])
     covariance = np.zeros((_DIMENSIONS, _DIMENSIONS))
-    for i, j in _W:
-        covariance[i, j] = covariance[j, i] = near[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
-    middle = classes["class"].iloc[int(np.searchsorted(upto, total / 2))]
-    row = [classes["g"].iloc[0], total, 2.0 ** ((middle + 0.5) / CLASSES), *_state(mean, covariance)]
+    for (i, j), product in zip(_W, products[0], strict=True):
+        covariance[i, j] = covariance[j, i] = product - mean[i] * mean[j]
+    middle = middles[int(np.searchsorted(upto, upto[-1] / 2))]
+    row = [classes["g"].iloc[0], upto[-1], 2.0 ** ((middle + 0.5) / CLASSES), *_state(mean, covariance)]
     return pd.DataFrame([row], columns=["g", "n", "median", *_STATE])
 
 
@@ -113,8 +113,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     each = rows.select(F.explode("groups").alias("g"), *_X)
     quartiles = each.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(x) for x in _X))
     state = checkpointed(quartiles.groupBy("g").applyInPandas(_start, form))
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)]
-    sums += [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}_{j}") for i, j in _W]
+    terms = [*map(F.col, _X), *(F.col(_X[i]) * F.col(_X[j]) for i, j in _W)]
+    sums = [F.sum(t).alias(name) for t, name in zip(terms, _SUMS, strict=True)]
     for step in range(STEPS + 1):
         distance = each.join(state.select("g", *_STATE), "g").withColumn(
             "class", F.floor(CLASSES * F.log2(_square(_X, _M, _W) + 1e-9)).cast("int")

@@ -36,10 +36,9 @@ CLASSES = 16
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _DIMENSIONS = 7
 _X = [f"x{i}" for i in range(_DIMENSIONS)]
-_M = [f"m{i}" for i in range(_DIMENSIONS)]
-_W = {(i, j): f"w{i}_{j}" for i in range(_DIMENSIONS) for j in range(i + 1)}
-_STATE = [*_M, *_W.values()]
-_SUMS = [*(f"s{i}" for i in range(_DIMENSIONS)), *(f"p{i}_{j}" for i, j in _W)]
+_PAIRS = [(i, j) for i in range(_DIMENSIONS) for j in range(i + 1)]
+#: An estimate is an array of the mean and the lower triangle of the whitening matrix.
+_ESTIMATE = "g string, n long, median double, state array<double>"
 
 
 def transformed(s: dict[str, int], text: str) -> list[float]:
@@ -74,52 +73,50 @@ def measured(docs: DataFrame, text: str, key: str, lang: str, source: str) -> Da
     )
 
 
-def _square(x: list[str], m: list[str], w: dict[tuple[int, int], str]) -> Column:
-    """Squared Mahalanobis distance, as the length of the whitened difference."""
-    rows = [reduce(add, (F.col(w[i, j]) * (F.col(x[j]) - F.col(m[j])) for j in range(i + 1))) for i in range(_DIMENSIONS)]
+def _square() -> Column:
+    """Squared Mahalanobis distance of the vector under ``state``, as the length of the whitened difference."""
+    state = F.col("state")
+    at = {pair: _DIMENSIONS + k for k, pair in enumerate(_PAIRS)}
+    rows = [reduce(add, (state[at[i, j]] * (F.col(_X[j]) - state[j]) for j in range(i + 1))) for i in range(_DIMENSIONS)]
     return reduce(add, (r * r for r in rows))
 
 
 def _state(mean: np.ndarray, covariance: np.ndarray) -> list[float]:
     whitening = np.linalg.inv(np.linalg.cholesky(covariance + RIDGE * np.eye(_DIMENSIONS)))
-    return [*mean.tolist(), *(float(whitening[i, j]) for i, j in _W)]
+    return [*mean.tolist(), *(float(whitening[p]) for p in _PAIRS)]
 
 
-def _start(quartiles: pd.DataFrame) -> pd.DataFrame:
-    q = np.array([quartiles.iloc[0][x] for x in _X], float)
-    spread = (q[:, 2] - q[:, 0]) / 1.349
-    row = [quartiles["g"].iloc[0], quartiles["n"].iloc[0], 0.0, *_state(q[:, 1], np.diag(spread**2))]
-    return pd.DataFrame([row], columns=["g", "n", "median", *_STATE])
+def _start(group: pd.DataFrame) -> pd.DataFrame:
+    q = np.array(group["quartiles"].iloc[0].tolist(), float)
+    state = _state(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
+    return pd.DataFrame({"g": group["g"], "n": group["n"], "median": 0.0, "state": [state]})
 
 
 def _step(classes: pd.DataFrame) -> pd.DataFrame:
     """The next estimate from a group's sums by class of distance; ``median`` belongs to the estimate before."""
     order = np.argsort(classes["class"].to_numpy())
-    n, sums, middles = classes["n"].to_numpy()[order], classes[_SUMS].to_numpy()[order], classes["class"].to_numpy()[order]
+    n, sums, middles = classes["n"].to_numpy()[order], np.stack(classes["sums"].tolist())[order], classes["class"].to_numpy()[order]
     upto = np.cumsum(n)
     near = int(np.searchsorted(upto, SHARE * upto[-1])) + 1
-    mean, *products = np.split(sums[:near].sum(axis=0) / n[:near].sum(), [_DIMENSIONS])
+    mean, products = np.split(sums[:near].sum(axis=0) / n[:near].sum(), [_DIMENSIONS])
     covariance = np.zeros((_DIMENSIONS, _DIMENSIONS))
-    for (i, j), product in zip(_W, products[0], strict=True):
+    for (i, j), product in zip(_PAIRS, products, strict=True):
         covariance[i, j] = covariance[j, i] = product - mean[i] * mean[j]
     middle = middles[int(np.searchsorted(upto, upto[-1] / 2))]
-    row = [classes["g"].iloc[0], upto[-1], 2.0 ** ((middle + 0.5) / CLASSES), *_state(mean, covariance)]
-    return pd.DataFrame([row], columns=["g", "n", "median", *_STATE])
+    return pd.DataFrame({"g": classes["g"].iloc[:1], "n": upto[-1], "median": 2.0 ** ((middle + 0.5) / CLASSES), "state": [_state(mean, covariance)]})
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """One row for each group of ``rows`` (columns ``groups`` and the vector): ``n``, ``median`` (of squares), estimate."""
-    form = "g string, n long, median double, " + ", ".join(f"{s} double" for s in _STATE)
+    """One row for each group of ``rows`` (columns ``groups`` and the vector): ``n``, ``median`` (of squares), ``state``."""
     each = rows.select(F.explode("groups").alias("g"), *_X)
-    quartiles = each.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(x) for x in _X))
-    state = checkpointed(quartiles.groupBy("g").applyInPandas(_start, form))
-    terms = [*map(F.col, _X), *(F.col(_X[i]) * F.col(_X[j]) for i, j in _W)]
-    sums = [F.sum(t).alias(name) for t, name in zip(terms, _SUMS, strict=True)]
+    quartiles = F.array(*(F.percentile_approx(x, [0.25, 0.5, 0.75]) for x in _X))
+    first = each.groupBy("g").agg(F.count("*").alias("n"), quartiles.alias("quartiles"))
+    state = checkpointed(first.groupBy("g").applyInPandas(_start, _ESTIMATE))
+    terms = [*map(F.col, _X), *(F.col(_X[i]) * F.col(_X[j]) for i, j in _PAIRS)]
     for step in range(STEPS + 1):
-        distance = each.join(state.select("g", *_STATE), "g").withColumn(
-            "class", F.floor(CLASSES * F.log2(_square(_X, _M, _W) + 1e-9)).cast("int")
-        )
-        after = checkpointed(distance.groupBy("g", "class").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(_step, form))
+        distance = each.join(state.select("g", "state"), "g").withColumn("class", F.floor(CLASSES * F.log2(_square() + 1e-9)).cast("int"))
+        classes = distance.groupBy("g", "class").agg(F.count("*").alias("n"), F.array(*map(F.sum, terms)).alias("sums"))
+        after = checkpointed(classes.groupBy("g").applyInPandas(_step, _ESTIMATE))
         if step < STEPS:
             state = after
     return state.drop("median").join(after.select("g", "median"), "g")  # the last step only gives the median
@@ -132,11 +129,10 @@ def judged(
     rows = checkpointed(measured(docs, text, key, lang, source))
     models = checkpointed(estimates(rows.where("not base_failed")).where((F.col("n") >= least) | (F.col("g") == "all")))
     for level in range(3):
-        model = models.select(F.col("g").alias(f"g{level}"), F.struct("median", *_STATE).alias(f"model{level}"))
+        model = models.select(F.col("g").alias(f"g{level}"), F.struct("median", "state").alias(f"model{level}"))
         rows = rows.join(model, F.get("groups", F.lit(level)) == F.col(f"g{level}"), "left")
     rows = rows.select("id", *_COUNTS, "base_failed", *_X, F.coalesce(*(f"model{i}" for i in range(3))).alias("model"))
     rows = rows.select("id", *_COUNTS, "base_failed", *_X, "model.*")
-    distance = F.sqrt(_square(_X, _M, _W) / F.col("median"))
-    return rows.select("*", distance.alias("distance")).select(
-        F.col("id").alias(key), *_COUNTS, "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"), "distance"
-    )
+    distance = F.coalesce(F.sqrt(_square() / F.col("median")), F.lit(0.0))  # without any estimate: no outlier
+    kept = ~F.col("base_failed") & (F.col("distance") <= limit)
+    return rows.withColumn("distance", distance).select(F.col("id").alias(key), *_COUNTS, "base_failed", kept.alias("kept"), "distance")

@@ -47,9 +47,8 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = [], []
     for start in range(0, len(points), BLOCK):  # n-grams that start in the block
         part = points[start : start + BLOCK + 2].astype(np.int64)
-        first, last = part[:BLOCK], start + BLOCK >= len(points)
-        two = part[: len(part) - 1 if last else BLOCK]
-        three = part[: max(0, len(part) - 2) if last else BLOCK]
+        first = part[:BLOCK]
+        two, three = (part[: max(0, min(BLOCK, len(part) - n))] for n in (1, 2))
         grams = [first[first != 32], two << 21 | part[1 : len(two) + 1], three << 42 | part[1 : len(three) + 1] << 21 | part[2 : len(three) + 2]]
         c, n = np.unique(np.concatenate(grams), return_counts=True)
         codes.append(c)

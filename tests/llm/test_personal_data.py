@@ -1,0 +1,86 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quarry.llm import personal_data as P
+from quarry.llm import queries as Q
+
+
+def slow_spans(text):
+    found = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            found.append((m.start(), m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c not in " -"]
+        total = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d)))
+        if 12 <= len(d) <= 19 and total % 10 == 0:
+            found.append((m.start(), m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append((m.start(), m.end(), "phone"))
+    return sorted(found, key=lambda s: (s[0], P.ORDER[s[2]]))
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet="ab.@1234567890-+ (é_%", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    assert P.base_spans(text) == slow_spans(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "1.2.3.4", "300.1.1.1", "+1 (555) 555-1234", "x.y+z@a-b.co.uk", "a@b", "@", "é", " ", "4173893178530722", "1.2.3.4.5.6.7.8"]), max_size=8))
+def test_base_spans_of_realistic_pieces(pieces):
+    for glue in ("", " "):
+        assert P.base_spans(glue.join(pieces)) == slow_spans(glue.join(pieces))
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "+1(" * 100_000, "a@" * 150_000, "A1" * 100_000):
+        P.wide_spans(text, P.base_spans(text))
+
+
+def test_secrets_are_learned_and_plain_words_left_alone():
+    texts = [f"some words password={hashlib.md5(bytes([i])).hexdigest()[:18]} and more" for i in range(100, 160)] + [f"see AKIA{i:02d}XB4CDE7FGHJKLM now" for i in range(50)]
+    texts += [f"the checksum md5 of build-{i}-release-candidate is fine" for i in range(40)]
+    cells = {}
+    for t in texts:
+        for s in P.wide_spans(t, P.base_spans(t)):
+            cell = (s[2], P.votes(t, s), P.shape(t, s))
+            cells[cell] = cells.get(cell, 0) + 1
+    model = P.estimate(sorted((*c, n) for c, n in cells.items()))
+    assert model.reliability.shape == (6, 2, 3) and abs(model.reliability.sum(axis=2) - 1).max() < 1e-9
+    for t in texts[:110]:
+        assert model.spans(t)  # a run of digits may be a card
+    assert P.redact(texts[0], model.spans(texts[0])) == "some words password=<secret> and more"
+    assert model.spans("Plain words, and twelve-letter-words too.") == []
+
+
+def test_base_spans_stay_and_no_spans_overlap_them(spark):
+    text = "mail x.y@example.com or +1 (415) 555-0100, card 4173893178530722, 10.0.0.1, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\""
+    rows = [(1, text), (2, None), (3, ""), (None, text), (1, text), (5, "words " * 100_000 + "a@b.co")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    model = P.learn(docs)
+    found = docs.select("doc_id", P.found(F.col("text"), model).alias("f")).collect()
+    for (_, t), r in zip(rows, found, strict=True):
+        base = P.as_text(slow_spans(t or ""))
+        assert r.f.base == base
+        assert (r.f.n_email, r.f.n_ip, r.f.n_card, r.f.n_phone) == tuple(base.count(k + ":") for k in P.BASE)
+        assert set(filter(None, base.split(","))) <= set(r.f.spans.split(","))
+    hidden = P.redacted(docs, model)
+    assert hidden.columns == docs.columns
+    texts = [r.text for r in hidden.collect()]
+    assert texts[1] is None and texts[2] == "" and texts[5].endswith("<email>")
+    assert not any(x in texts[0] for x in ("example.com", "555", "4173", "10.0.0.1", "0641917"))
+    assert P.learn(docs.limit(0)).spans("a@b.co") == [(0, 6, "email")]
+
+
+def test_query_digests(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = Q.op6_personal_data(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(docs)
+    for r in found:
+        assert r.base_sha256 == hashlib.sha256(P.as_text(slow_spans(docs[r.doc_id])).encode()).hexdigest()

@@ -12,7 +12,7 @@ def log_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 8
 
 def windowed_kpis(log: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts, refusals and mean latency by window and mode; rows later than ``late`` are dropped, state is bounded."""
-    rows = log.withWatermark("ts", late).groupBy(F.window("ts", window), "mode")
+    rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "mode")
     counted = rows.agg(F.count("*").alias("n"), F.sum("refused").cast("long").alias("refused"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"))
     return counted.select(F.col("window.start").alias("start"), "mode", "n", "refused", "mean_ms")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KS = (1, 3, 5, 10)
 
@@ -54,3 +55,29 @@ def upper_median(values: Column) -> Column:
 
 def p95(values: Column) -> Column:
     return nth(values, F.least(F.count(values) - 1, F.floor(F.count(values) * 0.95)).cast("int"))
+
+
+def overlap(a: DataFrame, b: DataFrame, n: int = 10) -> DataFrame:
+    """``query_id``, ``n_a``, ``shared``: how many of the first ``n`` of one ranking another has among its first ``n``."""
+    other = b.where(F.col("rk") <= n).select("query_id", "chunk_id", F.lit(1).alias("there"))
+    joined = a.where(F.col("rk") <= n).join(other, ["query_id", "chunk_id"], "left")
+    return joined.groupBy("query_id").agg(F.count("*").alias("n_a"), F.count("there").alias("shared"))
+
+
+def context_quality(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """``recall`` and ``precision`` (mean of the precision at each right rank) of retrieved contexts, by exact id."""
+    size = gold.groupBy("query_id").agg(F.count("*").alias("golds"))
+    right = ranked.join(gold.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
+    upto = Window.partitionBy("query_id").orderBy("rk")
+    right = right.withColumn("at", F.row_number().over(upto) / F.col("rk"))
+    found = right.groupBy("query_id").agg(F.count("*").alias("right"), F.avg("at").alias("precision"))
+    return size.join(found, "query_id", "left").select(
+        "query_id", (F.coalesce("right", F.lit(0)) / F.col("golds")).alias("recall"), F.coalesce("precision", F.lit(0.0)).alias("precision")
+    )
+
+
+def against(rows: DataFrame, by: str, full: str) -> DataFrame:
+    """Mean metrics by ``by`` with the difference of ``mrr`` to that of the value ``full``."""
+    means_ = means(rows, (by,))
+    whole = means_.where(F.col(by) == full).select(F.col("mrr").alias("whole"))
+    return means_.crossJoin(whole).select("*", F.round(F.col("mrr") - F.col("whole"), 6).alias("delta_mrr")).drop("whole")  # one row

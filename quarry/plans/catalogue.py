@@ -228,6 +228,45 @@ def eval_by_label(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.means(evaluation.judged(retrieve.semantic(asked, rows, 10), gold, asked))
 
 
+@query
+def variant_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How far BM25 and cover density agree on the first ten of each benchmark item."""
+    asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
+    return evaluation.overlap(retrieve.keyword(asked, chunks, 10), retrieve.cover_density(asked, chunks, 10))
+
+
+@query
+def context_quality(spark: SparkSession, d: str) -> DataFrame:
+    asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
+    found = evaluation.context_quality(retrieve.keyword(asked, chunks, 10), evaluation.gold_by_substring(asked, chunks))
+    return found.select("query_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+@query
+def ablation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Combinations of two retrievers on the benchmark, with the loss against both."""
+    asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
+    lists = fuse.together({"keyword": retrieve.keyword(asked, chunks), "fallback": retrieve.cover_density(asked, chunks)})
+    combos = fuse.combinations_fused(lists).where("combo in ('keyword', 'fallback', 'keyword+fallback')")
+    gold = evaluation.gold_by_substring(asked, chunks)
+    return evaluation.against(evaluation.judged(combos, gold, asked, ("combo",)), "combo", "keyword+fallback")
+
+
+@query
+def metrics_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal ranks of two kinds of items side by side."""
+    asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
+    rows = evaluation.judged(retrieve.keyword(asked, chunks, 10), evaluation.gold_by_substring(asked, chunks), asked)
+    kind = F.when(F.col("query_id") % 2 == 0, "auto").otherwise("manual")
+    return rows.withColumn("kind", kind).groupBy(F.lit("bm25").alias("mode")).pivot("kind", ["auto", "manual"]).agg(F.round(F.avg("rr"), 6))
+
+
+@query
+def table_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents")
+    return docs.agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("text")).alias("bytes"), F.countDistinct("lang", "source").alias("facets"))
+
+
 @query
 def make_auto_items(spark: SparkSession, d: str) -> DataFrame:
     """Thirty chunks with distinct titles, by hash, as evaluation items."""

@@ -211,6 +211,22 @@ in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(strin
     "eval_hit_recall_mrr": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), DENSITY, GOLD,
         f"lists AS (SELECT query_id, chunk_id, rk, 'bm25' AS mode FROM ({best('kw_scores', 10)}) UNION ALL SELECT query_id, chunk_id, rk, 'density' FROM ({best('density', 10)}))").rstrip() + ",\n" + metrics("lists", "q", "mode"),
     "eval_by_label": with_(VECTORS, COS, "gold AS (SELECT query_id, chunk_id FROM vq JOIN vectors USING (label))", f"lists AS ({best('knn', 10)})").rstrip() + ",\n" + metrics("lists", "vq"),
+    "variant_overlap": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), DENSITY, f"a AS ({best('kw_scores', 10)})", f"b AS ({best('density', 10)})")
+        + "SELECT query_id, count(*) AS n_a, count(b.chunk_id) AS shared FROM a LEFT JOIN b USING (query_id, chunk_id) GROUP BY query_id",
+    "context_quality": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), GOLD, f"a AS ({best('kw_scores', 10)})",
+        "hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rk)::double / rk AS p FROM a JOIN gold USING (query_id, chunk_id))",
+        "sizes AS (SELECT query_id, count(*) AS golds FROM gold GROUP BY 1)")
+        + "SELECT query_id, round(count(p)::double / any_value(golds), 6) AS recall, round(coalesce(avg(p), 0), 6) AS precision FROM sizes LEFT JOIN hits USING (query_id) GROUP BY query_id",
+    "ablation_metrics": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), DENSITY, GOLD,
+        f"""lists AS (SELECT query_id, 'keyword' AS src, chunk_id, rk FROM ({best("kw_scores", 30)}) UNION ALL SELECT query_id, 'fallback', chunk_id, rk FROM ({best("density", 30)}))""",
+        "combos(combo) AS (VALUES ('keyword'), ('fallback'), ('keyword+fallback'))",
+        "in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(string_split(combo, '+'), src))",
+        rrf(USUAL, 60, 10, "in_combo", "combo"), "m AS (WITH " + metrics("top", "q", "combo") + ")")
+        + "SELECT *, round(mrr - (SELECT mrr FROM m WHERE combo = 'keyword+fallback'), 6) AS delta_mrr FROM m",
+    "metrics_by_kind": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), GOLD, f"a AS ({best('kw_scores', 10)})",
+        "rr AS (SELECT q.query_id, coalesce(1.0::double / min(rk) FILTER (gold.chunk_id IS NOT NULL), 0) AS rr FROM q LEFT JOIN a USING (query_id) LEFT JOIN gold ON gold.query_id = a.query_id AND gold.chunk_id = a.chunk_id GROUP BY q.query_id)")
+        + "SELECT 'bm25' AS mode, round(avg(rr) FILTER (query_id % 2 = 0), 6) AS auto, round(avg(rr) FILTER (query_id % 2 <> 0), 6) AS manual FROM rr",
+    "table_stats": "SELECT count(*) AS n_rows, sum(strlen(text))::bigint AS bytes, count(DISTINCT (lang, source)) AS facets FROM documents",
     "make_auto_items": with_(CHUNKS, r"""tails AS (SELECT chunk_id, regexp_replace(title, '^.*>\s*', '') AS tail, md5(chunk_id::varchar) AS o FROM chunks
         WHERE length(body) > 300 AND title <> '' AND length(title) > 6)""", "firsts AS (SELECT tail, min(o) AS o, arg_min(chunk_id, o) AS gold FROM tails WHERE length(tail) >= 8 GROUP BY tail ORDER BY o LIMIT 30)")
         + "SELECT 'auto-' || printf('%02d', row_number() OVER (ORDER BY o)) AS id, tail AS query, gold FROM firsts",

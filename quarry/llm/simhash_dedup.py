@@ -22,13 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from quarry.llm.components import connected_components
 from quarry.llm.shared import checkpointed
 
 BITS = 64
 #: Buckets of more distinct fingerprints than this are linked by balls around shared points, not by pairs.
-LARGE_BUCKET = 256
+LARGE_BUCKET = 4096
+#: Members of a bucket, about, that are put in one order.
+IN_ORDER = 4096
 #: Shingles whose bits are counted at once, for bounded memory.
 BLOCK = 1 << 15
 
@@ -61,9 +64,15 @@ def fingerprint_column(text: Column, words: int) -> Column:
 
 
 def covering_masks(radius: int) -> list[int]:
-    """Masks (signed) of the covering family; codes go round, so that all masks keep about half of the bits."""
+    """Masks (signed) of the covering family, each of half of the bits at least.
+
+    Up to radius 5 the nonzero codes go round the positions. For 6 the codes are those of the Reed-Muller code of
+    length 64: codes with the top bit set, under which every pattern has odd parity at 32 positions or at all.
+    """
+    if not 1 <= radius <= 6:
+        raise ValueError("masks are selective for a radius from 1 to 6 only")
     patterns = range(1, 2 ** (radius + 1))
-    codes = [1 + i % len(patterns) for i in range(BITS)]
+    codes = [1 + i % len(patterns) if radius < 6 else BITS | i for i in range(BITS)]
     masks = [sum(1 << i for i in range(BITS) if (codes[i] & p).bit_count() % 2) for p in patterns]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
@@ -101,21 +110,39 @@ def _links_in_large(live: DataFrame, masks: list[int], radius: int) -> DataFrame
 
 
 def fingerprint_links(fingerprints: DataFrame, radius: int = 3, large: int = LARGE_BUCKET) -> DataFrame:
-    """Links ``a``, ``b`` within ``radius`` bits that connect whatever all such pairs connect; ``fp`` is distinct."""
+    """Links ``a``, ``b`` within ``radius`` bits that connect whatever all such pairs connect; ``fp`` is distinct.
+
+    First neighbours in each bucket's order are linked, which joins most of a group of near copies by as many
+    links as it has members. Then pairs are looked for only in buckets whose members are not all connected yet,
+    and only between members that are not.
+    """
     masks = covering_masks(radius)
-    keys = fingerprints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
+    spread = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes make many rows
+    keys = spread.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
     sizes = checkpointed(keys.groupBy("t", "key").agg(F.count("*").alias("members")).where("members > 1"))
     live = checkpointed(keys.join(sizes, ["t", "key"]))  # most buckets have one member: few rows are left
+
+    part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / IN_ORDER))  # a very large bucket in several orders
+    order = Window.partitionBy("t", "key", "part").orderBy("fp")
+    ordered = live.withColumn("part", part).withColumn("before", F.lag("fp").over(order))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= radius
+    first = checkpointed(ordered.where(close).select(F.col("fp").alias("a"), F.col("before").alias("b")).distinct())
+
+    roots = connected_components(first, "a", "b").withColumnRenamed("node", "fp")
+    live = live.join(roots, "fp", "left").select("t", "key", "fp", "members", F.coalesce("root", "fp").alias("root"))
+    apart = live.groupBy("t", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    live = checkpointed(live.join(apart.select("t", "key"), ["t", "key"], "left_semi"))
     small = live.where(F.col("members") <= large)
     x, y = small.alias("x"), small.alias("y")
-    apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
     pairs = x.join(
         y,
-        (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (apart <= radius),
-    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    if sizes.where(F.col("members") > large).isEmpty():
-        return pairs
-    return pairs.union(_links_in_large(live.where(F.col("members") > large), masks, radius))
+        (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+        & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius),
+    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    links = first.union(pairs)
+    if live.where(F.col("members") > large).isEmpty():
+        return links
+    return links.union(_links_in_large(live.where(F.col("members") > large), masks, radius))
 
 
 def _labelled(rows: DataFrame, radius: int) -> DataFrame:
@@ -135,10 +162,10 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 6) -> DataFrame:
     """``docs`` without near copies: of each component one row stays, that with the smallest id (a null id comes last)."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), fingerprint_column(F.col(text), words).alias("fp"))
-    rows = checkpointed(marked.select("id", "fp"))
-    first = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("first")
-    kept = checkpointed(_labelled(rows, radius).groupBy("root").agg(first).select("first.id", "first.fp"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark"))
+    prints = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_column(F.col(text), words).alias("fp"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "fp", "mark")).alias("first")
+    kept = checkpointed(_labelled(checkpointed(prints), radius).groupBy("root").agg(first).select("first.id", "first.mark"))
     m, k = marked.alias("m"), kept.alias("k")
-    same = (F.col("m.fp") == F.col("k.fp")) & F.col("m.id").eqNullSafe(F.col("k.id"))
-    return m.join(k, same, "left_semi").dropDuplicates(["id", "fp"]).select("row.*")
+    same = (F.col("m.mark") == F.col("k.mark")) & F.col("m.id").eqNullSafe(F.col("k.id"))
+    return m.join(k, same, "left_semi").dropDuplicates(["id", "mark"]).select("row.*")

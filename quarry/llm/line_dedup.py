@@ -70,7 +70,7 @@ def _dropped(rows: DataFrame, window: int) -> DataFrame:
     again = checkpointed(slim.join(groups, "hash").select("id", "mark", "k", "hash", (place == F.col("first")).alias("stays")))
 
     wanted = again.groupBy("id", "mark").agg(F.collect_list(F.struct("k", "hash")).alias("wanted"))  # a document's own
-    t, w = texts.dropDuplicates(["id", "mark"]).alias("t"), wanted.alias("w")
+    t, w = texts.alias("t"), wanted.alias("w")
     compared = (
         t.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark")))
         .select("t.id", "t.mark", "w.wanted", _chunks(F.col("t.text"), window).alias("chunks"))
@@ -85,7 +85,7 @@ def _dropped(rows: DataFrame, window: int) -> DataFrame:
         apart = checkpointed(compared.join(differ, "hash", "left_semi"))
         first = apart.groupBy("hash", "text").agg(F.min(place).alias("first"))
         gone = gone.union(apart.join(first, ["hash", "text"]).where(place != F.col("first")).select("id", "mark", "k"))
-    return gone.groupBy("id", "mark").agg(F.array_sort(F.collect_list("k")).alias("gone"))
+    return gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("k")).alias("gone"))
 
 
 _COUNTED = ("n_lines", "n_removed_lines", "n_removed_chunks")

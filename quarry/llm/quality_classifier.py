@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """A model from the labelled rows with the least hash of their id, ``most`` at most."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), (F.col(label) > 0).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "y").limit(most)
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # ``most`` rows
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -30,6 +30,8 @@ from quarry.llm.text_statistics import statistics
 LIMIT, LEAST, SHARE, STEPS = 5.0, 200, 0.75, 5
 #: Added to each variance, so that statistics that hardly vary in a group can't dominate.
 RIDGE = 0.01
+#: Groups, at most, whose estimates (300 bytes each) are broadcast.
+FEW = 10_000
 #: Classes of distance to a doubling of the square.
 CLASSES = 16
 
@@ -113,8 +115,10 @@ def estimates(rows: DataFrame) -> DataFrame:
     first = each.groupBy("g").agg(F.count("*").alias("n"), quartiles.alias("quartiles"))
     state = checkpointed(first.groupBy("g").applyInPandas(_start, _ESTIMATE))
     terms = [*map(F.col, _X), *(F.col(_X[i]) * F.col(_X[j]) for i, j in _PAIRS)]
+    few = state.count() <= FEW  # then each text gets its estimate without a shuffle by group
     for step in range(STEPS + 1):
-        distance = each.join(state.select("g", "state"), "g").withColumn("class", F.floor(CLASSES * F.log2(_square() + 1e-9)).cast("int"))
+        current = state.select("g", "state")
+        distance = each.join(F.broadcast(current) if few else current, "g").withColumn("class", F.floor(CLASSES * F.log2(_square() + 1e-9)).cast("int"))
         classes = distance.groupBy("g", "class").agg(F.count("*").alias("n"), F.array(*map(F.sum, terms)).alias("sums"))
         after = checkpointed(classes.groupBy("g").applyInPandas(_step, _ESTIMATE))
         if step < STEPS:

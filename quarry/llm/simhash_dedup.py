@@ -30,8 +30,6 @@ from quarry.llm.shared import checkpointed
 BITS = 64
 #: Buckets of more distinct fingerprints than this are linked by balls around shared points, not by pairs.
 LARGE_BUCKET = 4096
-#: Members of a bucket, about, that are put in one order.
-IN_ORDER = 4096
 #: Shingles whose bits are counted at once, for bounded memory.
 BLOCK = 1 << 15
 
@@ -117,21 +115,20 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = 3, large: int = LAR
     and only between members that are not.
     """
     masks = covering_masks(radius)
-    spread = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes make many rows
-    keys = spread.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
-    sizes = checkpointed(keys.groupBy("t", "key").agg(F.count("*").alias("members")).where("members > 1"))
-    live = checkpointed(keys.join(sizes, ["t", "key"]))  # most buckets have one member: few rows are left
-
-    part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / IN_ORDER))  # a very large bucket in several orders
-    order = Window.partitionBy("t", "key", "part").orderBy("fp")
-    ordered = live.withColumn("part", part).withColumn("before", F.lag("fp").over(order))
+    bucket = Window.partitionBy("t", "key")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes make many rows
+        return spread.select("*", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
+
+    ordered = keyed(fingerprints.select("fp")).withColumn("before", F.lag("fp").over(bucket.orderBy("fp")))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= radius
     first = checkpointed(ordered.where(close).select(F.col("fp").alias("a"), F.col("before").alias("b")).distinct())
 
     roots = connected_components(first, "a", "b").withColumnRenamed("node", "fp")
-    live = live.join(roots, "fp", "left").select("t", "key", "fp", "members", F.coalesce("root", "fp").alias("root"))
-    apart = live.groupBy("t", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    live = checkpointed(live.join(apart.select("t", "key"), ["t", "key"], "left_semi"))
+    rooted = fingerprints.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    seen = keyed(rooted).withColumns({"members": F.count("*").over(bucket), "least": F.min("root").over(bucket), "most": F.max("root").over(bucket)})
+    live = checkpointed(seen.where("least < most").select("t", "key", "fp", "members", "root"))  # few buckets are left
     small = live.where(F.col("members") <= large)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(

@@ -6,6 +6,10 @@ lines or more are counted by hash over all documents. Before any is removed the
 are compared; where they differ, chunks are told apart by their text. Of equal chunks the first stays (by id,
 then hash of the text, then position), all others go.
 
+``shortened``, which has no SQL, makes whole chunks: a cut right after a cut is passed over, as are those after the first
+line and before the last, so that every chunk has two lines at least and nothing of an exact copy stays; a text of
+one line takes part if it has ``LONG_LINE`` words.
+
 Texts are shuffled only to be compared, for documents with a repeated hash, and to be cut; chunks travel as
 hashes. Frequent chunks meet in partial aggregates.
 
@@ -24,10 +28,12 @@ from quarry.llm.shared import checkpointed
 #: Line hashes under a cut's hash; last hex digits after which a text is cut: a chunk has about three lines.
 WINDOW = 2
 CUTS = "01234"
+#: Words from which a text of one line counts as a chunk, in whole chunks.
+LONG_LINE = 50
 
 
-def _chunks(text: Column, window: int) -> Column:
-    """The chunks of a text as an array of arrays of lines."""
+def _chunks(text: Column, window: int, whole: bool) -> Column:
+    """The chunks of a text as an array of arrays of lines; if ``whole``, of two lines at least where there are two."""
     lines = F.split(text, "\n")
     hashed = F.transform(lines, lambda line: F.md5(line.cast("binary")))
     of = F.struct(lines.alias("lines"), hashed.alias("hashes"))
@@ -37,9 +43,14 @@ def _chunks(text: Column, window: int) -> Column:
 
         def cut(i: Column) -> Column:
             rolled = F.md5(F.array_join(F.slice(s["hashes"], F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), "").cast("binary"))
-            return (i == n) | F.substring(rolled, -1, 1).isin(*CUTS)
+            return F.substring(rolled, -1, 1).isin(*CUTS)
 
-        return F.filter(F.sequence(F.lit(1), n), cut)
+        places = F.sequence(F.lit(1), n)
+        if not whole:
+            return F.filter(places, lambda i: (i == n) | cut(i))
+        signs = F.transform(places, lambda i: F.when((i > 1) & (i < n - 1) & cut(i), "c").otherwise("-"))
+        apart = F.split(F.regexp_replace(F.array_join(signs, ""), "cc", "c-"), "")  # of cuts in a row each other one
+        return F.transform(F.array(apart), lambda a: F.filter(places, lambda i: (i == n) | (F.get(a, i - 1) == "c")))[0]
 
     def cuts(s: Column) -> Column:
         at = F.array(F.struct(s["lines"].alias("lines"), ends(s).alias("ends")))
@@ -57,15 +68,16 @@ def _joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def _dropped(rows: DataFrame, window: int) -> DataFrame:
+def _dropped(rows: DataFrame, window: int, whole: bool) -> DataFrame:
     """Columns ``id``, ``mark`` and ``gone``: for each document that loses chunks, their numbers in order.
 
     ``rows`` has ``id``, ``text`` and ``mark`` (a hash of the text; with the id it names a row).
     """
     place = F.struct("id", "mark", "k")
     texts = rows.where("text is not null")
-    every = texts.select("id", "mark", F.posexplode(_chunks(F.col("text"), window)).alias("k", "lines"))
-    slim = checkpointed(every.where(F.size("lines") > 1).select("id", "mark", "k", F.xxhash64("lines").alias("hash")).distinct())
+    every = texts.select("id", "mark", F.posexplode(_chunks(F.col("text"), window, whole)).alias("k", "lines"))
+    taking = (F.size("lines") > 1) | (F.size(F.split(F.get("lines", F.lit(0)), r"\s+")) >= LONG_LINE) if whole else F.size("lines") > 1
+    slim = checkpointed(every.where(taking).select("id", "mark", "k", F.xxhash64("lines").alias("hash")).distinct())
     groups = slim.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     again = checkpointed(slim.join(groups, "hash").select("id", "mark", "k", "hash", (place == F.col("first")).alias("stays")))
 
@@ -73,7 +85,7 @@ def _dropped(rows: DataFrame, window: int) -> DataFrame:
     t, w = texts.alias("t"), wanted.alias("w")
     compared = (
         t.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark")))
-        .select("t.id", "t.mark", "w.wanted", _chunks(F.col("t.text"), window).alias("chunks"))
+        .select("t.id", "t.mark", "w.wanted", _chunks(F.col("t.text"), window, whole).alias("chunks"))
         .select("id", "mark", F.explode("wanted").alias("c"), "chunks")
         .select("id", "mark", "c.k", "c.hash", _joined(F.get("chunks", F.col("c.k"))).alias("text"))
     )
@@ -91,13 +103,13 @@ def _dropped(rows: DataFrame, window: int) -> DataFrame:
 _COUNTED = ("n_lines", "n_removed_lines", "n_removed_chunks")
 
 
-def _cut(docs: DataFrame, text: str, key: str, window: int) -> DataFrame:
+def _cut(docs: DataFrame, text: str, key: str, window: int, whole: bool) -> DataFrame:
     """Each row of ``docs`` as ``row``, what is ``left`` of its text, and the counts."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    dropped = _dropped(rows.select("id", "text", "mark"), window).alias("d")
+    dropped = _dropped(rows.select("id", "text", "mark"), window, whole).alias("d")
     r = rows.alias("r")
     joined = r.join(dropped, F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.mark") == F.col("d.mark")), "left")
-    chunks = F.when(F.col("gone").isNotNull(), _chunks(F.col("text"), window))
+    chunks = F.when(F.col("gone").isNotNull(), _chunks(F.col("text"), window, whole))
     return joined.select("row", "text", "gone", chunks.alias("chunks")).select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text"))
@@ -116,9 +128,9 @@ def _fields(docs: DataFrame, text: str) -> list[Column]:
 def without_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``text`` cut, and ``n_lines``, ``n_removed_lines`` and ``n_removed_chunks`` (long), which replace columns of these names."""
     counts = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    return _cut(docs, text, key, window).select(*(f for f, c in zip(_fields(docs, text), docs.columns, strict=True) if c not in counts), *counts)
+    return _cut(docs, text, key, window, whole=False).select(*(f for f, c in zip(_fields(docs, text), docs.columns, strict=True) if c not in counts), *counts)
 
 
 def shortened(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``text`` cut, less the rows of whose text nothing is left; the columns are those of ``docs``."""
-    return _cut(docs, text, key, window).where("left is null or left <> '' or n_removed_lines = 0").select(*_fields(docs, text))
+    """``docs`` with ``text`` less its repeated whole chunks, less the rows of whose text nothing is left; the columns are those of ``docs``."""
+    return _cut(docs, text, key, window, whole=True).where("left is null or left <> '' or n_removed_lines = 0").select(*_fields(docs, text))

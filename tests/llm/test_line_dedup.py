@@ -76,3 +76,36 @@ def test_equals_sql(spark, sf):
     want = sorted(db.execute(f"SELECT doc_id, text, n_lines, n_removed_lines, n_removed_chunks FROM ({OP9_SQL})").fetchall())
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, L.without_repeated_chunks(docs).collect())) == want
+
+
+def whole_chunks(text):
+    lines = text.split("\n")
+    hashes = [hashlib.md5(x.encode()).hexdigest() for x in lines]
+    out, begin, run = [], 0, 0
+    for i in range(1, len(lines) + 1):
+        rolled = hashlib.md5("".join(hashes[max(0, i - L.WINDOW) : i]).encode()).hexdigest()
+        run = run + 1 if 1 < i < len(lines) - 1 and rolled[-1] in L.CUTS else 0
+        if i == len(lines) or run % 2:
+            out.append(lines[begin:i])
+            begin = i
+    return out
+
+
+def test_of_an_exact_copy_nothing_stays_in_whole_chunks(spark):
+    texts = ["\n".join(f"document {i} line {j}" for j in range(n)) for i, n in enumerate([2, 3, 4, 7, 12, 25, 60] * 3)]
+    texts += ["one line of few words", "one line of many words " * 12]
+    docs = spark.createDataFrame([(i + k, t) for i, t in enumerate(texts) for k in (0, 1000)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.shortened(docs).collect()}
+    assert got == dict(enumerate(texts)) | {1021: texts[21]}
+
+
+def test_whole_chunks_equal_brute_force(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    seen, want = {}, {}
+    for i, text in sorted(rows()):
+        every = [] if text is None else whole_chunks(text)
+        assert all(len(c) > 1 for c in every) or len(every) == 1
+        left = ["\n".join(c) for k, c in enumerate(every) if len(c) == 1 or seen.setdefault(tuple(c), (i, k)) == (i, k)]
+        if left or text is None:
+            want[i] = None if text is None else "\n".join(left)
+    assert {r.doc_id: r.text for r in L.shortened(docs).collect()} == want

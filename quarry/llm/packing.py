@@ -1,7 +1,9 @@
 """Packing of documents into token windows, each filled with lexical neighbours of its first document.
 
-Documents are dealt over shards of bounded size, by hash within each value of a column with few values (such as
-the language). A shard builds a BM25 inverted index over its documents' tokens. A window opens with what is left
+Documents are dealt over shards of bounded size by content, within each value of a column with few values (such as
+the language): each document has a first and a second term, drawn by MinHash weighted towards rare tokens, so that
+documents share them the more often the more rare tokens they share. A shard takes whole groups of one first term; a
+group too large for a shard is parted by the second term, and what is still too large by a hash of id and tokens. A shard builds a BM25 inverted index over its documents' tokens. A window opens with what is left
 of the document that the last one cut, else the next unused document: its seed. When a document ends inside the
 window, the index gives the unused document that scores best against the seed; if none shares a useful term, the
 next unused one follows. Only the last window of a shard can stay short, so padding is below one window a shard.
@@ -22,11 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import checkpointed
 from quarry.llm.tokens import word_ids
 
 #: UTF-8 bytes of text in a shard, about.
 SHARD_BYTES = 2_000_000
 K1, B = 1.2, 0.75
+#: Power of the inverse document frequency in the weight of a token.
+RARE = 3.0
 PIECES = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -111,6 +116,73 @@ def pack(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, i
                 number, fill = number + 1, 0
 
 
+def _terms(ids: np.ndarray, idf: np.ndarray, draws: np.ndarray) -> list[int]:
+    """The first and second term of a document: the tokens whose draw over their weight is least; -1 for none."""
+    tokens = np.unique(ids)
+    tokens = tokens[idf[tokens] > 0]
+    if not len(tokens):
+        return [-1, -1]
+    return [int(tokens[np.argmin(d[tokens] / idf[tokens] ** RARE)]) for d in draws]
+
+
+def _placed(rows: DataFrame, vocabulary: Vocabulary, shard_bytes: int) -> DataFrame:
+    """Columns ``key``, ``ids`` and ``shard`` for ``rows`` of ``key``, ``text`` and ``near``.
+
+    The driver sees one count for each token of the vocabulary, value of ``near`` and first term, and part of a large group.
+    """
+
+    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [vocabulary.ids(t).tobytes() for t in batch["text"]]
+            size = [len(t.encode()) + 1 for t in batch["text"]]
+            yield pd.DataFrame({"key": batch["key"].astype("Int64"), "near": batch["near"], "bytes": size, "ids": ids})
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, documents = np.zeros(0, np.int64), 0
+        for batch in batches:
+            for b in batch["ids"]:
+                tokens = np.unique(np.frombuffer(b, "<u4"))
+                if tokens[-1] >= len(n):
+                    n = np.concatenate([n, np.zeros(int(tokens[-1]) + 1 - len(n), np.int64)])
+                n[tokens] += 1
+            documents += len(batch)
+        seen = np.flatnonzero(n)
+        yield pd.DataFrame({"token": [-1, *seen], "n": [documents, *n[seen]]})
+
+    tokens = checkpointed(rows.mapInPandas(tokenised, "key long, near string, bytes long, ids binary"))
+    counts = tokens.select("ids").mapInPandas(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(int(counts["token"].max() if len(counts) else 0) + 1)
+    found = counts[counts["token"] >= 0]
+    df[found["token"]] = found["n"]
+    total = counts["n"][counts["token"] == -1].sum()
+    idf = np.where(df > 1, np.log((total + 1) / np.maximum(df, 1)), 0.0)
+    draws = np.random.default_rng(42).exponential(size=(len(df), 2)).T  # a token's draws don't depend on how many there are
+
+    @F.pandas_udf("first long, second long")
+    def terms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_terms(np.frombuffer(b, "<u4"), idf, draws) for b in batch], columns=["first", "second"])
+
+    drawn = checkpointed(tokens.select("key", "near", "bytes", F.xxhash64("key", "ids").alias("salt"), "ids", terms("ids").alias("t")).select("*", "t.*").drop("t"))
+    groups = drawn.groupBy("near", "first").agg(F.sum("bytes").alias("bytes")).orderBy("near", "first").collect()
+    large = [(g.near, g["first"], 2 * -(-g.bytes // shard_bytes)) for g in groups if g.bytes > shard_bytes]
+    session = rows.sparkSession
+    parts = session.createDataFrame(large, "near string, first long, parts long")
+    parted = drawn.join(F.broadcast(parts), ["near", "first"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("second"), "parts"), F.lit(0)))
+    sizes = [(g.near, g["first"], 0, g.bytes) for g in groups if g.bytes <= shard_bytes]
+    if large:
+        sizes += [tuple(g) for g in parted.where("parts is not null").groupBy("near", "first", "part").agg(F.sum("bytes")).collect()]
+    places, shard, fill, before = [], -1, 0, None
+    for value, first, part, size in sorted(sizes):
+        count = -(-size // shard_bytes)
+        if value != before or count > 1 or fill + size > shard_bytes:
+            shard, fill, before = shard + 1, 0, value
+        places.append((value, first, part, shard, count))
+        shard, fill = shard + count - 1, fill + size if count == 1 else shard_bytes
+    where = session.createDataFrame(places, "near string, first long, part long, begin long, count long")
+    return parted.join(F.broadcast(where), ["near", "first", "part"]).select("key", "ids", (F.col("begin") + F.pmod("salt", "count")).alias("shard"))
+
+
 def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, text: str = "text", key: str = "doc_id", near: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
@@ -118,17 +190,12 @@ def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, text: st
     """
     value = F.coalesce(F.col(near).cast("string"), F.lit("")) if near else F.lit("")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"), value.alias("near"))
-    sizes = rows.groupBy("near").agg(F.sum(F.octet_length("text") + 1).alias("bytes")).orderBy("near").collect()
-    base, shard = 0, F.lit(0).cast("long")
-    for name, size in sizes:
-        shards = -(-size // shard_bytes)
-        shard = F.when(F.col("near") == name, F.pmod(F.xxhash64("key", "text"), F.lit(shards)) + base).otherwise(shard)
-        base += shards
+    placed = _placed(rows, vocabulary, shard_bytes)
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "text"], na_position="first", ignore_index=True)
+        group = group.sort_values(["key", "ids"], na_position="first", ignore_index=True)
         first = int(group["shard"].iloc[0]) << 28
-        documents = [vocabulary.ids(t) for t in group["text"]]
+        documents = [np.frombuffer(b, "<u4") for b in group["ids"]]
         found = [
             (d, start, length, zlib.crc32(documents[d][start : start + length].tobytes()), len(documents[d]), first + number, offset)
             for d, start, length, number, offset in pack(documents, window)
@@ -136,5 +203,5 @@ def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, text: st
         pieces = pd.DataFrame(found, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         return pieces.assign(key=group["key"].astype("Int64").to_numpy()[pieces["key"]])
 
-    pieces = rows.select("key", "text", shard.alias("shard")).groupBy("shard").applyInPandas(fill, PIECES)
+    pieces = placed.groupBy("shard").applyInPandas(fill, PIECES)
     return pieces.withColumnRenamed("key", key)

@@ -90,3 +90,17 @@ def test_neighbours_of_the_seed_follow_it():
     topic = [np.array([100 + k] * 3 + [200 + k, 300 + k]) for k in (0, 1, 0, 1, 0, 1, 2, 3, 4, 5)]
     order = [d for d, start, *_ in K.pack(topic, 15) if start == 0]
     assert order[:3] == [0, 2, 4] and order[3:6] == [1, 3, 5]
+
+
+def test_documents_that_share_rare_tokens_share_a_shard(spark):
+    rng = np.random.default_rng(5)
+    common = [f"word{i}" for i in range(200)]
+    rare = [f"{''.join(rng.choice(list('bcdfghjklmnpqrstvwxz'), 12))}" for _ in range(400)]
+    rows = [(i, " ".join([*rng.choice(common, 60), *rare[10 * (i % 40) : 10 * (i % 40) + 10]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = defaultdict(set)
+    for p in K.packed(df, fifty_thousand(), shard_bytes=10_000).collect():
+        shards[p.sequence_id >> 28].add(p.doc_id)
+    assert len(shards) > 15
+    together = sum(i < j and i % 40 == j % 40 for s in shards.values() for i in s for j in s)
+    assert together > 4 * 40 * 45 / len(shards)  # by hash one in as many as there are shards

@@ -54,9 +54,9 @@ _WIDE = {
     "name": re.compile(r"\b(?:" + "|".join(_TITLES) + r")\b\.? ([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+){0,2})"),
     "national_id": re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
     "bank_account": re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"),
-    "secret": re.compile(r"(?<![\w+/=-])([A-Za-z0-9_+/-]{12,200})(?![\w+/-])"),
+    "secret": re.compile(r"(?<![\w+/=-])([A-Za-z0-9_+/-]{12,})(?![\w+/-])"),
 }
-_ASSIGNED = re.compile(r"(?i)(?:" + "|".join(_KEY_WORDS) + r")\w{0,10}\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,200})")
+_ASSIGNED = re.compile(r"(?i)(?:" + "|".join(_KEY_WORDS) + r")\w{0,10}\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
 _FORMATS = {
     "secret": re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|[0-9A-F]{16,}|gh[pousr]_\w{30,}|sk-[\w-]{16,}|eyJ[\w-]{10,}"),
     "national_id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),

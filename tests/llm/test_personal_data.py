@@ -84,3 +84,9 @@ def test_query_digests(spark):
     assert len(found) == len(docs)
     for r in found:
         assert r.base_sha256 == hashlib.sha256(P.as_text(slow_spans(docs[r.doc_id])).encode()).hexdigest()
+
+
+def test_long_secrets_are_taken_whole():
+    value = "aB3dE5gH7jK9" * 100
+    for text, start in ((f"private_key={value};", 12), (f"see {value} there", 4)):
+        assert (start, start + len(value), "secret") in P.wide_spans(text, [])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
-from quarry.llm.tokens import encoding, word_ids
+from quarry.llm.tokens import encoder, encoding
 
 #: Code points of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -32,7 +32,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 9
 
 def encoded(text: str, ranks: str, pattern: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers."""
-    return word_ids(ranks, pattern).ids(text).astype("<u4").tobytes()
+    return encoder(ranks, pattern).ids(text).tobytes()
 
 
 def decoded(ids: bytes, ranks: str, pattern: str) -> bytes:

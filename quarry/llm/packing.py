@@ -1,34 +1,40 @@
 """Packing of documents into token windows, each filled with lexical neighbours of its first document.
 
-Documents are dealt over shards of bounded size by content, within each value of a column with few values (such as
-the language): each document has a first and a second term, drawn by MinHash weighted towards rare tokens, so that
-documents share them the more often the more rare tokens they share. A shard takes whole groups of one first term; a
-group too large for a shard is parted by the second term, and what is still too large by a hash of id and tokens. A shard builds a BM25 inverted index over its documents' tokens. A window opens with what is left
-of the document that the last one cut, else the next unused document: its seed. When a document ends inside the
-window, the index gives the unused document that scores best against the seed; if none shares a useful term, the
-next unused one follows. Only the last window of a shard can stay short, so padding is below one window a shard.
+Each document has a first and a second term, drawn by MinHash weighted towards rare tokens, so that documents share
+them the more often the more rare tokens they share. Documents are ordered by a column with few values (such as the
+language), first term, second term and a hash of id and tokens, dealt over tasks by ranges of that order, and each
+task cuts its rows, as they come, into shards of bounded bytes and rows, so that documents with common rare tokens
+stand in one shard or in the next ones, and no group of documents, however large, makes a large task or shard.
+
+A shard builds a BM25 inverted index over its documents' tokens. A window opens with what is left of the document that
+the last one cut, else the next unused document: its seed. When a document ends inside the window, the index gives
+the unused document that scores best against the seed; if none shares a useful term, the next unused one follows. Only
+the last window of a shard can stay short, so padding is below one window a shard.
 
 Defined results: a null text counts as empty; an empty text is the end id alone; a null id is kept as it is; rows
-are packed as often as they stand; an empty table gives an empty result; further columns are not read. Rows equal
-in id and text share a shard.
+are packed as often as they stand; an empty table gives an empty result; further columns are not read; ties in
+order or score go to the row that comes first.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import checkpointed
-from quarry.llm.tokens import word_ids
+from quarry.llm.tokens import encoder
 
-#: UTF-8 bytes of text in a shard, about.
-SHARD_BYTES = 2_000_000
+#: UTF-8 bytes of text in a shard, about; bytes each document counts for besides, which bound a shard's rows.
+SHARD_BYTES, ROW_BYTES = 2_000_000, 40
+#: Bits of a window's number within its shard, and of a shard's within its task.
+WINDOW_BITS, SHARD_BITS = 28, 15
 K1, B = 1.2, 0.75
 #: Power of the inverse document frequency in the weight of a token.
 RARE = 3.0
@@ -45,7 +51,9 @@ class Vocabulary:
     end: int = 1
 
     def ids(self, text: str) -> np.ndarray:
-        words = word_ids(self.ranks, self.pattern)
+        words = encoder(self.ranks, self.pattern)
+        if not any(name in text for name, _ in self.special):
+            return np.append(words.ids(text), np.uint32(self.end))
         parts = [text]
         for name, value in self.special:
             parts = [y for x in parts for y in (_between(x, name, value) if isinstance(x, str) else [x])]
@@ -86,29 +94,31 @@ class InvertedIndex:
         at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         return np.bincount(self.owner[at], self.weight[at], self.size)
 
+    def nearest(self, document: int) -> list[int]:
+        """The documents that share a useful term with one, best first."""
+        scores = self.scores(document)
+        found = np.flatnonzero(scores > 0)
+        return found[np.argsort(-scores[found], kind="stable")].tolist()
+
 
 def pack(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces as (document, start, length, window, offset) in the order of the windows."""
     index = InvertedIndex(documents)
-    unused = np.ones(len(documents), bool)
-    following = 0
-    current, start = -1, 0
-    number = fill = 0
-    seed, scores = -1, None
+    unused = bytearray(b"\x01") * len(documents)
+    following = number = fill = 0
+    seed, neighbours = -1, iter(())
     for _ in range(len(documents)):
-        if scores is None and fill and seed >= 0:
-            scores = index.scores(seed)
-        if scores is not None and fill and (best := int(np.argmax(np.where(unused, scores, -1)))) >= 0 and unused[best] and scores[best] > 0:
-            current = best
-        else:
-            while not unused[following]:
-                following += 1
+        if fill and seed >= 0:
+            neighbours, seed = iter(index.nearest(seed)), -1  # ranked once a window, and only if it has room
+        current = next((d for d in neighbours if unused[d]), -1) if fill else -1
+        if current < 0:
+            following = unused.index(1, following)
             current = following
-        unused[current] = False
+        unused[current] = 0
         start, tokens = 0, len(documents[current])
         while start < tokens:
             if not fill:
-                seed, scores = current, None
+                seed = current
             length = min(window - fill, tokens - start)
             yield current, start, length, number, fill
             start, fill = start + length, fill + length
@@ -116,92 +126,94 @@ def pack(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, i
                 number, fill = number + 1, 0
 
 
-def _terms(ids: np.ndarray, idf: np.ndarray, draws: np.ndarray) -> list[int]:
-    """The first and second term of a document: the tokens whose draw over their weight is least; -1 for none."""
-    tokens = np.unique(ids)
-    tokens = tokens[idf[tokens] > 0]
-    if not len(tokens):
-        return [-1, -1]
-    return [int(tokens[np.argmin(d[tokens] / idf[tokens] ** RARE)]) for d in draws]
-
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many documents each token stands, for the rows of a task; token -1 counts the documents."""
+    n, documents = np.zeros(0, np.int64), 0
+    for batch in batches:
+        for b in batch["ids"]:
+            tokens = np.unique(np.frombuffer(b, "<u4"))
+            if tokens[-1] >= len(n):
+                n = np.concatenate([n, np.zeros(int(tokens[-1]) + 1 - len(n), np.int64)])
+            n[tokens] += 1
+        documents += len(batch)
+    seen = np.flatnonzero(n)
+    yield pd.DataFrame({"token": [-1, *seen], "n": [documents, *n[seen]]})
 
-def _placed(rows: DataFrame, vocabulary: Vocabulary, shard_bytes: int) -> DataFrame:
-    """Columns ``key``, ``ids`` and ``shard`` for ``rows`` of ``key``, ``text`` and ``near``.
-
-    The driver sees one count for each token of the vocabulary, value of ``near`` and first term, and part of a large group.
-    """
 
-    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = [vocabulary.ids(t).tobytes() for t in batch["text"]]
-            size = [len(t.encode()) + 1 for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"].astype("Int64"), "near": batch["near"], "bytes": size, "ids": ids})
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, documents = np.zeros(0, np.int64), 0
-        for batch in batches:
-            for b in batch["ids"]:
-                tokens = np.unique(np.frombuffer(b, "<u4"))
-                if tokens[-1] >= len(n):
-                    n = np.concatenate([n, np.zeros(int(tokens[-1]) + 1 - len(n), np.int64)])
-                n[tokens] += 1
-            documents += len(batch)
-        seen = np.flatnonzero(n)
-        yield pd.DataFrame({"token": [-1, *seen], "n": [documents, *n[seen]]})
-
-    tokens = checkpointed(rows.mapInPandas(tokenised, "key long, near string, bytes long, ids binary"))
-    counts = tokens.select("ids").mapInPandas(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+def _draws(counts: pd.DataFrame) -> np.ndarray:
+    """Two random numbers for each token, the smaller the rarer it is; infinite for tokens of no or one document."""
     df = np.zeros(int(counts["token"].max() if len(counts) else 0) + 1)
     found = counts[counts["token"] >= 0]
     df[found["token"]] = found["n"]
-    total = counts["n"][counts["token"] == -1].sum()
-    idf = np.where(df > 1, np.log((total + 1) / np.maximum(df, 1)), 0.0)
-    draws = np.random.default_rng(42).exponential(size=(len(df), 2)).T  # a token's draws don't depend on how many there are
+    idf = np.log((counts["n"][counts["token"] == -1].sum() + 1) / np.maximum(df, 1))
+    drawn = np.random.default_rng(42).exponential(size=(len(df), 2)).T  # a token's draws don't depend on how many there are
+    return np.where((df > 1) & (idf > 0), drawn / np.maximum(idf, 1e-9) ** RARE, np.inf)
+
+
+def _terms(ids: Column, draws: np.ndarray) -> Column:
+    """The first and second term of a document: the tokens whose draws are least; -1 for none."""
 
     @F.pandas_udf("first long, second long")
     def terms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_terms(np.frombuffer(b, "<u4"), idf, draws) for b in batch], columns=["first", "second"])
-
-    drawn = checkpointed(tokens.select("key", "near", "bytes", F.xxhash64("key", "ids").alias("salt"), "ids", terms("ids").alias("t")).select("*", "t.*").drop("t"))
-    groups = drawn.groupBy("near", "first").agg(F.sum("bytes").alias("bytes")).orderBy("near", "first").collect()
-    large = [(g.near, g["first"], 2 * -(-g.bytes // shard_bytes)) for g in groups if g.bytes > shard_bytes]
-    session = rows.sparkSession
-    parts = session.createDataFrame(large, "near string, first long, parts long")
-    parted = drawn.join(F.broadcast(parts), ["near", "first"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("second"), "parts"), F.lit(0)))
-    sizes = [(g.near, g["first"], 0, g.bytes) for g in groups if g.bytes <= shard_bytes]
-    if large:
-        sizes += [tuple(g) for g in parted.where("parts is not null").groupBy("near", "first", "part").agg(F.sum("bytes")).collect()]
-    places, shard, fill, before = [], -1, 0, None
-    for value, first, part, size in sorted(sizes):
-        count = -(-size // shard_bytes)
-        if value != before or count > 1 or fill + size > shard_bytes:
-            shard, fill, before = shard + 1, 0, value
-        places.append((value, first, part, shard, count))
-        shard, fill = shard + count - 1, fill + size if count == 1 else shard_bytes
-    where = session.createDataFrame(places, "near string, first long, part long, begin long, count long")
-    return parted.join(F.broadcast(where), ["near", "first", "part"]).select("key", "ids", (F.col("begin") + F.pmod("salt", "count")).alias("shard"))
+            found = np.full((len(batch), 2), -1)
+            for i, b in enumerate(batch):
+                tokens = np.unique(np.frombuffer(b, "<u4"))
+                own = draws[:, tokens]
+                at = own.argmin(axis=1)
+                found[i] = np.where(np.isinf(own[[0, 1], at]), -1, tokens[at])
+            yield pd.DataFrame(found, columns=["first", "second"])
 
+    return terms(ids)
 
-def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, text: str = "text", key: str = "doc_id", near: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per piece: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    ``near`` names a column with few values (they reach the driver); shards hold rows of one value.
-    """
-    value = F.coalesce(F.col(near).cast("string"), F.lit("")) if near else F.lit("")
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"), value.alias("near"))
-    placed = _placed(rows, vocabulary, shard_bytes)
+def _filled(window: int, shard_bytes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From a task's rows, in order, to the pieces of its shards."""
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "ids"], na_position="first", ignore_index=True)
-        first = int(group["shard"].iloc[0]) << 28
-        documents = [np.frombuffer(b, "<u4") for b in group["ids"]]
+    def packed_shard(keys: list, documents: list[np.ndarray], shard: int) -> pd.DataFrame:
         found = [
-            (d, start, length, zlib.crc32(documents[d][start : start + length].tobytes()), len(documents[d]), first + number, offset)
+            (keys[d], start, length, zlib.crc32(documents[d][start : start + length]), len(documents[d]), (shard << WINDOW_BITS) + number, offset)
             for d, start, length, number, offset in pack(documents, window)
         ]
         pieces = pd.DataFrame(found, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return pieces.assign(key=group["key"].astype("Int64").to_numpy()[pieces["key"]])
+        return pieces.assign(key=pieces["key"].astype("Int64"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = TaskContext.get().partitionId() << SHARD_BITS
+        keys, documents, size, value = [], [], 0, None
+        for batch in batches:
+            batch_keys = batch["key"].astype("Int64").astype(object).where(batch["key"].notna(), None)
+            for key, near, more, ids in zip(batch_keys, batch["near"], batch["bytes"], batch["ids"], strict=True):
+                if documents and (near != value or size + more > shard_bytes):
+                    yield packed_shard(keys, documents, shard)
+                    keys, documents, size, shard = [], [], 0, shard + 1
+                keys.append(key)
+                documents.append(np.frombuffer(ids, "<u4"))
+                size, value = size + more, near
+        if documents:
+            yield packed_shard(keys, documents, shard)
+
+    return fill
+
+
+def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, text: str = "text", key: str = "doc_id", near: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per piece: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
+
+    Shards hold rows of one value of the column ``near``. The driver sees one count for each token of the vocabulary.
+    """
+
+    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"].astype("Int64"), "near": batch["near"], "bytes": batch["bytes"], "ids": [vocabulary.ids(t).tobytes() for t in batch["text"]]})
 
-    pieces = placed.groupBy("shard").applyInPandas(fill, PIECES)
-    return pieces.withColumnRenamed("key", key)
+    value = F.coalesce(F.col(near).cast("string"), F.lit("")) if near else F.lit("")
+    whole = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.col(key).cast("long").alias("key"), value.alias("near"), (F.octet_length(whole) + ROW_BYTES).cast("long").alias("bytes"), whole.alias("text"))
+    tokens = checkpointed(rows.mapInPandas(tokenised, "key long, near string, bytes long, ids binary"))
+    counts = tokens.select("ids").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    terms = _terms(F.col("ids"), _draws(counts.toPandas()))
+    drawn = checkpointed(tokens.select("key", "near", "bytes", F.xxhash64("key", "ids").alias("salt"), "ids", terms.alias("t")))
+    order = ["near", F.col("t.first"), F.col("t.second"), "salt"]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = drawn.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return dealt.select("key", "near", "bytes", "ids").mapInPandas(_filled(window, shard_bytes), PIECES).withColumnRenamed("key", key)

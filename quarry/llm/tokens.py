@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from array import array
 
 import numpy as np
-import regex
 import tiktoken
 
-#: Pre-tokens whose ids a process remembers; beyond it starts afresh.
-REMEMBERED = 1 << 18
+# The pattern of word pieces that looks ahead at white space, and Unicode's white space.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+_LOOKING_AHEAD, _PLAIN = _WORDS + r"\s+(?!\S)|\s+", _WORDS + r"\s+"
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A run's last blank, where something follows the run.
+_LAST_BLANK = re.compile(rf"{_BLANK}({_BLANK})(?!{_BLANK}|\Z)")
+
 _LOADED: dict[tuple[str, str], tiktoken.Encoding] = {}
-_WORDS: dict[tuple[str, str], WordIds] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -24,26 +30,29 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return _LOADED[path, pattern]
 
 
-class WordIds(dict):
-    """From a pre-token to its ids as little-endian bytes, made when first asked for."""
+class Encoder:
+    """Ids of texts, without special tokens.
+
+    A pattern that looks ahead is slow to match. Where it does so only to leave the last blank of a run to the word
+    behind, texts are cut before that blank instead, and the pattern without the look-ahead gives the same pre-tokens.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.encoding = encoding(path, pattern)
-        self.split = regex.compile(pattern).findall
+        self.cut = pattern == _LOOKING_AHEAD
+        self.encoding = encoding(path, _PLAIN if self.cut else pattern)
         self.kind = np.dtype("<u2" if self.encoding.max_token_value < 1 << 16 else "<u4")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = np.array(self.encoding.encode_ordinary(word), self.kind).tobytes()
-        return ids
-
     def ids(self, text: str) -> np.ndarray:
-        """The ids of a text; merges never cross pre-tokens, so that those of equal words are found once."""
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), self.kind)
-
-
-def word_ids(path: str, pattern: str) -> WordIds:
-    if (path, pattern) not in _WORDS:
-        _WORDS[path, pattern] = WordIds(path, pattern)
-    return _WORDS[path, pattern]
+        places = [0, *(m.start(1) for m in _LAST_BLANK.finditer(text))] if self.cut else [0]
+        if len(places) == 1:
+            return np.frombuffer(array("I", self.encoding.encode_ordinary(text)), "<u4")
+        found = array("I")
+        for begin, end in zip(places, [*places[1:], len(text)], strict=True):
+            found.fromlist(self.encoding.encode_ordinary(text[begin:end]))
+        return np.frombuffer(found, "<u4")
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = Encoder(path, pattern)
+    return _ENCODERS[path, pattern]

@@ -104,3 +104,39 @@ def test_documents_that_share_rare_tokens_share_a_shard(spark):
     assert len(shards) > 15
     together = sum(i < j and i % 40 == j % 40 for s in shards.values() for i in s for j in s)
     assert together > 4 * 40 * 45 / len(shards)  # by hash one in as many as there are shards
+
+
+def test_very_many_tiny_texts_fill_shards_of_bounded_rows(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("")).otherwise(F.lit("word")).alias("text"))
+    pieces = K.packed(rows, fifty_thousand()).toPandas()
+    assert len(pieces) == pieces["doc_id"].nunique() == 200_000
+    assert pieces["length"].sum() == 200_000 + 66_666
+    shards = pieces.groupby(pieces["sequence_id"] // (1 << K.WINDOW_BITS))["doc_id"].count()
+    assert shards.max() <= K.SHARD_BYTES / K.ROW_BYTES + 1
+    fills = pieces.groupby("sequence_id")["length"].sum()
+    assert (fills < 2048).sum() <= len(shards) and fills.max() == 2048
+
+
+def slow_pack(documents, window):
+    """The order in which documents are taken, by plain scores and whole passes over the documents."""
+    index, left, order, fill, seed = K.InvertedIndex(documents), list(range(len(documents))), [], 0, None
+    while left:
+        best = left[0]
+        if fill:
+            scores = index.scores(seed)
+            best = max(left, key=lambda d: (scores[d], -d))
+            best = best if scores[best] > 0 else left[0]
+        left.remove(best)
+        order.append(best)
+        for _ in range(len(documents[best])):
+            seed = seed if fill else best
+            fill = (fill + 1) % window
+    return order
+
+
+def test_documents_are_taken_as_by_whole_passes():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        docs = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(50)]
+        window = int(rng.integers(8, 90))
+        assert [d for d, start, *_ in K.pack(docs, window) if start == 0] == slow_pack(docs, window)

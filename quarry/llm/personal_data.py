@@ -1,16 +1,19 @@
 """Personal data: exact base patterns, and further spans by weak supervision.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. Wider patterns propose further
-spans. Labelers of three sorts vote on each: formats, gazetteers (lists of names and key words) and context.
-Expectation-maximisation over the counts of vote patterns, which Spark gathers from every document, estimates
-each labeler's reliability and each span's probability; with these probabilities as soft labels a logistic
-classifier over a span's shape is trained, and adds the spans it gives at least one half.
+spans. Six labelers, none of which reads what another reads, vote on each: the value's format, a harmless format, a
+gazetteer (names, issuers, known prefixes and placeholders), harmless words before it, telling words before it, and its
+mix of characters. Expectation-maximisation over the counts of vote patterns, which Spark gathers from every
+document, estimates each labeler's reliability by kind and each span's probability. With these probabilities as soft
+labels a logistic classifier over a span's votes and shape is trained, and adds the spans it gives at least one half. So that
+it judges votes that no document shows, every possible pattern of votes is among its examples with a small weight.
 
 What reaches the driver are counts by kind, votes and shape, whose number is fixed by the buckets below.
 
 Defined results: a null text counts as empty; an empty text has no spans; null and repeated ids are kept as they
-stand; an empty table gives an empty result and a model that adds only spans on which most labelers agree;
-positions are code points, ends exclusive; further columns are kept by ``redacted`` and not read otherwise.
+stand; an empty table gives an empty result and a model that goes by the labelers' assumed reliability;
+positions are code points, ends exclusive; of proposed spans that overlap the first, then the kind named first, then the
+longest stays; further columns are kept by ``redacted`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -41,15 +45,35 @@ _DIGIT = re.compile(r"[0-9]")
 
 # What the wider patterns, gazetteers and context labelers look for.
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
-_FIRST_NAMES = frozenset("anna anne carlos claire david elena emma hans jan jean john jose juan laura luis maria marie mark mary michael paul peter pierre sophie thomas".split())
+FIRST_NAMES = frozenset(
+    """adam alex alice alicia amelie amy ana andrea andrew angela anna anne antonio barbara ben bernd birgit brian camille carla carlos carmen
+    caroline catherine charles charlotte chloe christian christine claire claudia daniel david diego dieter elena eliot elizabeth ella emily
+    emma eric eva felix fernando francisco frank gabriel george gerhard hannah hans heike helen henry hugo ines irene isabel jack jacques
+    james jan jane javier jean jennifer joan john jonas jorge jose joseph juan jules julia julie jürgen karin karl kate katharina kevin klaus
+    laura lea lena leon linda lisa louis lucas lucia luis lukas manuel marc marco maria marie mark marta martin mary matthew max michael miguel
+    monika nancy nathalie nicolas nina olivia oscar pablo paul pedro peter philippe pierre rafael raquel rebecca richard robert rosa ruth sabine
+    sandra sarah sebastian sergio silvia simon sofia sophie stefan stephen susan sylvie teresa thomas tim ursula valentina victor walter werner
+    william wolfgang yves zoe""".split()
+)
+#: Countries with international account numbers, and their lengths.
+_ISSUERS = {
+    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
+_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ")
+_PLACEHOLDERS = ("example", "sample", "placeholder", "changeme", "redacted", "xxxx", "0000", "123456", "your_", "your-", "dummy", "lorem")
+_VOID_IDS = frozenset(("078-05-1120", "219-09-9999", "123-45-6789", "111-11-1111"))
 _KEY_WORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "private_key", "bearer", "passwort", "contraseña")
-_HARMLESS = ("sha", "md5", "checksum", "digest", "commit", "isbn", "issn", "doi", "version", "uuid", "build", "http")
+_HARMLESS = frozenset(
+    """sha sha1 sha256 md5 crc checksum digest hash fingerprint commit revision isbn issn doi version uuid guid build http https order invoice
+    part serial sku ticket model reference ref item case""".split()
+)
 _NEAR = {
-    "name": ("contact", "name", "signed", "author", "by", "kontakt", "nombre", "nom"),
-    "national_id": ("ssn", "social", "security", "id", "tax"),
-    "bank_account": ("iban", "account", "konto", "bank", "cuenta", "compte"),
-    "secret": _KEY_WORDS,
+    "name": frozenset(("contact", "name", "signed", "author", "by", "kontakt", "nombre", "nom", "patient", "dear")),
+    "national_id": frozenset(("ssn", "social", "security", "id", "tax")),
+    "bank_account": frozenset(("iban", "account", "konto", "bank", "cuenta", "compte")),
 }
+_KEY = re.compile(r"(?<![a-z])(?:" + "|".join(_KEY_WORDS) + ")")
 _WIDE = {
     "name": re.compile(r"\b(?:" + "|".join(_TITLES) + r")\b\.? ([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+){0,2})"),
     "national_id": re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
@@ -57,10 +81,8 @@ _WIDE = {
     "secret": re.compile(r"(?<![\w+/=-])([A-Za-z0-9_+/-]{12,})(?![\w+/-])"),
 }
 _ASSIGNED = re.compile(r"(?i)(?:" + "|".join(_KEY_WORDS) + r")\w{0,10}\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
-_FORMATS = {
-    "secret": re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|[0-9A-F]{16,}|gh[pousr]_\w{30,}|sk-[\w-]{16,}|eyJ[\w-]{10,}"),
-    "national_id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
-}
+_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+_NATIONAL = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
 #: Code points before a span that the context labelers read.
 _BEFORE = 32
 
@@ -89,7 +111,7 @@ def _addresses(text: str) -> Iterator[Span]:
         if text.count(".", run.start(), run.end()) >= 3:
             parts = list(_PART.finditer(text, run.start(), run.end()))
             for four in (parts[i : i + 4] for i in range(0, len(parts) - 3, 4)):
-                if all(len(p[0].lstrip("0")) <= 3 and int(p[0]) <= 255 for p in four):
+                if all(len(part := p[0].lstrip("0")) <= 3 and int(part or "0") <= 255 for p in four):
                     yield four[0].start(), four[-1].end(), "ip"
 
 
@@ -135,26 +157,42 @@ def wide_spans(text: str, base: list[Span]) -> list[Span]:
     return free
 
 
-def votes(text: str, span: Span) -> tuple[int, ...]:
-    """1 for private, -1 for not, 0 for no opinion: format, harmless format, gazetteer, harmless word, context, shape."""
-    start, end, kind = span
-    value, before = text[start:end], text[max(0, start - _BEFORE) : start].lower()
-    lower = value.lower()
+def _form(kind: str, value: str) -> int:
     if kind == "bank_account":
-        form = 1 if _iban(value) else -1
-    elif kind in _FORMATS:
-        form = 1 if _FORMATS[kind].fullmatch(value) else 0
-    else:
-        form = 0
-    plain = -1 if value.isalpha() and kind != "name" or "://" in before[-12:] else 0
+        return 1 if _iban(value) else -1
+    if kind == "national_id":
+        return 1 if _NATIONAL.fullmatch(value) else -1
+    return 1 if kind == "secret" and _HEX.fullmatch(value) else 0
+
+
+def _listed(kind: str, value: str, names: frozenset[str]) -> int:
     if kind == "name":
-        listed = 1 if any(w in _FIRST_NAMES for w in lower.split()) else 0
-    else:
-        listed = 1 if kind == "secret" and any(w in before[-20:] for w in _KEY_WORDS) else 0
-    harmless = -1 if any(w in before for w in _HARMLESS) else 0
-    near = 1 if any(re.search(rf"\b{w}\b", before) for w in _NEAR[kind]) else 0
-    mixed = 1 if kind != "name" and sum(c.isdigit() for c in value) >= 2 and len(set(value)) >= 8 else 0
-    return form, plain, listed, harmless, near, mixed
+        return 1 if any(w in names for w in value.lower().split()) else 0
+    if kind == "national_id":
+        return -1 if value in _VOID_IDS else 0
+    if kind == "bank_account":
+        return 1 if _ISSUERS.get(value[:2]) == len(value.replace(" ", "")) else -1
+    return 1 if value.startswith(_PREFIXES) else -1 if any(w in value.lower() for w in _PLACEHOLDERS) else 0
+
+
+def votes(text: str, span: Span, names: frozenset[str] = FIRST_NAMES) -> tuple[int, ...]:
+    """1 for private, -1 for not, 0 for no opinion: format, harmless format, gazetteer, harmless words, telling words, mix."""
+    start, end, kind = span
+    value, before = text[start:end], text[max(0, start - _BEFORE) : start].lower()
+    if start > _BEFORE:
+        before = re.sub(r"^\w+", "", before)  # the rest of a word that begins further ahead
+    words = set(re.findall(r"[^\W_]+", before))
+    plain = -1 if value.isalpha() and kind != "name" or before.endswith(("://", "www.")) else 0
+    harmless = -1 if words & _HARMLESS else 0
+    near = 1 if (_KEY.search(before) if kind == "secret" else words & _NEAR[kind]) else 0
+    mixed = 1 if kind == "secret" and sum(c.isdigit() for c in value) >= 2 and len(set(value)) >= 8 else 0
+    return _form(kind, value), plain, _listed(kind, value, names), harmless, near, mixed
+
+
+#: The votes that each labeler may cast, and all patterns of them.
+_CAST = ((-1, 0, 1), (-1, 0), (-1, 0, 1), (-1, 0), (0, 1), (0, 1))
+_PATTERNS = tuple(product(*_CAST))
+_LABELERS = len(_CAST)
 
 
 def shape(text: str, span: Span) -> tuple[int, ...]:
@@ -165,12 +203,19 @@ def shape(text: str, span: Span) -> tuple[int, ...]:
     return (min(4, n // 10), *(min(3, 4 * s // n) for s in shares))
 
 
-def _features(kind: str, buckets: tuple[int, ...]) -> np.ndarray:
-    sizes = (5, 4, 4, 4, 4)
-    x = np.zeros(1 + len(ADDED) + sum(sizes))
-    x[0] = x[1 + ADDED.index(kind)] = 1
-    at = 1 + len(ADDED)
-    for b, size in zip(buckets, sizes, strict=True):
+_SIZES = (5, 4, 4, 4, 4)
+_OF_KIND = 1 + 3 * _LABELERS
+
+
+def _features(kind: str, ballot: tuple[int, ...], buckets: tuple[int, ...] = ()) -> np.ndarray:
+    """A constant and the votes, by kind, then the shape's buckets (none for a pattern of votes by itself)."""
+    x = np.zeros(_OF_KIND * len(ADDED) + sum(_SIZES))
+    at = _OF_KIND * ADDED.index(kind)
+    x[at] = 1
+    for i, vote in enumerate(ballot):
+        x[at + 1 + 3 * i + vote + 1] = 1
+    at = _OF_KIND * len(ADDED)
+    for b, size in zip(buckets, _SIZES, strict=False):
         x[at + b] = 1
         at += size
     return x
@@ -178,81 +223,107 @@ def _features(kind: str, buckets: tuple[int, ...]) -> np.ndarray:
 
 @dataclass
 class SpanModel:
-    """Reliabilities P(vote | class), by labeler, class and vote + 1; priors by kind; the classifier's weights."""
+    """Reliabilities P(vote | class), by kind, labeler, class and vote + 1; priors by kind; the classifier's weights; the names it knows."""
 
     reliability: np.ndarray
     prior: dict[str, float]
     weights: np.ndarray
+    names: frozenset[str] = FIRST_NAMES
 
-    def probability(self, kind: str, buckets: tuple[int, ...]) -> float:
-        return 1 / (1 + math.exp(-float(np.clip(self.weights @ _features(kind, buckets), -30, 30))))
+    def probability(self, kind: str, ballot: tuple[int, ...], buckets: tuple[int, ...]) -> float:
+        return 1 / (1 + math.exp(-float(np.clip(self.weights @ _features(kind, ballot, buckets), -30, 30))))
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        return [s for s in wide_spans(text, base) if self.probability(s[2], shape(text, s)) >= 0.5]
+        return [s for s in wide_spans(text, base) if self.probability(s[2], votes(text, s, self.names), shape(text, s)) >= 0.5]
 
     def spans(self, text: str) -> list[Span]:
         base = base_spans(text)
         return sorted(base + self.added(text, base), key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def estimate(cells: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds: int = 60) -> SpanModel:
-    """A model from counts of (kind, votes, shape): expectation-maximisation, then the classifier on its labels."""
-    labelers = 6
-    start = np.array([[0.3, 0.6, 0.1], [0.05, 0.55, 0.4]])  # P(-1, 0, 1) if not private, if private
-    reliability = np.repeat(start[None], labelers, axis=0)
-    prior = dict.fromkeys(ADDED, 0.5)
-    if not cells:
-        return SpanModel(reliability, prior, _majority())
-    kinds = np.array([ADDED.index(k) for k, *_ in cells])
-    ballots = np.array([v for _, v, *_ in cells]) + 1
-    count = np.array([c[3] for c in cells], float)
+def _assumed() -> np.ndarray:
+    """P(-1, 0, 1) by kind, labeler and class (not private, private), before anything is seen."""
+    by_labeler = [
+        ((0.3, 0.6, 0.1), (0.05, 0.55, 0.4)), ((0.3, 0.69, 0.01), (0.02, 0.97, 0.01)), ((0.3, 0.6, 0.1), (0.05, 0.55, 0.4)),
+        ((0.3, 0.69, 0.01), (0.01, 0.98, 0.01)), ((0.01, 0.89, 0.1), (0.01, 0.49, 0.5)), ((0.01, 0.69, 0.3), (0.01, 0.29, 0.7)),
+    ]
+    shares = np.tile(by_labeler, (len(ADDED), 1, 1, 1))
+    for kind in ("national_id", "bank_account"):  # rules that a true number can't break
+        shares[ADDED.index(kind), 0] = ((0.5, 0.3, 0.2), (0.01, 0.2, 0.79))
+    silent = [(ADDED.index("name"), 0), *((k, 5) for k, kind in enumerate(ADDED) if kind != "secret")]  # no such labeler for the kind
+    for k, i in silent:
+        shares[k, i] = (0.01, 0.98, 0.01)
+    return shares
+
+
+#: The labelers' reliability at the start, which counts as if seen on so many spans of each class.
+ASSUMED, AS_MANY = _assumed(), 20
+#: Weight of each pattern of votes among the classifier's examples, and of all seen spans of a kind, at most.
+PATTERN_WEIGHT, SEEN_WEIGHT = 0.5, 1000.0
+
+
+def _posterior(reliability: np.ndarray, share: np.ndarray, kinds: np.ndarray, ballots: np.ndarray) -> np.ndarray:
+    """P(private) for each row of a kind's number and ballots + 1."""
+    logs = np.log(reliability)[kinds, np.arange(_LABELERS)[:, None], :, ballots.T].sum(axis=0)
+    odds = logs[:, 1] - logs[:, 0] + np.log(share[kinds] / (1 - share[kinds]))
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def maximise(kinds: np.ndarray, ballots: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Reliabilities and shares by kind from counts of vote patterns (ballots are votes + 1), by expectation-maximisation."""
+    reliability = ASSUMED.copy()
     share = np.full(len(ADDED), 0.5)
-    for _ in range(rounds):
-        logs = np.log(reliability)
-        likelihood = sum(logs[i][:, ballots[:, i]] for i in range(labelers))
-        odds = likelihood[1] - likelihood[0] + np.log(share[kinds] / (1 - share[kinds]))
-        private = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        for y, p in enumerate((1 - private, private)):
-            for i in range(labelers):
-                seen = np.bincount(ballots[:, i], count * p, 3) + 20 * start[y]  # the start counts as so many spans
-                reliability[i, y] = seen / seen.sum()
+    for _ in range(rounds if len(kinds) else 0):
+        private = _posterior(reliability, share, kinds, ballots)
+        for k in range(len(ADDED)):
+            of = kinds == k
+            for y, p in enumerate((1 - private[of], private[of])):
+                for i in range(_LABELERS):
+                    seen = np.bincount(ballots[of, i], count[of] * p, 3) + AS_MANY * ASSUMED[k, i, y]
+                    reliability[k, i, y] = seen / seen.sum()
         total = np.bincount(kinds, count, len(ADDED))
         share = (np.bincount(kinds, count * private, len(ADDED)) + 1) / (total + 2)
-    x = np.array([_features(k, s) for k, _, s, _ in cells])
-    weights = _majority()
-    centre = weights.copy()
-    for _ in range(30):  # Newton steps of a logistic regression drawn towards the start
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (count * (private - p)) - (weights - centre)
-        curve = (x * (count * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.eye(len(weights))
-        weights = weights + np.clip(np.linalg.solve(curve, slope), -2, 2)
-    return SpanModel(reliability, dict(zip(ADDED, share.tolist(), strict=True)), weights)
+    return reliability, share
 
 
-def _majority() -> np.ndarray:
-    """Weights before anything is learned: a span needs digits in plenty or a name's form."""
-    x = np.zeros(1 + len(ADDED) + 21)
-    x[0] = -0.5
-    x[1 + ADDED.index("name")] = 1
-    x[1 + len(ADDED) + 5 + 1 : 1 + len(ADDED) + 5 + 4] = 1
-    return x
+def estimate(cells: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], names: frozenset[str] = FIRST_NAMES) -> SpanModel:
+    """A model from counts of (kind, votes, shape): expectation-maximisation, then the classifier on its labels."""
+    kinds = np.array([ADDED.index(k) for k, *_ in cells], int)
+    ballots = np.array([v for _, v, *_ in cells], int).reshape(-1, _LABELERS) + 1
+    count = np.array([c[3] for c in cells], float)
+    reliability, share = maximise(kinds, ballots, count)
+
+    every = [(k, v) for k in ADDED for v in _PATTERNS]
+    x = np.array([_features(k, v, b) for k, v, b, _ in cells] + [_features(k, v) for k, v in every])
+    kinds = np.append(kinds, [ADDED.index(k) for k, _ in every])
+    private = _posterior(reliability, share, kinds, np.concatenate([ballots, np.array([v for _, v in every]) + 1]))
+    of_kind = np.bincount(kinds[: len(cells)], count, len(ADDED))
+    count = count * np.minimum(1, SEEN_WEIGHT / np.maximum(1, of_kind))[kinds[: len(cells)]]  # alike at every size of corpus
+    count = np.append(count, np.full(len(every), PATTERN_WEIGHT))
+    weights = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton steps of a logistic regression
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (count * (private - p)) - 0.01 * weights
+        curve = (x * (count * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.01 * np.eye(len(weights))
+        weights = weights + np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return SpanModel(reliability, dict(zip(ADDED, share.tolist(), strict=True)), weights, names)
 
 
-def learn(docs: DataFrame, text: str = "text") -> SpanModel:
-    """A model from the counts of all documents."""
+def learn(docs: DataFrame, text: str = "text", names: frozenset[str] = FIRST_NAMES) -> SpanModel:
+    """A model from the counts of all documents; ``names`` is the gazetteer of first names, in lower case."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells: dict[tuple, int] = {}
         for batch in batches:
             for t in batch["text"]:
                 for span in wide_spans(t, base_spans(t)):
-                    cell = (span[2], votes(t, span), shape(t, span))
+                    cell = (span[2], votes(t, span, names), shape(t, span))
                     cells[cell] = cells.get(cell, 0) + 1
         yield pd.DataFrame([(k, list(v), list(s), n) for (k, v, s), n in cells.items()], columns=["kind", "votes", "shape", "n"])
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     counts = rows.mapInPandas(count, "kind string, votes array<int>, shape array<int>, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
-    return estimate(sorted((r.kind, tuple(r.votes), tuple(r["shape"]), r.n) for r in counts.collect()))
+    return estimate(sorted((r.kind, tuple(r.votes), tuple(r["shape"]), r.n) for r in counts.collect()), names)
 
 
 def as_text(spans: list[Span]) -> str:

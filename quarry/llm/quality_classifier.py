@@ -5,12 +5,12 @@ of at most four leaves to the logistic loss and adds it to that feature's lookup
 feature is one table over its bins. Then the pairs of features that explain most of what is left get tables over
 coarse bins in the same way. A score is a sum of table entries, looked up for a whole batch at once.
 
-The model is fitted on at most ``most`` labelled rows, those with the least hash of their id; scoring reads every
-text whole.
+The model is fitted on at most ``most`` different labelled texts, those with the least hash of id, text and label; scoring
+reads every text whole.
 
 Defined results: a null or empty text has features of zero and gets a score like any other; labels that are
-null are not learned from; several labels of a document count as several rows; without labels of both kinds the score
-is the share of label 1 (one half if there are none); an empty table gives an empty result; further columns are
+null are not learned from; rows equal in id, text and label are learned from once, a text with both labels from both;
+labels without a document count for nothing; without labels of both kinds the score is the share of label 1 (one half if there are none); an empty table gives an empty result; further columns are
 not read, and labels, languages, sources and ids never enter a score.
 """
 
@@ -168,17 +168,29 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
+def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, most: int) -> DataFrame:
+    """``key``, ``text`` and ``y`` of the ``most`` different labelled texts with the least hash of key, text and label.
+
+    They are chosen by keys and hashes alone, after the join, so that neither repeated ids nor labels without a
+    document shift the bound; texts are read for the chosen ones only.
+    """
+    marks = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("mark"))
+    given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), (F.col(label) > 0).cast("double").alias("y"))
+    chosen = marks.distinct().join(given.distinct(), "key").orderBy(F.xxhash64("key", "mark", "y"), "key", "mark", "y").limit(most)
+    texts = docs.select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return texts.join(F.broadcast(chosen), ["key", "mark"]).dropDuplicates(["key", "mark", "y"]).drop("mark")  # ``most`` rows are broadcast
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = MOST_ROWS) -> AdditiveModel:
-    """A model from the labelled rows with the least hash of their id, ``most`` at most."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), (F.col(label) > 0).cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("key"), "key", "y").limit(most)
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # ``most`` rows
+    """A model from ``most`` labelled texts at most; their features, not the texts, reach the driver."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "y": batch["y"], "x": list(_matrix(batch["text"]))})
 
-    data = rows.mapInPandas(measure, "key string, y double, x array<double>").toPandas().sort_values(["key", "y"], kind="stable")
+    found = labelled(docs, labels, text, key, label, most).mapInPandas(measure, "key string, y double, x array<double>").toPandas()
+    order = np.lexsort([*np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES)).T, found["y"], found["key"].astype(str)])
+    data = found.iloc[order]
     return fit(np.array(data["x"].tolist(), float).reshape(len(data), len(FEATURES)), data["y"].to_numpy(float))
 
 

@@ -7,7 +7,8 @@ sweep merges these events with the urls' keys and gives each url the state of th
 sweep finds the rule hosts around each url, a second, over (rule host, path), the path rules.
 
 The sweep runs in groups of bounded size: key ranges (from a sample of the keys, for layout only), each dealt
-over several groups where it is large, with the range's events in all of them and the open rules at its start.
+over several groups where it is large, with the range's events in all of them and the open rules at its start; there are
+no more copies of the events than there are shuffle partitions. Very common urls get their answer by broadcast.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; of rules with
 equal host and path a block wins; rules with a null or empty host are ignored, a null path counts as empty; of
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.shared import checkpointed
+from quarry.llm.shared import checkpointed, joined_by_key
 
 #: Urls of a sweep's group, about; key ranges at most; keys of the sample, about.
 GROUP_ROWS, MOST_RANGES, SAMPLE = 20_000, 64, 20_000
@@ -59,7 +60,8 @@ def sweep(points: DataFrame, prefixes: DataFrame) -> DataFrame:
     """
     rows = points.count()
     ranges = max(1, min(MOST_RANGES, rows // GROUP_ROWS))
-    copies = max(1, -(-rows // (ranges * GROUP_ROWS)))
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, min(-(-rows // (ranges * GROUP_ROWS)), -(-partitions // ranges)))  # more groups than tasks would gain nothing
     sample = sorted(r.key for r in points.select("key").sample(min(1.0, SAMPLE / max(1, rows)), 7).collect()) if ranges > 1 else []
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)} - {""}) if sample else []
 
@@ -97,9 +99,9 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "pag
         .select(_host_key(F.col("host")).alias("host_key"), "path", "verdict")
     )
     zero = F.lit("\x00")
-    urls = checkpointed(pages.select("host", "path").distinct().withColumn("key", F.concat(_host_key(F.col("host")), zero, "path")))
+    urls = checkpointed(pages.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("key", F.concat(_host_key(F.col("host")), zero, "path")))
     hosts = rules.select(F.col("host_key").alias("prefix"), F.lit(None).cast("string").alias("verdict")).distinct()
-    around = sweep(urls, hosts).select("host", "path", F.explode("stack").alias("rule")).select("host", "path", F.concat("rule.prefix", zero, "path").alias("key"))
+    around = sweep(urls.drop("n"), hosts).select("host", "path", F.explode("stack").alias("rule")).select("host", "path", F.concat("rule.prefix", zero, "path").alias("key"))
     paths = rules.select(F.concat("host_key", zero, "path").alias("prefix"), "verdict")
     inner = sweep(checkpointed(around), paths).where("size(stack) > 0").select("host", "path", F.element_at("stack", -1).alias("rule"))
     parts = F.split("rule.prefix", zero, 2)
@@ -110,6 +112,8 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "pag
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.concat("rule_host", "rule_path").alias("rule"), "rule.verdict")).alias("best"))
     )
-    return pages.join(best, ["host", "path"], "left").select(
+    answers = checkpointed(urls.drop("key").join(best, ["host", "path"], "left"))
+    total = answers.agg(F.sum("n")).first()[0] or 0
+    return joined_by_key(pages, answers, ["host", "path"], total).select(
         F.col("id").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -11,7 +11,7 @@ line and before the last, so that every chunk has two lines at least and nothing
 one line takes part if it has ``LONG_LINE`` words.
 
 Texts are shuffled only to be compared, for documents with a repeated hash, and to be cut; chunks travel as
-hashes. Frequent chunks meet in partial aggregates.
+hashes. Frequent chunks meet in partial aggregates, and their first occurrence reaches the others by broadcast.
 
 Defined results: a null text stays null and an empty one empty, with nothing removed; rows with equal id and
 text are treated as one (all keep or all lose a chunk); null ids count as first; other columns are kept, whatever
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import checkpointed
+from quarry.llm.shared import checkpointed, joined_by_key
 
 #: Line hashes under a cut's hash; last hex digits after which a text is cut: a chunk has about three lines.
 WINDOW = 2
@@ -78,8 +78,8 @@ def _dropped(rows: DataFrame, window: int, whole: bool) -> DataFrame:
     every = texts.select("id", "mark", F.posexplode(_chunks(F.col("text"), window, whole)).alias("k", "lines"))
     taking = (F.size("lines") > 1) | (F.size(F.split(F.get("lines", F.lit(0)), r"\s+")) >= LONG_LINE) if whole else F.size("lines") > 1
     slim = checkpointed(every.where(taking).select("id", "mark", "k", F.xxhash64("lines").alias("hash")).distinct())
-    groups = slim.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    again = checkpointed(slim.join(groups, "hash").select("id", "mark", "k", "hash", (place == F.col("first")).alias("stays")))
+    groups = checkpointed(slim.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    again = checkpointed(joined_by_key(slim, groups, ["hash"], slim.count()).select("id", "mark", "k", "hash", (place == F.col("first")).alias("stays")))
 
     wanted = again.groupBy("id", "mark").agg(F.collect_list(F.struct("k", "hash")).alias("wanted"))  # a document's own
     t, w = texts.alias("t"), wanted.alias("w")

@@ -13,7 +13,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,10 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
-from pyspark.sql.window import Window
 
 from quarry.llm.components import connected_components
-from quarry.llm.shared import checkpointed
+from quarry.llm.shared import checkpointed, joined_by_key
 
 BITS = 64
 #: Buckets of more distinct fingerprints than this are linked by balls around shared points, not by pairs.
@@ -107,28 +106,44 @@ def _links_in_large(live: DataFrame, masks: list[int], radius: int) -> DataFrame
     return points.join(centres, "point").where("fp <> to").select(F.col("fp").alias("a"), F.col("to").alias("b")).distinct()
 
 
+def _neighbours(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From rows ``t``, ``key``, ``fp`` in order to the links between rows that follow each other in one bucket."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            t, key, fp = np.concatenate([before, batch[["t", "key", "fp"]].to_numpy(np.int64).T], axis=1)
+            near = (t[1:] == t[:-1]) & (key[1:] == key[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= radius)
+            yield pd.DataFrame({"a": fp[1:][near], "b": fp[:-1][near]})
+            before = np.array([[t[-1]], [key[-1]], [fp[-1]]]) if len(fp) else before
+
+    return link
+
+
 def fingerprint_links(fingerprints: DataFrame, radius: int = 3, large: int = LARGE_BUCKET) -> DataFrame:
     """Links ``a``, ``b`` within ``radius`` bits that connect whatever all such pairs connect; ``fp`` is distinct.
 
     First neighbours in each bucket's order are linked, which joins most of a group of near copies by as many
     links as it has members. Then pairs are looked for only in buckets whose members are not all connected yet,
-    and only between members that are not.
+    and only between members that are not. Rows are dealt by ranges of bucket and fingerprint, and buckets are measured in
+    partial aggregates, so that a bucket of any size fills no single task.
     """
     masks = covering_masks(radius)
-    bucket = Window.partitionBy("t", "key")
+    partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(rows: DataFrame) -> DataFrame:
-        spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes make many rows
+        spread = rows.repartition(partitions, "fp")  # few bytes make many rows
         return spread.select("*", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
 
-    ordered = keyed(fingerprints.select("fp")).withColumn("before", F.lag("fp").over(bucket.orderBy("fp")))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= radius
-    first = checkpointed(ordered.where(close).select(F.col("fp").alias("a"), F.col("before").alias("b")).distinct())
+    order = ["t", "key", "fp"]
+    ordered = keyed(fingerprints.select("fp")).select(*order).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    first = checkpointed(ordered.mapInPandas(_neighbours(radius), "a long, b long").distinct())
 
     roots = connected_components(first, "a", "b").withColumnRenamed("node", "fp")
-    rooted = fingerprints.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    seen = keyed(rooted).withColumns({"members": F.count("*").over(bucket), "least": F.min("root").over(bucket), "most": F.max("root").over(bucket)})
-    live = checkpointed(seen.where("least < most").select("t", "key", "fp", "members", "root"))  # few buckets are left
+    rooted = checkpointed(fingerprints.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    buckets = keyed(rooted).groupBy("t", "key").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
+    open_buckets = checkpointed(buckets.where("least < most").select("t", "key", "members"))  # few are left
+    live = checkpointed(joined_by_key(keyed(rooted), open_buckets, ["t", "key"], rooted.count(), "members").select("t", "key", "fp", "members", "root"))
     small = live.where(F.col("members") <= large)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(
@@ -147,8 +162,11 @@ def _labelled(rows: DataFrame, radius: int) -> DataFrame:
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(fingerprint_links(classes.select("fp"), radius), "a", "b")
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+    rooted = checkpointed(rooted)
+    named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    answers = joined_by_key(rooted, named, ["root"], rooted.count()).select("fp", "root", "component_id")
+    sizes = rows.groupBy("fp").agg(F.count("*").alias("copies"))
+    return joined_by_key(rows, answers.join(sizes, "fp"), ["fp"], rows.count(), "copies")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:

@@ -67,14 +67,35 @@ def test_quantisation_bound_holds():
 @given(st.integers(2, 40), st.integers(0, 10**6), st.sampled_from([0.5, 0.9, 0.99, 0.01]))
 def test_tile_links_miss_nothing(n, seed, threshold):
     rows = vectors(n, seed, 6)
-    frame = pd.DataFrame({"id": range(n), "copies": 1, "full": [v.tobytes() for v in rows]})
-    links = np.zeros(n, int)
-    half = n // 2
-    a, b = E._Tile(frame[:half], "<f4") if half else None, E._Tile(frame[half:], "<f4")
-    for x, y in [(a, None), (b, None), (a, b)] if half else [(b, None)]:
-        ids, found, _ = E.tile_links(x, y, threshold)
-        links[ids] += found
+    unit = E._units([v.tobytes() for v in rows], "<f4")
+    values, scale, error = E.quantised(unit)
+    frame = pd.DataFrame({"id": range(n), "mark": 7, "copies": 1, "full": [v.tobytes() for v in rows], "q": [v.tobytes() for v in values], "scale": scale, "error": error})
+    links, half = np.zeros(n, int), n // 2
+    for low, high in [(slice(0, half), None), (slice(half, n), None), (slice(0, half), slice(half, n))] if half else [(slice(0, n), None)]:
+        a, b = E.Tile(frame[low]), None if high is None else E.Tile(frame[high])
+        found = E.tile_links(a, b, threshold)
+        links[found["id"]] += found["links"]
+        open_ = set(found[found["unsure"]]["id"])
+        a, b = (None if part is None else frame[part][frame[part]["id"].isin(open_)] for part in (low, high))
+        if len(a) and (b is None or len(b)):
+            found = E.tile_links(E.Tile(a, "<f4"), None if b is None else E.Tile(b, "<f4"), threshold)
+            links[found["id"]] += found["links"]
     unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1)[:, None]
     products = unit @ unit.T
     sure = np.abs(products - threshold) > 1e-12
     assert (links == ((products >= threshold).sum(axis=1) - 1))[sure.all(axis=1)].all()
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.12])
+def test_clusters_equal_brute_force_and_far_tiles_are_not_met(spark, spread):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 32))
+    rows = [(i, [float(x) for x in (centres[i % 30] + spread * np.linalg.norm(centres[i % 30]) * rng.normal(size=32) / np.sqrt(8)).astype(np.float32)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_groups(df, tile=10).collect()}
+    assert found == brute(rows)
+    full = pd.DataFrame({"id": range(300), "mark": range(300), "copies": 1, "size": 128, "full": [np.array(v, "<f4").tobytes() for _, v in rows]})
+    layout = E._layout(spark.createDataFrame(full), "<f4", 10)
+    shipped = pd.concat(E._shipped(layout, "<f4", 0.9)([full]))
+    tiles = layout.tiles[128].sum()
+    assert shipped["others"].map(len).sum() < (0.5 if spread < 0.1 else 1) * 300 * tiles

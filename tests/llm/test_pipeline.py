@@ -1,14 +1,58 @@
+import itertools
+import re
+
 import __spark_entry__
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import personal_data
+from quarry.llm import quality_classifier as C
 from quarry.llm.shared import written
+from tests.llm.test_line_dedup import whole_chunks
 from tests.llm.test_packing import verify
 from tests.llm.test_personal_data import slow_spans
-from tests.llm.test_simhash_dedup import components, slow_fingerprint
+
+
+def kept_by_quality(docs, labels):
+    """The ids a model gives at least one half that is fitted here on every labelled document."""
+    data = sorted((str(i), C.features(docs[i]), float(q > 0)) for i, q in labels if i in docs and q is not None)
+    data.sort(key=lambda r: (r[0], r[2], r[1]))
+    model = C.fit(np.array([x for _, x, _ in data]), np.array([y for *_, y in data]))
+    return {i for i, t in docs.items() if model.probability(np.array([C.features(t)]))[0] >= 0.5}
+
+
+def without_chunks(docs):
+    """Texts less the chunks that an earlier document has, by a table of all chunks so far."""
+    seen, out = {}, {}
+    for i, text in sorted(docs.items()):
+        every = whole_chunks(text)
+        taking = [len(c) > 1 or len(c[0].split()) >= 50 for c in every]
+        left = ["\n".join(c) for k, c in enumerate(every) if not taking[k] or seen.setdefault(tuple(c), (i, k)) == (i, k)]
+        if left:
+            out[i] = "\n".join(left)
+    return out
+
+
+def least_of_near_copies(docs):
+    """The smallest id of each component of pairs with a Jaccard similarity of 0.8 or more, by all pairs."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for i, w in words.items()}
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(docs), 2):
+        common = len(sets[i] & sets[j])
+        if 10 * common >= 8 * (len(sets[i]) + len(sets[j]) - common):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {find(i) for i in docs}
 
 
 def test_stages_one_by_one(spark):
@@ -19,15 +63,14 @@ def test_stages_one_by_one(spark):
         out.append(written(stage(spark, out[-1], sf), name))
     raw, good, cut, single, private, pieces = out
     assert all(d.columns == docs.columns for d in out[:5])
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    assert raw.join(good, "doc_id", "left_anti").join(labels, "doc_id").where("quality = 1").count() == 0
-    assert cut.where(F.length("text") != F.col("n_chars")).count() == 0
-    before = {r.doc_id: slow_fingerprint(r.text, 5) for r in cut.collect()}
-    roots = components(sorted(set(before.values())), 6)
-    least = {}
-    for i in sorted(before):
-        least.setdefault(roots[before[i]], i)
-    assert sorted(r.doc_id for r in single.collect()) == sorted(least.values())
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    raw, good, cut, single = ({r.doc_id: r.text for r in d.collect()} for d in (raw, good, cut, single))
+    assert set(good) == kept_by_quality(raw, labels) and all(good[i] == raw[i] for i in good)
+    assert not {i for i, q in labels if q == 1} & (set(raw) - set(good))
+    assert cut == without_chunks(good)
+    assert out[2].where(F.length("text") != F.col("n_chars")).count() == 0
+    assert set(single) == least_of_near_copies(cut) and all(single[i] == cut[i] for i in single)
+    single = out[3]
     assert private.count() == single.count()
     assert not any(slow_spans(r.text) for r in private.collect())
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

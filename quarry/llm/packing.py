@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import checkpointed
+from quarry.llm.shared import written
 from quarry.llm.tokens import encoder
 
 #: UTF-8 bytes of text in a shard, about; bytes each document counts for besides, which bound a shard's rows.
@@ -50,6 +50,11 @@ class Vocabulary:
     special: tuple[tuple[str, int], ...] = ()
     end: int = 1
 
+    def kind(self) -> np.dtype:
+        """The least unsigned integers that hold every id."""
+        most = max([self.end, encoder(self.ranks, self.pattern).encoding.max_token_value, *(i for _, i in self.special)])
+        return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
     def ids(self, text: str) -> np.ndarray:
         words = encoder(self.ranks, self.pattern)
         if not any(name in text for name, _ in self.special):
@@ -72,8 +77,8 @@ class InvertedIndex:
     def __init__(self, documents: list[np.ndarray]) -> None:
         n = len(documents)
         counted = [np.unique(d, return_counts=True) for d in documents]
-        self.terms = [t for t, _ in counted]
-        terms, tf = (np.concatenate(x) for x in zip(*counted, strict=True))
+        self.terms = [t.astype(np.int64) for t, _ in counted]
+        terms, tf = np.concatenate(self.terms), np.concatenate([n for _, n in counted])
         owner = np.repeat(np.arange(n), [len(t) for t in self.terms])
         lengths = np.array([len(d) for d in documents], float)
         df = np.bincount(terms)
@@ -126,18 +131,21 @@ def pack(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, i
                 number, fill = number + 1, 0
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many documents each token stands, for the rows of a task; token -1 counts the documents."""
-    n, documents = np.zeros(0, np.int64), 0
-    for batch in batches:
-        for b in batch["ids"]:
-            tokens = np.unique(np.frombuffer(b, "<u4"))
-            if tokens[-1] >= len(n):
-                n = np.concatenate([n, np.zeros(int(tokens[-1]) + 1 - len(n), np.int64)])
-            n[tokens] += 1
-        documents += len(batch)
-    seen = np.flatnonzero(n)
-    yield pd.DataFrame({"token": [-1, *seen], "n": [documents, *n[seen]]})
+def _counts(kind: np.dtype) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """In how many documents each token stands, for the rows of a task; token -1 counts the documents."""
+        n, documents = np.zeros(0, np.int64), 0
+        for batch in batches:
+            for b in batch["ids"]:
+                tokens = np.unique(np.frombuffer(b, kind))
+                if tokens[-1] >= len(n):
+                    n = np.concatenate([n, np.zeros(int(tokens[-1]) + 1 - len(n), np.int64)])
+                n[tokens] += 1
+            documents += len(batch)
+        seen = np.flatnonzero(n)
+        yield pd.DataFrame({"token": [-1, *seen], "n": [documents, *n[seen]]})
+
+    return count
 
 
 def _draws(counts: pd.DataFrame) -> np.ndarray:
@@ -150,7 +158,7 @@ def _draws(counts: pd.DataFrame) -> np.ndarray:
     return np.where((df > 1) & (idf > 0), drawn / np.maximum(idf, 1e-9) ** RARE, np.inf)
 
 
-def _terms(ids: Column, draws: np.ndarray) -> Column:
+def _terms(ids: Column, draws: np.ndarray, kind: np.dtype) -> Column:
     """The first and second term of a document: the tokens whose draws are least; -1 for none."""
 
     @F.pandas_udf("first long, second long")
@@ -158,7 +166,7 @@ def _terms(ids: Column, draws: np.ndarray) -> Column:
         for batch in batches:
             found = np.full((len(batch), 2), -1)
             for i, b in enumerate(batch):
-                tokens = np.unique(np.frombuffer(b, "<u4"))
+                tokens = np.unique(np.frombuffer(b, kind))
                 own = draws[:, tokens]
                 at = own.argmin(axis=1)
                 found[i] = np.where(np.isinf(own[[0, 1], at]), -1, tokens[at])
@@ -167,12 +175,12 @@ def _terms(ids: Column, draws: np.ndarray) -> Column:
     return terms(ids)
 
 
-def _filled(window: int, shard_bytes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _filled(window: int, shard_bytes: int, kind: np.dtype) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """From a task's rows, in order, to the pieces of its shards."""
 
     def packed_shard(keys: list, documents: list[np.ndarray], shard: int) -> pd.DataFrame:
         found = [
-            (keys[d], start, length, zlib.crc32(documents[d][start : start + length]), len(documents[d]), (shard << WINDOW_BITS) + number, offset)
+            (keys[d], start, length, zlib.crc32(documents[d][start : start + length].astype("<u4")), len(documents[d]), (shard << WINDOW_BITS) + number, offset)
             for d, start, length, number, offset in pack(documents, window)
         ]
         pieces = pd.DataFrame(found, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -188,7 +196,7 @@ def _filled(window: int, shard_bytes: int) -> Callable[[Iterator[pd.DataFrame]],
                     yield packed_shard(keys, documents, shard)
                     keys, documents, size, shard = [], [], 0, shard + 1
                 keys.append(key)
-                documents.append(np.frombuffer(ids, "<u4"))
+                documents.append(np.frombuffer(ids, kind))
                 size, value = size + more, near
         if documents:
             yield packed_shard(keys, documents, shard)
@@ -202,18 +210,20 @@ def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, text: st
     Shards hold rows of one value of the column ``near``. The driver sees one count for each token of the vocabulary.
     """
 
+    kind = vocabulary.kind()
+
     def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"].astype("Int64"), "near": batch["near"], "bytes": batch["bytes"], "ids": [vocabulary.ids(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"key": batch["key"].astype("Int64"), "near": batch["near"], "bytes": batch["bytes"], "ids": [vocabulary.ids(t).astype(kind).tobytes() for t in batch["text"]]})
 
     value = F.coalesce(F.col(near).cast("string"), F.lit("")) if near else F.lit("")
     whole = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), value.alias("near"), (F.octet_length(whole) + ROW_BYTES).cast("long").alias("bytes"), whole.alias("text"))
-    tokens = checkpointed(rows.mapInPandas(tokenised, "key long, near string, bytes long, ids binary"))
-    counts = tokens.select("ids").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    terms = _terms(F.col("ids"), _draws(counts.toPandas()))
-    drawn = checkpointed(tokens.select("key", "near", "bytes", F.xxhash64("key", "ids").alias("salt"), "ids", terms.alias("t")))
+    tokens = written(rows.mapInPandas(tokenised, "key long, near string, bytes long, ids binary"), "tokens")
+    counts = tokens.select("ids").mapInPandas(_counts(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    terms = _terms(F.col("ids"), _draws(counts.toPandas()), kind)
+    drawn = written(tokens.select("key", "near", "bytes", F.xxhash64("key", "ids").alias("salt"), "ids", terms.alias("t")), "drawn")
     order = ["near", F.col("t.first"), F.col("t.second"), "salt"]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = drawn.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return dealt.select("key", "near", "bytes", "ids").mapInPandas(_filled(window, shard_bytes), PIECES).withColumnRenamed("key", key)
+    return dealt.select("key", "near", "bytes", "ids").mapInPandas(_filled(window, shard_bytes, kind), PIECES).withColumnRenamed("key", key)

@@ -77,7 +77,7 @@ class InvertedIndex:
     def __init__(self, documents: list[np.ndarray]) -> None:
         n = len(documents)
         counted = [np.unique(d, return_counts=True) for d in documents]
-        self.terms = [t.astype(np.int64) for t, _ in counted]
+        self.terms = [t for t, _ in counted]
         terms, tf = np.concatenate(self.terms), np.concatenate([n for _, n in counted])
         owner = np.repeat(np.arange(n), [len(t) for t in self.terms])
         lengths = np.array([len(d) for d in documents], float)
@@ -90,15 +90,23 @@ class InvertedIndex:
         norm = K1 * (1 - B + B * lengths / lengths.mean())
         self.weight = (idf[terms] * tf * (K1 + 1) / (tf + norm[owner]))[order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(df)))])
+        self.end = self.begin[1:]
         self.size = n
 
     def scores(self, document: int) -> np.ndarray:
         """Scores of all documents for the terms of one."""
-        begin, end = self.begin[self.terms[document]], self.begin[self.terms[document] + 1]
+        begin, end = self.begin[self.terms[document]], self.end[self.terms[document]]
         lengths = end - begin
         at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         return np.bincount(self.owner[at], self.weight[at], self.size)
 
+    def keep(self, documents: np.ndarray) -> None:
+        """Leaves only these documents' postings (a boolean for each document); no score of theirs changes."""
+        kept = documents[self.owner]
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        self.owner, self.weight, self.begin = self.owner[kept], self.weight[kept], upto[self.begin]
+        self.end = self.begin[1:]
+
     def nearest(self, document: int) -> list[int]:
         """The documents that share a useful term with one, best first."""
         scores = self.scores(document)
@@ -112,8 +120,12 @@ def pack(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, i
     unused = bytearray(b"\x01") * len(documents)
     following = number = fill = 0
     seed, neighbours = -1, iter(())
-    for _ in range(len(documents)):
+    left = len(documents) // 2
+    for taken in range(len(documents)):
         if fill and seed >= 0:
+            if len(documents) - taken < left:  # half of the postings are of used documents
+                index.keep(np.frombuffer(unused, bool))
+                left //= 2
             neighbours, seed = iter(index.nearest(seed)), -1  # ranked once a window, and only if it has room
         current = next((d for d in neighbours if unused[d]), -1) if fill else -1
         if current < 0:
@@ -131,15 +143,29 @@ def pack(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, i
                 number, fill = number + 1, 0
 
 
+class _Distinct:
+    """The distinct tokens of documents, in any order, by the place where each stands last."""
+
+    def __init__(self) -> None:
+        self.last = np.zeros(0, np.int64)
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        if (most := int(tokens.max())) >= len(self.last):
+            self.last = np.zeros(2 * most + 1, np.int64)
+        at = np.arange(len(tokens))
+        self.last[tokens] = at
+        return tokens[self.last[tokens] == at]
+
+
 def _counts(kind: np.dtype) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """In how many documents each token stands, for the rows of a task; token -1 counts the documents."""
-        n, documents = np.zeros(0, np.int64), 0
+        n, documents, distinct = np.zeros(0, np.int64), 0, _Distinct()
         for batch in batches:
             for b in batch["ids"]:
-                tokens = np.unique(np.frombuffer(b, kind))
-                if tokens[-1] >= len(n):
-                    n = np.concatenate([n, np.zeros(int(tokens[-1]) + 1 - len(n), np.int64)])
+                tokens = distinct(np.frombuffer(b, kind))
+                if len(distinct.last) > len(n):
+                    n = np.concatenate([n, np.zeros(len(distinct.last) - len(n), np.int64)])
                 n[tokens] += 1
             documents += len(batch)
         seen = np.flatnonzero(n)
@@ -163,10 +189,11 @@ def _terms(ids: Column, draws: np.ndarray, kind: np.dtype) -> Column:
 
     @F.pandas_udf("first long, second long")
     def terms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        distinct = _Distinct()
         for batch in batches:
             found = np.full((len(batch), 2), -1)
             for i, b in enumerate(batch):
-                tokens = np.unique(np.frombuffer(b, kind))
+                tokens = distinct(np.frombuffer(b, kind))
                 own = draws[:, tokens]
                 at = own.argmin(axis=1)
                 found[i] = np.where(np.isinf(own[[0, 1], at]), -1, tokens[at])

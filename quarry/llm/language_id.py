@@ -100,7 +100,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", length: int =
 
     counts = rows.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    top = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < length).select("lang", "code", "rank").toPandas()
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length)  # each task keeps its first ``length`` before the shuffle
+    top = top.select("lang", "code", F.expr("rank - 1").alias("rank")).toPandas()
     languages, codes = sorted(top["lang"].unique()), np.sort(top["code"].unique()).astype(np.int64)
     ranks = np.full((len(languages), len(codes)), -1, np.int64)
     ranks[np.searchsorted(languages, top["lang"]) if languages else [], np.searchsorted(codes, top["code"])] = top["rank"]

@@ -55,3 +55,45 @@ def test_held_out_documents_are_recognised(spark):
     row = found.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert row[0] > 0.97 and row[1] > 150
     assert found.count() == docs.count()
+
+
+def slow_ranking(text, length):
+    counts, blanked = {}, "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + " ".join(blanked.split(" ")).strip() + " "
+    while "  " in padded:
+        padded = padded.replace("  ", " ")
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if gram != " ":
+                counts[gram] = counts.get(gram, 0) + 1
+
+    def code(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | ord(c)
+        return value << 21 * (3 - len(gram)) if len(gram) > 1 else value
+
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:length]
+
+
+def test_distances_equal_plain_counting(spark):
+    docs = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and r.lang]
+    train, test = docs[::2], docs[1::2]
+    frame = spark.createDataFrame(train, "text string, lang string")
+    profiles = L.learn(frame, length=150)
+    grams = {}
+    for lang in sorted({x for _, x in train}):
+        counts = {}
+        for text, of in train:
+            if of == lang:
+                codes, n = L.gram_counts(text)
+                for c, k in zip(codes.tolist(), n.tolist(), strict=True):
+                    counts[c] = counts.get(c, 0) + k
+        grams[lang] = {c: i for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:150])}
+    for text, _ in test[:60]:
+        own = L.ranking(text, 150).tolist()
+        assert len(own) == len(slow_ranking(text, 150))
+        out = {lang: sum(abs(ranks[c] - i) if c in ranks else 150 for i, c in enumerate(own)) for lang, ranks in grams.items()}
+        best = min(sorted(out), key=out.get)
+        assert profiles.closest(text) == (best, 1 - out[best] / (150 * len(own)))

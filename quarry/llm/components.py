@@ -27,6 +27,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("v", F.col("least").alias("m"))).distinct()
 
 
+#: Links of a partition, at least, where there are more than ``LEAST_PARTITIONS``: many empty ones would cost each round.
+LINKS, LEAST_PARTITIONS = 250_000, 8
+
+
+def _gathered(edges: DataFrame, rows: int) -> DataFrame:
+    return edges.coalesce(max(LEAST_PARTITIONS, -(-rows // LINKS)))
+
+
 def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Columns ``node`` and ``root`` (smallest node reachable) for every node that has a link.
 
@@ -43,7 +51,7 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
         if now == before or not row[0]:
             break
         before = now
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_gathered(_small_star(_large_star(_gathered(edges, row[0]))), row[0]))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()

@@ -66,14 +66,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """All substrings of ``n`` characters, in order; none if the text is shorter."""
+    """All substrings of ``n`` characters, in order; none if the text is null or shorter."""
+    whole = F.coalesce(text, F.lit(""))
 
     def windows(chars: Column) -> Column:
         at = F.sequence(F.lit(1), F.size(chars) - n + 1)
         every = F.transform(at, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
         return F.when(F.size(chars) >= n, every).otherwise(F.array().cast("array<string>"))
 
-    return let(F.filter(F.split(text, ""), lambda c: c != ""), windows)
+    # a pattern that looks ahead at each place is quick, but would part characters of two code units
+    wide = whole.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(wide, let(F.filter(F.split(whole, ""), lambda c: c != ""), windows)).otherwise(F.regexp_extract_all(whole, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def occurrences(text: Column, word: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,11 +34,30 @@ def latencies(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("n"), upper_median(F.col("latency_ms")).alias("p50"), p95(F.col("latency_ms")).alias("p95"))
 
 
+def _class(value: Column) -> Column:
+    """A number that grows with the value: sixteen to each doubling of its distance from zero."""
+    of = F.signum(value) * F.floor(16 * F.log2(F.abs(value) + 1))
+    return F.when(F.isnan(value), F.lit(2147483647)).otherwise(of.cast("int"))
+
+
 def latencies_of_large(log: DataFrame, *by: str) -> DataFrame:
-    """The same for groups of any size, by numbering rows in order: ties don't matter, as equal values are equal."""
-    order = Window.partitionBy(*by).orderBy("latency_ms")
-    counted = log.where("latency_ms is not null").withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(*by))})
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("latency_ms")))
-    return counted.groupBy(*by).agg(
-        F.count("*").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95")
+    """The same for groups of any size: equal values are counted first, then classes of near values.
+
+    Running counts of the classes, a fixed number in each group, show which class holds a percentile; only the
+    different values of that class are put in order.
+    """
+    value = F.col("latency_ms").cast("double")
+    counted = log.where("latency_ms is not null").groupBy(*by, "latency_ms").agg(F.count("*").alias("c")).withColumn("class", _class(value))
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("class")
+    classes = counted.groupBy(*by, "class").agg(F.sum("c").alias("m")).withColumns({"n": F.sum("m").over(group), "upto": F.sum("m").over(order)})
+    half, most = F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    before = F.col("upto") - F.col("m")
+    holding = classes.withColumns({"half": half, "most": most, "before": before}).where(
+        ((F.col("half") >= F.col("before")) & (F.col("half") < F.col("upto"))) | ((F.col("most") >= F.col("before")) & (F.col("most") < F.col("upto")))
     )
+    x, y = counted.alias("x"), holding.alias("y")
+    same = reduce(and_, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "class")))
+    near = x.join(y, same).select("x.*", "y.n", "y.half", "y.most", "y.before")
+    ranked = near.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "class").orderBy("latency_ms")))
+    at = lambda i: F.min(F.when(F.col("upto") > F.col(i), F.col("latency_ms")))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), at("half").alias("p50"), at("most").alias("p95"))

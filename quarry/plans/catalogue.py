@@ -300,9 +300,9 @@ def chunk_split_long(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_merge_islands(spark: SparkSession, d: str) -> DataFrame:
     """Lines as parts, titled by the language of the document, short ones merged backward; ids and numbers anew."""
-    docs = D.table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("lang").alias("title"), "doc_id", "text").toDF("doc_id", "title", "page", "text")
-    parts = docs.select("doc_id", "title", "page", F.posexplode(F.split("text", "\n")).alias("n", "body")).where("length(body) >= 40")
-    found = chunking.merged(parts.select("doc_id", F.struct("page", "n").alias("seq"), "title", "body"))
+    docs = D.table(spark, d, "documents")
+    parts = docs.select("doc_id", F.col("lang").alias("title"), F.posexplode(F.split("text", "\n")).alias("seq", "body")).where("length(body) >= 40")
+    found = chunking.merged(parts)
     return found.select("doc_id", "chunk_id", F.col("seq").cast("long").alias("seq"), "title", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 

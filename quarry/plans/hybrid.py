@@ -25,10 +25,17 @@ def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, mode: str = "hybrid", top_n: int = 0, among: DataFrame | None = None) -> DataFrame:
-    """``query_id``, ``chunk_id``, ``score``, ``hits`` (comma-joined), ``rk``; an unknown mode means hybrid."""
+    """``query_id``, ``chunk_id``, ``score``, ``hits`` (comma-joined), ``rk``; an unknown mode means hybrid.
+
+    A single mode that can't search (semantic without vectors) finds nothing.
+    """
     n = top_n or DEFAULT.top_n
     if mode in MODES[:3]:
-        (name, rows), *_ = retrieved(queries, chunks, vectors, among=among, modes=(mode,)).items()
+        lists = retrieved(queries, chunks, vectors, among=among, modes=(mode,))
+        if not lists:
+            nothing = F.lit(None).cast(chunks.schema["chunk_id"].dataType)
+            return queries.where(F.lit(False)).select("query_id", nothing.alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(mode).alias("hits"), F.lit(0).alias("rk"))
+        ((name, rows),) = lists.items()
         return rows.where(F.col("rk") <= n).select("query_id", "chunk_id", "score", F.lit(name).alias("hits"), "rk")
     fused = fuse.rrf(fuse.together(retrieved(queries, chunks, vectors, among=among)), top_n=n)
     return fused.select("query_id", "chunk_id", F.col("rrf").alias("score"), F.array_join("hits", ", ").alias("hits"), "rk")

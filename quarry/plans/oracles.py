@@ -240,10 +240,10 @@ in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(strin
         {trimmed("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), '')")} AS body FROM titled GROUP BY doc_id, section)""")
         + "SELECT doc_id, section, title, md5(body) AS body_md5 FROM found WHERE body <> ''",
     "chunk_split_long": with_(PIECES) + "SELECT doc_id, n, length(chunk) AS chars, md5(chunk) AS chunk_md5 FROM split",
-    "chunk_merge_islands": with_("""parts AS (SELECT source AS doc_id, lang AS title, doc_id AS page, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""",
-        "begun AS (SELECT *, NOT (length(body) < 120 AND coalesce(title = lag(title) OVER d, false)) AS begins FROM parts WHERE length(body) >= 40 WINDOW d AS (PARTITION BY doc_id ORDER BY page, n))",
-        "islands AS (SELECT *, sum(begins::int) OVER (PARTITION BY doc_id ORDER BY page, n) AS island FROM begun)",
-        "merged AS (SELECT doc_id, island, arg_min(title, (page, n)) AS title, string_agg(body, ' ' ORDER BY page, n) AS body FROM islands GROUP BY doc_id, island)",
+    "chunk_merge_islands": with_("""parts AS (SELECT doc_id, lang AS title, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""",
+        "begun AS (SELECT *, NOT (length(body) < 120 AND coalesce(title = lag(title) OVER d, false)) AS begins FROM parts WHERE length(body) >= 40 WINDOW d AS (PARTITION BY doc_id ORDER BY n))",
+        "islands AS (SELECT *, sum(begins::int) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM begun)",
+        "merged AS (SELECT doc_id, island, arg_min(title, n) AS title, string_agg(body, ' ' ORDER BY n) AS body FROM islands GROUP BY doc_id, island)",
         "numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS seq FROM merged)")
         + "SELECT doc_id, doc_id || '#' || printf('%04d', seq) AS chunk_id, seq, title, md5(body) AS body_md5 FROM numbered",
     "toc_flag": with_(CHUNKS, rf"""flags AS (SELECT chunk_id, chunk_id % 12 < 8 AS front, regexp_matches({trimmed(_TAIL)}, '\s\d{{1,3}}$') AS tail,

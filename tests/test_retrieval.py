@@ -1,11 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import evaluation, fuse, retrieve
+from quarry.operators import evaluation, fuse, logs, retrieve
 from quarry.plans import hybrid
 
 DOCS = [
@@ -145,3 +146,28 @@ def test_plans(spark):
     assert "EqualTo(l_orderkey,5)" in plan and "ReadSchema: struct<l_orderkey:bigint>" in plan
     plan = catalogue.knn_cosine_top30(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_grams_of_any_characters(spark):
+    texts = ["", "ab", "abc", "aé日b\nc", "a👍🏽bc𝒳", "👍", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.grams(F.col("t"), 3)).collect()]
+    assert got == [[t[i : i + 3] for i in range(len(t) - 2)] for t in (t or "" for t in texts)]
+
+
+def test_percentiles_of_large_groups_equal_those_by_index(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, -3.5, rng.random() * 1000, 7.0])) for _ in range(3000)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "mode string, latency_ms double")
+    got = {r["mode"]: (r.n, r.p50, r.p95) for r in logs.latencies_of_large(df, "mode").collect()}
+    want = {}
+    for mode in {m for m, v in rows if v is not None}:
+        v = sorted(x for m, x in rows if m == mode and x is not None)
+        want[mode] = (len(v), v[len(v) // 2], v[min(len(v) - 1, int(len(v) * 0.95))])
+    assert got == want
+
+
+def test_a_mode_that_cannot_search_finds_nothing(spark):
+    queries = spark.createDataFrame([(1, "words")], "query_id long, query string")
+    chunks = spark.createDataFrame([(7, "title", "some words")], "chunk_id long, title string, body string")
+    found = hybrid.search(queries, chunks, mode="semantic")
+    assert found.columns == hybrid.search(queries, chunks, mode="keyword").columns and found.count() == 0

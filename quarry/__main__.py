@@ -24,6 +24,7 @@ def main() -> None:
     find.add_argument("chunks")
     find.add_argument("query")
     find.add_argument("--mode", default="hybrid", choices=hybrid.MODES)
+    find.add_argument("--index", help="index of these chunks")
     find.add_argument("--top", type=int, default=10)
     a = parser.parse_args()
     spark = SparkSession.builder.appName("quarry").getOrCreate()
@@ -35,7 +36,8 @@ def main() -> None:
         index.write_index(spark.read.parquet(a.chunks), a.index)
     else:
         asked = spark.createDataFrame([(1, a.query)], "query_id long, query string")
-        hybrid.search(asked, spark.read.parquet(a.chunks), mode=a.mode, top_n=a.top).orderBy("rk").show(a.top, 100)
+        stored = index.read_index(spark, a.index) if a.index else None
+        hybrid.search(asked, spark.read.parquet(a.chunks), mode=a.mode, top_n=a.top, stored=stored).orderBy("rk").show(a.top, 100)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,9 @@ A chunk table has ``chunk_id``, ``title`` and ``body`` and may have more columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -28,6 +30,22 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", length.cast("long").alias("len"))
 
 
+class Index(NamedTuple):
+    """What lexical retrievers read of a chunk table: its ``postings`` and ``lengths``."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def built(chunks: DataFrame) -> Index:
+    return Index(postings(chunks), chunk_lengths(chunks))
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The index that ``write_index`` wrote; it serves only the chunks that it was built from."""
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row: ``n`` chunks and their average length ``avgdl``."""
     return lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))

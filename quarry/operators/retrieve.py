@@ -45,16 +45,17 @@ def bm25_weight(tf: Column, length: Column, df: Column, n: Column, avgdl: Column
     return idf * tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * length / avgdl))
 
 
-def keyword_scores(queries: DataFrame, chunks: DataFrame, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT) -> DataFrame:
+def keyword_scores(queries: DataFrame, chunks: DataFrame, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
     """BM25 scores of all chunks with any term of the query (``match`` AND: with all); statistics cover all chunks.
 
-    ``among``, a table of ``chunk_id``, restricts what is returned, not the statistics.
+    ``among``, a table of ``chunk_id``, restricts what is returned, not the statistics. ``stored`` is the index of ``chunks``,
+    if there is one; else it is built for this search.
     """
     terms = query_terms(queries)
-    wanted = I.postings(chunks).join(terms.select("term").distinct(), "term", "left_semi")
+    found = stored or I.built(chunks)
+    wanted = found.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = I.chunk_lengths(chunks)
-    hits = wanted.join(df, "term").join(terms, "term").join(lengths, "chunk_id").crossJoin(I.corpus_stats(lengths))  # one row
+    hits = wanted.join(df, "term").join(terms, "term").join(found.lengths, "chunk_id").crossJoin(I.corpus_stats(found.lengths))  # one row
     if among is not None:
         hits = hits.join(among.select("chunk_id"), "chunk_id", "left_semi")
     tf = s.bm25_title * F.col("tf_title") + s.bm25_body * F.col("tf_body")
@@ -66,14 +67,15 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame, among: DataFrame | Non
     return scores.select("query_id", "chunk_id", "score")
 
 
-def keyword(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT) -> DataFrame:
-    return ranked(keyword_scores(queries, chunks, among, match, s), k)
+def keyword(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
+    return ranked(keyword_scores(queries, chunks, among, match, s, stored), k)
 
 
-def cover_density(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None) -> DataFrame:
+def cover_density(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, stored: I.Index | None = None) -> DataFrame:
     """Cover density for an OR query: each match is a cover, of weight 1 in the title and 0.4 in the body, over 1 + ln(length)."""
     terms = query_terms(queries)
-    hits = I.postings(among_rows(chunks, among)).join(terms, "term").join(I.chunk_lengths(chunks), "chunk_id")
+    found = stored or I.built(among_rows(chunks, among))
+    hits = among_rows(found.postings, among if stored else None).join(terms, "term").join(found.lengths, "chunk_id")
     weight = F.sum(F.col("tf_title") * 1.0 + F.col("tf_body") * 0.4)
     scores = hits.groupBy("query_id", "chunk_id", "len").agg(weight.alias("w"))
     return ranked(scores.select("query_id", "chunk_id", F.round(F.col("w") / (1 + F.log(F.col("len").cast("double"))), 9).alias("score")), k)

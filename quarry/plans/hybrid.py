@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
-from quarry.operators import fuse, retrieve
+from quarry.operators import fuse, index, retrieve
 
 DEFAULT = Settings()
 MODES = ("keyword", "semantic", "fallback", "hybrid")
 
 
-def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, modes: tuple[str, ...] = MODES[:3]) -> dict[str, DataFrame]:
+def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, modes: tuple[str, ...] = MODES[:3], stored: index.Index | None = None) -> dict[str, DataFrame]:
     """The ranked list of each retriever; without vectors (or query vectors) there is no semantic one."""
     lists = {}
     if "keyword" in modes:
-        lists["keyword"] = retrieve.keyword(queries, chunks, k, among)
+        lists["keyword"] = retrieve.keyword(queries, chunks, k, among, stored=stored)
     if "semantic" in modes and vectors is not None and "vector" in queries.columns:
         lists["semantic"] = retrieve.semantic(queries, vectors, k, among=among)
     if "fallback" in modes:
@@ -24,20 +24,20 @@ def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
     return lists
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, mode: str = "hybrid", top_n: int = 0, among: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, mode: str = "hybrid", top_n: int = 0, among: DataFrame | None = None, stored: index.Index | None = None) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score``, ``hits`` (comma-joined), ``rk``; an unknown mode means hybrid.
 
     A single mode that can't search (semantic without vectors) finds nothing.
     """
     n = top_n or DEFAULT.top_n
     if mode in MODES[:3]:
-        lists = retrieved(queries, chunks, vectors, among=among, modes=(mode,))
+        lists = retrieved(queries, chunks, vectors, among=among, modes=(mode,), stored=stored)
         if not lists:
             nothing = F.lit(None).cast(chunks.schema["chunk_id"].dataType)
             return queries.where(F.lit(False)).select("query_id", nothing.alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(mode).alias("hits"), F.lit(0).alias("rk"))
         ((name, rows),) = lists.items()
         return rows.where(F.col("rk") <= n).select("query_id", "chunk_id", "score", F.lit(name).alias("hits"), "rk")
-    fused = fuse.rrf(fuse.together(retrieved(queries, chunks, vectors, among=among)), top_n=n)
+    fused = fuse.rrf(fuse.together(retrieved(queries, chunks, vectors, among=among, stored=stored)), top_n=n)
     return fused.select("query_id", "chunk_id", F.col("rrf").alias("score"), F.array_join("hits", ", ").alias("hits"), "rk")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import evaluation, fuse, logs, retrieve
+from quarry.operators import evaluation, fuse, index, logs, retrieve
 from quarry.plans import hybrid
 
 DOCS = [
@@ -171,3 +171,22 @@ def test_a_mode_that_cannot_search_finds_nothing(spark):
     chunks = spark.createDataFrame([(7, "title", "some words")], "chunk_id long, title string, body string")
     found = hybrid.search(queries, chunks, mode="semantic")
     assert found.columns == hybrid.search(queries, chunks, mode="keyword").columns and found.count() == 0
+
+
+def test_a_stored_index_finds_what_a_built_one_finds(spark, chunks, tmp_path):
+    path = str(tmp_path / "index")
+    index.write_index(chunks, path)
+    stored = index.read_index(spark, path)
+    queries = asked(spark, "bread banana", "cream tart", "nothing such", "")
+    among = chunks.where("chunk_id <> 'c'")
+    no_texts = chunks.select("chunk_id")  # the stored index is read in their place
+
+    def rows(found):
+        return sorted(map(tuple, found.collect()))
+
+    for some in (None, among):
+        for match in ("OR", "AND"):
+            assert rows(retrieve.keyword(queries, no_texts, among=some, match=match, stored=stored)) == rows(retrieve.keyword(queries, chunks, among=some, match=match))
+        assert rows(retrieve.cover_density(queries, no_texts, among=some, stored=stored)) == rows(retrieve.cover_density(queries, chunks, among=some))
+    assert rows(hybrid.search(queries, chunks, stored=stored)) == rows(hybrid.search(queries, chunks))
+    assert rows(hybrid.search(queries, no_texts, mode="keyword", stored=stored))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +41,32 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
 
     slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
     return let(let(slots, counted), scaled)
+
+
+#: Takes texts, gives a vector for each, in order.
+Model = Callable[[list[str]], Sequence[Sequence[float]]]
+
+
+def embedding(text: Column, load: Callable[[], Model], block: int = 64) -> Column:
+    """Vectors of ``text`` by a model of one's own, as an array of floats; null for a null text.
+
+    ``load`` is called once in each task, on the executor, before the first text; the model then gets at most ``block``
+    texts at once, empty ones too. A model that gives more or fewer vectors than it got texts is an error.
+    """
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = None
+        for batch in batches:
+            model = model or load()
+            texts = batch.dropna()
+            found = []
+            for start in range(0, len(texts), block):
+                part = texts.iloc[start : start + block].tolist()
+                given = [[float(x) for x in v] for v in model(part)]
+                if len(given) != len(part):
+                    raise ValueError(f"the model gave {len(given)} vectors for {len(part)} texts")
+                found += given
+            yield pd.Series(found, index=texts.index, dtype=object).reindex(batch.index).astype(object).where(batch.notna(), None)
+
+    return vectors(text)

@@ -190,3 +190,22 @@ def test_a_stored_index_finds_what_a_built_one_finds(spark, chunks, tmp_path):
         assert rows(retrieve.cover_density(queries, no_texts, among=some, stored=stored)) == rows(retrieve.cover_density(queries, chunks, among=some))
     assert rows(hybrid.search(queries, chunks, stored=stored)) == rows(hybrid.search(queries, chunks))
     assert rows(hybrid.search(queries, no_texts, mode="keyword", stored=stored))
+
+
+def test_embedding_by_a_model_of_ones_own(spark):
+    def load():
+        def model(texts):
+            assert 0 < len(texts) <= 3
+            return [[len(t), t.count("a")] for t in texts]
+
+        return model
+
+    texts = [None, "", "banana", "a" * 100_000] + [f"text {i}" for i in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    found = {r.id: r.v for r in rows.select("id", V.embedding(F.col("text"), load, block=3).alias("v")).collect()}
+    assert found == {i: None if t is None else [len(t), t.count("a")] for i, t in enumerate(texts)}
+    nulls = spark.createDataFrame([(None,)], "text string").select(V.embedding(F.col("text"), load).alias("v"))
+    assert nulls.first().v is None
+    assert rows.where("false").select(V.embedding(F.col("text"), load)).count() == 0
+    with pytest.raises(Exception, match="the model gave 0 vectors for 1 texts"):
+        spark.createDataFrame([("x",)], "text string").select(V.embedding(F.col("text"), lambda: lambda t: [])).collect()

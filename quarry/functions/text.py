@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -48,6 +48,55 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def _marks() -> tuple[str, str]:
+    """Lower-case Latin, Greek and Cyrillic letters with marks, and the letters that are left without them; from Unicode's decompositions."""
+    pairs = []
+    for letter in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        first, *marks = unicodedata.normalize("NFD", letter)
+        if marks and all(unicodedata.combining(m) for m in marks) and letter == letter.lower():
+            pairs.append((letter, first))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case without diacritics, composed or combining: ``Éclair`` as ``eclair``; stays inside the JVM."""
+    return F.regexp_replace(F.translate(F.lower(text), *_marks()), r"\p{M}+", "")
+
+
+def folded_tokens(text: Column) -> Column:
+    """``tokens`` without diacritics."""
+    return tokens(unmarked(text))
+
+
+def tokens_with_words(words: Sequence[str], before: Callable[[Column], Column] = F.lower) -> Callable[[Column], Column]:
+    """An analyser that keeps each of ``words``, which may hold blanks and marks, as one token where it stands alone; the longest wins.
+
+    ``before`` prepares words and texts alike. The words go into one pattern: for lists of a user's size, not for vocabularies.
+    """
+    spark = SparkSession.active()
+    prepared = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(before(F.col("w"))).collect()] if words else []
+    listed = sorted({w for w in prepared if w.strip()}, key=lambda w: (-len(w), w))
+    alone = r"(?<![\p{L}\p{N}])(?:" + "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in listed) + r")(?![\p{L}\p{N}])|" if listed else ""
+    return lambda text: F.regexp_extract_all(before(F.coalesce(text, F.lit(""))), F.lit(alone + TOKEN), F.lit(0))
+
+
+#: Takes a text, gives its tokens.
+Tokenizer = Callable[[str], Sequence[str]]
+
+
+def tokens_by(load: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
+    """An analyser around a tokenizer of one's own, such as a morphological one; ``load`` is called once in each task. Texts come in NFC."""
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = None
+        for batch in batches:
+            tokenizer = tokenizer or load()
+            yield pd.Series([[str(t) for t in tokenizer(unicodedata.normalize("NFC", x))] if x else [] for x in batch], index=batch.index, dtype=object)
+
+    return found
+
+
 def fts_query(text: Column, op: str = "OR") -> Column:
     """Quoted tokens joined by ``op``; null if there are none."""
     quoted = F.transform(tokens(text), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))

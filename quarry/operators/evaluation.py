@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators import index, substring
+
 KS = (1, 3, 5, 10)
 
 
-def judged(ranked: DataFrame, gold: DataFrame, queries: DataFrame, by: tuple[str, ...] = (), ks: tuple[int, ...] = KS) -> DataFrame:
+def judged(ranked: DataFrame, gold: DataFrame, queries: DataFrame, by: tuple[str, ...] = (), ks: tuple[int, ...] = KS, size: DataFrame | None = None) -> DataFrame:
     """For each query (and each value of ``by``): ``hit_k``, ``recall_k`` and reciprocal rank ``rr``.
 
-    ``gold`` has distinct ``query_id``, ``chunk_id``; queries without results or golds count as zero.
+    ``gold`` has distinct ``query_id``, ``chunk_id``; queries without results or golds count as zero. Where golds are too many
+    to list, ``size`` (``query_id``, ``golds``) counts them and ``gold`` has those among the results.
     """
-    size = gold.groupBy("query_id").agg(F.count("*").alias("golds"))
+    size = gold.groupBy("query_id").agg(F.count("*").alias("golds")) if size is None else size
     groups = ranked.select(*by).distinct() if by else None
     every = queries.select("query_id").distinct()
     every = every.crossJoin(groups) if groups is not None else every  # few modes
@@ -36,12 +39,13 @@ def means(rows: DataFrame, by: tuple[str, ...] = (), ks: tuple[int, ...] = KS) -
     )
 
 
-def gold_by_substring(queries: DataFrame, chunks: DataFrame, least: int = 1, most: int = 60) -> DataFrame:
+def gold_by_substring(queries: DataFrame, chunks: DataFrame, least: int = 1, most: int = 60, stored: index.Index | None = None) -> DataFrame:
     """Chunks whose body contains the query (ASCII case ignored), for queries with ``least`` to ``most`` of them."""
     asked = queries.select("query_id", F.lower("query").alias("needle"))
-    pairs = chunks.select("chunk_id", F.lower("body").alias("text")).join(asked, F.col("text").contains(F.col("needle"))).select("query_id", "chunk_id")
-    sizes = pairs.groupBy("query_id").agg(F.count("*").alias("golds")).where(F.col("golds").between(least, most))
-    return pairs.join(sizes.select("query_id"), "query_id", "left_semi")
+    hits = substring.containing(asked.select("needle").distinct(), stored or index.built(chunks), F.lower("body"))
+    pairs = asked.join(hits.select("needle", "chunk_id"), "needle").select("query_id", "chunk_id")
+    size = F.count("*").over(Window.partitionBy("query_id"))
+    return pairs.withColumn("golds", size).where(F.col("golds").between(least, most)).select("query_id", "chunk_id")
 
 
 def nth(values: Column, at: Column) -> Column:

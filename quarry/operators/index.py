@@ -1,49 +1,64 @@
-"""Lexical and n-gram indexes as tables.
+"""Lexical and n-gram indexes as tables, made inside a plan or stored once for many searches.
 
-A chunk table has ``chunk_id``, ``title`` and ``body`` and may have more columns.
+A chunk table has ``chunk_id``, ``title`` and ``body`` and may have more columns. Stored tables are bucketed by what
+searches look up (terms, n-grams, chunk ids): a search for few of them reads only their buckets, and a join on them
+moves no postings.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
+#: Takes a text column, gives an array of tokens.
+Analyser = Callable[[Column], Column]
+GRAM = 3
+#: Up to so many different terms or n-grams are handed to the scan as a filter.
+MOST_PRUNED = 1000
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """``term``, ``chunk_id``, ``tf_title``, ``tf_body``; only counts are shuffled."""
-    title = F.transform(T.tokens(F.col("title")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("title"), F.lit(0).alias("body")))
-    body = F.transform(T.tokens(F.col("body")), lambda t: F.struct(t.alias("term"), F.lit(0).alias("title"), F.lit(1).alias("body")))
-    return (
-        chunks.select("chunk_id", F.explode(F.concat(title, body)).alias("t"))
-        .groupBy("t.term", "chunk_id")
-        .agg(F.sum("t.title").alias("tf_title"), F.sum("t.body").alias("tf_body"))
-    )
 
+def postings(chunks: DataFrame, analyse: Analyser = T.tokens) -> DataFrame:
+    """``term``, ``chunk_id``, ``tf_title``, ``tf_body``, ``at`` (places in order), ``n_title`` and ``len`` (tokens of the chunk).
 
-def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    Places count from 0 through the title, leave out one, and go on through the body, so that nothing spans both.
+    """
+    rows = chunks.select("chunk_id", analyse(F.col("title")).alias("title"), analyse(F.col("body")).alias("body"))
+    placed = lambda c, shift: F.transform(c, lambda t, i: F.struct(t.alias("term"), (i + shift).alias("at")))
+    every = F.concat(placed("title", F.lit(0)), placed("body", F.size("title") + 1))
+    rows = rows.select("chunk_id", F.size("title").alias("n_title"), (F.size("title") + F.size("body")).cast("long").alias("len"), F.explode(every).alias("t"))
+    return rows.groupBy("t.term", "chunk_id").agg(
+        F.count_if(F.col("t.at") < F.col("n_title")).alias("tf_title"), F.count_if(F.col("t.at") > F.col("n_title")).alias("tf_body"),
+        F.sort_array(F.collect_list("t.at")).alias("at"), F.any_value("n_title").alias("n_title"), F.any_value("len").alias("len"),
+    )
+
+
+def chunk_lengths(chunks: DataFrame, analyse: Analyser = T.tokens) -> DataFrame:
     """``chunk_id`` and ``len``, its number of tokens."""
-    length = F.size(T.tokens(F.col("title"))) + F.size(T.tokens(F.col("body")))
+    length = F.size(analyse(F.col("title"))) + F.size(analyse(F.col("body")))
     return chunks.select("chunk_id", length.cast("long").alias("len"))
 
 
-class Index(NamedTuple):
-    """What lexical retrievers read of a chunk table: its ``postings`` and ``lengths``."""
-
-    postings: DataFrame
-    lengths: DataFrame
+def gram_index(chunks: DataFrame, n: int = GRAM) -> DataFrame:
+    """Distinct ``gram`` and ``chunk_id`` of lower-case bodies."""
+    return chunks.select("chunk_id", F.explode(F.array_distinct(T.grams(F.lower("body"), n))).alias("gram"))
 
 
-def built(chunks: DataFrame) -> Index:
-    return Index(postings(chunks), chunk_lengths(chunks))
+def folded(text: Column) -> Column:
+    """Lower case that doesn't depend on what stands beside a letter, so that parts of a text fold as the text does."""
+    return F.translate(F.lower(text), "ς", "σ")
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    """The index that ``write_index`` wrote; it serves only the chunks that it was built from."""
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+def substring_grams(chunks: DataFrame) -> DataFrame:
+    """Distinct ``gram`` and ``chunk_id``: the n-grams of folded bodies; a body too short for one is its own."""
+    text = folded(F.col("body"))
+    whole = F.when(F.length(text).between(1, GRAM - 1), F.array(text)).otherwise(F.array_distinct(T.grams(text, GRAM)))
+    return chunks.select("chunk_id", F.explode(whole).alias("gram"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -51,15 +66,92 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-def gram_index(chunks: DataFrame, n: int = 3) -> DataFrame:
-    """Distinct ``gram`` and ``chunk_id`` of lower-case bodies."""
-    return chunks.select("chunk_id", F.explode(F.array_distinct(T.grams(F.lower("body"), n))).alias("gram"))
+def sizes(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("df"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """What retrievers read of a chunk table.
+
+    ``postings``; ``terms`` (``term``, ``df``); ``grams`` (``gram``, ``chunk_id``); ``gram_sizes`` (``gram``, ``df``); ``texts`` (``chunk_id``,
+    ``body``); ``stats``, one row: ``n``, ``avgdl`` in tokens and ``gram_avgdl`` in n-grams; ``analyse``, which queries go through as well.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    grams: DataFrame
+    gram_sizes: DataFrame
+    texts: DataFrame
+    stats: DataFrame
+    analyse: Analyser = T.tokens
+
+
+def _stats(chunks: DataFrame, analyse: Analyser) -> DataFrame:
+    tokens = F.size(analyse(F.col("title"))) + F.size(analyse(F.col("body")))
+    return chunks.agg(F.count("*").alias("n"), F.avg(tokens).alias("avgdl"), F.avg(gram_length(F.col("body"))).alias("gram_avgdl"))
+
+
+def gram_length(body: Column) -> Column:
+    return F.greatest(F.length(body) - (GRAM - 1), F.lit(0))
+
+
+def built(chunks: DataFrame, analyse: Analyser = T.tokens) -> Index:
+    """The index of ``chunks`` as part of whatever plan reads it."""
+    terms, grams = postings(chunks, analyse), substring_grams(chunks)
+    return Index(terms, sizes(terms, "term"), grams, sizes(grams, "gram"), chunks.select("chunk_id", "body"), _stats(chunks, analyse), analyse)
+
+
+#: The stored tables and what each is bucketed by.
+_KEYS = {"postings": "term", "terms": "term", "grams": "gram", "gram_sizes": "gram", "texts": "chunk_id"}
+
+
+def _table(path: str, part: str) -> str:
+    return f"quarry_{hashlib.md5(path.encode()).hexdigest()[:16]}_{part}"
+
+
+def write_index(chunks: DataFrame, path: str, buckets: int | None = None, analyse: Analyser = T.tokens) -> None:
+    """All tables of the index under ``path``, as Parquet, in buckets (by default as many as a shuffle has partitions).
+
+    Rows are dealt by bucket and very large buckets to several tasks, so that one term in every chunk is no task of its own.
+    """
+    spark = chunks.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(rows: DataFrame, part: str) -> DataFrame:
+        key, name = _KEYS[part], _table(path, part)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        dealt = rows.hint("rebalance", F.col(key))
+        dealt.write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", f"{path}/{part}").saveAsTable(name)
+        return spark.table(name)
+
+    terms = write(postings(chunks, analyse), "postings")
+    write(sizes(terms, "term"), "terms")
+    grams = write(substring_grams(chunks), "grams")
+    write(sizes(grams, "gram"), "gram_sizes")
+    texts = write(chunks.select("chunk_id", "body"), "texts")
+    lengths = terms.groupBy("chunk_id").agg(F.any_value("len").alias("len"))
+    total = lengths.agg(F.sum("len").alias("tokens")).crossJoin(texts.agg(F.count("*").alias("n"), F.avg(gram_length(F.col("body"))).alias("gram_avgdl")))  # one row each
+    total.select("n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"), "gram_avgdl", F.lit(n).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str, analyse: Analyser = T.tokens) -> Index:
+    """The index that ``write_index`` wrote, with the same ``analyse``; it serves only the chunks that it was built from."""
+    stats = spark.read.parquet(f"{path}/stats")
+    n, tables = stats.first()["buckets"], {}
+    for part, key in _KEYS.items():
+        name = _table(path, part)
+        columns = ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(f"{path}/{part}").dtypes)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # only its name: the rows stay
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{path}/{part}'")
+        tables[part] = spark.table(name)
+    return Index(**tables, stats=stats.drop("buckets"), analyse=analyse)
+
 
+def needed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` less those that no ``key`` of ``wanted`` asks for, if these are few: then the scan reads their buckets only.
 
-def write_index(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Postings sorted by term, lengths and n-grams as Parquet, so that a term's rows are read from few row groups."""
-    terms = postings(chunks)
-    terms = terms.repartitionByRange(buckets, "term") if buckets else terms.repartitionByRange("term")
-    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    chunk_lengths(chunks).write.mode("overwrite").parquet(f"{path}/lengths")
-    gram_index(chunks).write.mode("overwrite").parquet(f"{path}/grams")
+    Fetches at most ``MOST_PRUNED`` + 1 keys; the join that follows does the rest.
+    """
+    keys = [r[0] for r in wanted.select(key).distinct().limit(MOST_PRUNED + 1).collect()]
+    return rows.where(F.col(key).isin(keys)) if len(keys) <= MOST_PRUNED else rows

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from quarry.config import Settings
 from quarry.functions import text as T
-from quarry.functions import vectors as V
 from quarry.operators import index as I
+from quarry.operators import nearest, substring
 
 DEFAULT = Settings()
 
@@ -34,9 +34,42 @@ def ranked(scores: DataFrame, k: int | None, *by: str) -> DataFrame:
     return rows if k is None else rows.where(F.col("rk") <= k)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, analyse: I.Analyser = T.tokens) -> DataFrame:
     """``query_id``, ``term`` and how often the query has it."""
-    return queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return queries.select("query_id", F.explode(analyse(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def query_phrases(queries: DataFrame, analyse: I.Analyser = T.tokens) -> DataFrame:
+    """``query_id``, ``phrase`` (an array of terms) and how often the query has it.
+
+    What stands between double quotes is one phrase, and so is every other white-space word: ``4.5`` is 4 right before 5.
+    """
+    parts = F.regexp_extract_all("query", F.lit(r'"[^"]*"|[^\s"]+'), F.lit(0))
+    rows = queries.select("query_id", F.explode(parts).alias("part")).select("query_id", analyse(F.col("part")).alias("phrase"))
+    return rows.where(F.size("phrase") > 0).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+
+
+def term_hits(terms: DataFrame, found: I.Index) -> DataFrame:
+    """``terms`` (``query_id``, ``term``, ``times``) with their postings and ``df``."""
+    asked = terms.join(I.needed(found.terms, "term", terms), "term")
+    return I.needed(found.postings, "term", terms).join(asked, "term")
+
+
+def phrase_hits(phrases: DataFrame, found: I.Index) -> DataFrame:
+    """``phrases`` (``query_id``, ``phrase``, ``times``) with ``chunk_id``, ``tf_title``, ``tf_body``, ``len`` and ``df`` of the phrase as a whole.
+
+    A phrase stands where each of its terms stands at its own distance behind the first: an equal join on terms, then a
+    count of terms by place.
+    """
+    words = phrases.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("nth", "term"))
+    placed = I.needed(found.postings, "term", words).join(words, "term").select("phrase", "chunk_id", "n_title", "len", F.explode(F.transform("at", lambda p: p - F.col("nth"))).alias("start"))
+    whole = placed.groupBy("phrase", "chunk_id", "start").agg(F.count("*").alias("n"), F.any_value("n_title").alias("n_title"), F.any_value("len").alias("len"))
+    whole = whole.where(F.col("n") == F.size("phrase"))
+    tf = whole.groupBy("phrase", "chunk_id").agg(
+        F.count_if(F.col("start") < F.col("n_title")).alias("tf_title"), F.count_if(F.col("start") > F.col("n_title")).alias("tf_body"), F.any_value("len").alias("len")
+    )
+    # a window over the chunks of one phrase, in place of a second pass over the postings
+    return tf.withColumn("df", F.count("*").over(Window.partitionBy("phrase"))).join(phrases, "phrase")
 
 
 def bm25_weight(tf: Column, length: Column, df: Column, n: Column, avgdl: Column, s: Settings = DEFAULT) -> Column:
@@ -45,19 +78,20 @@ def bm25_weight(tf: Column, length: Column, df: Column, n: Column, avgdl: Column
     return idf * tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * length / avgdl))
 
 
-def keyword_scores(queries: DataFrame, chunks: DataFrame, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
+def keyword_scores(
+    queries: DataFrame, chunks: DataFrame, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT, stored: I.Index | None = None, phrases: bool = False
+) -> DataFrame:
     """BM25 scores of all chunks with any term of the query (``match`` AND: with all); statistics cover all chunks.
 
     ``among``, a table of ``chunk_id``, restricts what is returned, not the statistics. ``stored`` is the index of ``chunks``,
-    if there is one; else it is built for this search.
+    if there is one; else it is built for this search. With ``phrases`` a query consists of phrases in place of terms.
     """
-    terms = query_terms(queries)
     found = stored or I.built(chunks)
-    wanted = found.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = wanted.join(df, "term").join(terms, "term").join(found.lengths, "chunk_id").crossJoin(I.corpus_stats(found.lengths))  # one row
+    terms = query_phrases(queries, found.analyse) if phrases else query_terms(queries, found.analyse)
+    hits = phrase_hits(terms, found) if phrases else term_hits(terms, found)
     if among is not None:
         hits = hits.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    hits = hits.crossJoin(found.stats)  # one row
     tf = s.bm25_title * F.col("tf_title") + s.bm25_body * F.col("tf_body")
     part = F.col("times") * bm25_weight(tf, F.col("len"), F.col("df"), F.col("n"), F.col("avgdl"), s)
     scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"))
@@ -67,18 +101,65 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame, among: DataFrame | Non
     return scores.select("query_id", "chunk_id", "score")
 
 
-def keyword(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
-    return ranked(keyword_scores(queries, chunks, among, match, s, stored), k)
+def keyword(
+    queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, match: str = "OR", s: Settings = DEFAULT, stored: I.Index | None = None, phrases: bool = False
+) -> DataFrame:
+    return ranked(keyword_scores(queries, chunks, among, match, s, stored, phrases), k)
+
+
+#: Weights of places in the title and in the body.
+TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
+
+
+def cover_density(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, stored: I.Index | None = None, match: str = "OR") -> DataFrame:
+    """Sums of covers over 1 + ln(length). In an OR query each match is a cover, of weight 1 in the title and 0.4 in the body.
+
+    In an AND query (``match``) only chunks with all terms are found, and a cover is a shortest stretch that has them all:
+    one that holds no shorter one. Its weight is the harmonic mean of the weights of all matches in it, over 1 + the number
+    of other places in it.
+    """
+    found = stored or I.built(chunks)
+    terms = query_terms(queries, found.analyse)
+    hits = among_rows(I.needed(found.postings, "term", terms), among).join(terms, "term")
+    if match.upper() == "AND":
+        sums = _covers(hits, terms)
+    else:
+        weight = F.sum(F.col("tf_title") * TITLE_WEIGHT + F.col("tf_body") * BODY_WEIGHT)
+        sums = hits.groupBy("query_id", "chunk_id", "len").agg(weight.alias("w"))
+    return ranked(sums.select("query_id", "chunk_id", F.round(F.col("w") / (1 + F.log(F.col("len").cast("double"))), 9).alias("score")), k)
+
+
+def _covers(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id``, ``chunk_id``, ``len`` and ``w``, the weight of all covers, of the chunks with every term of the query.
+
+    One sweep over the places of a chunk in order, all in one fold: the last place of each term is kept, a cover ends
+    where the earliest of these moves on, and running sums of matches give what lies between.
+    """
+    needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
+    numbered = terms.select("query_id", "term", (F.row_number().over(Window.partitionBy("query_id").orderBy("term")) - 1).alias("no"))  # terms of one query
+    places = hits.join(numbered, ["query_id", "term"]).groupBy("query_id", "chunk_id", "len", "n_title").agg(
+        F.count("*").alias("have"), F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("at"), F.col("no").alias("no")))))).alias("places")
+    )
+    places = places.join(needed, "query_id").where("have = needed")
+    # of each match: how many came before it and the sum of their inverse weights
+    inverse = lambda p: F.when(p["at"] < F.col("n_title"), F.lit(1 / TITLE_WEIGHT)).otherwise(F.lit(1 / BODY_WEIGHT))
+    last = F.transform(F.sequence(F.lit(1), F.col("needed").cast("int")), lambda i: F.struct(F.lit(-1).alias("at"), F.lit(0).alias("before"), F.lit(0.0).alias("sum")))
+    start = F.struct(last.alias("last"), F.lit(-1).alias("left"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("w"))
+
+    def step(state: Column, p: Column) -> Column:
+        mine = F.struct(p["at"].alias("at"), state["n"].alias("before"), state["sum"].alias("sum"))
+        moved = F.transform(state["last"], lambda x, i: F.when(i == p["no"], mine).otherwise(x))
 
+        def add(new: Column) -> Column:
+            first = F.array_min(new)
+            matches, total = state["n"] + 1 - first["before"], state["sum"] + inverse(p) - first["sum"]
+            noise = p["at"] - first["at"] + 1 - matches
+            cover = F.when((first["at"] >= 0) & (first["at"] != state["left"]), matches / total / (1 + noise)).otherwise(0.0)
+            return F.struct(new.alias("last"), first["at"].alias("left"), (state["n"] + 1).alias("n"), (state["sum"] + inverse(p)).alias("sum"), (state["w"] + cover).alias("w"))
 
-def cover_density(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, stored: I.Index | None = None) -> DataFrame:
-    """Cover density for an OR query: each match is a cover, of weight 1 in the title and 0.4 in the body, over 1 + ln(length)."""
-    terms = query_terms(queries)
-    found = stored or I.built(among_rows(chunks, among))
-    hits = among_rows(found.postings, among if stored else None).join(terms, "term").join(found.lengths, "chunk_id")
-    weight = F.sum(F.col("tf_title") * 1.0 + F.col("tf_body") * 0.4)
-    scores = hits.groupBy("query_id", "chunk_id", "len").agg(weight.alias("w"))
-    return ranked(scores.select("query_id", "chunk_id", F.round(F.col("w") / (1 + F.log(F.col("len").cast("double"))), 9).alias("score")), k)
+        return T.let(moved, add)
+
+    return places.select("query_id", "chunk_id", "len", F.aggregate("places", start, step, lambda s: s["w"]).alias("w"))
 
 
 def among_rows(chunks: DataFrame, among: DataFrame | None) -> DataFrame:
@@ -91,39 +172,28 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.topk_per_m
     With ``among`` the rest is left out before the search, or, if ``overfetch`` is given, after the best
     ``overfetch * k`` have been taken, which may return fewer than ``k``.
     """
-    pool = among_rows(vectors, None if overfetch else among).select("chunk_id", "embedding")
-    asked = queries.select("query_id", "vector")
-    score = V.cosine(F.col("vector"), F.col("embedding")) if metric == "cosine" else F.lit(0.0) - V.l2(F.col("vector"), F.col("embedding"))
-    scores = asked.crossJoin(pool).select("query_id", "chunk_id", F.round(score, 9).alias("score"))  # few queries, all rows
-    best = ranked(scores, overfetch * k if overfetch else k)
+    pool = among_rows(vectors, None if overfetch else among)
+    n = overfetch * k if overfetch else k
+    best = ranked(nearest.nearest(queries, pool, n, metric), n)
     if overfetch and among is not None:
         best = ranked(best.drop("rk").join(among.select("chunk_id"), "chunk_id", "left_semi"), k)
     return best.select("query_id", "chunk_id", "score", "rk")
 
 
-def word_hits(words: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``words`` (``word``) with the chunks whose lower-case body contains them, and the body.
-
-    The words of queries are few beside the chunks: each chunk is read once and tried for all words.
-    """
-    bodies = chunks.select("chunk_id", F.lower("body").alias("text"))
-    return bodies.join(words.select("word").distinct(), F.col("text").contains(F.col("word")))
-
-
-def fallback(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+def fallback(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
     """Substring search by words: trigram BM25 ranks the chunks of each word, reciprocal ranks are added up.
 
     A word repeated in a query counts again.
     """
+    found = stored or I.built(chunks)
     asked = queries.select("query_id", F.posexplode(T.search_words(F.col("query"), s.fallback_min_word)).alias("nth", "word"))
     asked = asked.withColumn("word", F.lower("word"))
-    hits = word_hits(asked, chunks)
-    lengths = chunks.select("chunk_id", F.greatest(F.length("body") - 2, F.lit(0)).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    hits = hits.withColumns({"tf": T.occurrences(F.col("text"), F.col("word")), "len": F.greatest(F.length("text") - 2, F.lit(0))}).drop("text")
-    df = hits.groupBy("word").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "word").crossJoin(stats)
-    weight = bm25_weight(F.col("tf"), F.col("len"), F.col("df"), F.col("n"), F.col("avgdl"), s)
+    text = F.lower("body")
+    hits = substring.containing(asked.select(F.col("word").alias("needle")).distinct(), found, text, s.fallback_min_word)
+    hits = hits.select(F.col("needle").alias("word"), "chunk_id", T.occurrences(text, F.col("needle")).alias("tf"), I.gram_length(text).alias("len"))
+    df = F.count("*").over(Window.partitionBy("word"))
+    scored = hits.withColumn("df", df).crossJoin(found.stats)  # one row
+    weight = bm25_weight(F.col("tf"), F.col("len"), F.col("df"), F.col("n"), F.col("gram_avgdl"), s)
     scored = scored.select("word", "chunk_id", F.round(weight, 9).alias("score"))
     if among is not None:
         scored = scored.join(among.select("chunk_id"), "chunk_id", "left_semi")
@@ -132,17 +202,17 @@ def fallback(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mo
     return ranked(summed, k)
 
 
-def bigram_similarity(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+def bigram_similarity(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
     """Case-sensitive substring search; a chunk's score is its best bigram similarity to a word.
 
     Of each word at most ``fallback_candidates`` chunks, the first by id, are compared; similarity is the share
     of common bigrams in the larger of the two sets, both padded by a blank.
     """
+    found = stored or I.built(chunks)
     whole = T.strip(F.col("query"))
     words = T.search_words(F.col("query"), s.fallback_min_word)
     asked = queries.select("query_id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(whole))).alias("word")).distinct()
-    pool = among_rows(chunks, among).select("chunk_id", "body")
-    hits = pool.join(asked.select("word").distinct(), F.col("body").contains(F.col("word")))
+    hits = among_rows(substring.containing(asked.select(F.col("word").alias("needle")).distinct(), found), among).withColumnRenamed("needle", "word")
     order = Window.partitionBy("word").orderBy("chunk_id")
     hits = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= s.fallback_candidates)
     padded = lambda c: F.array_distinct(T.grams(F.concat(F.lit(" "), F.lower(c), F.lit(" ")), 2))

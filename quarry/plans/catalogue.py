@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import chunking, context, evaluation, fuse, index, logs, miner, retrieve
+from quarry.operators import chunking, context, evaluation, fuse, index, library, logs, miner, retrieve, substring
 from quarry.plans import hybrid
 from quarry.plans import tables as D
 
@@ -32,6 +32,11 @@ def fused(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("query_id", *more, "chunk_id", F.round("rrf", 6).alias("rrf"), F.array_join("hits", ", ").alias("hits"), F.col("rk").cast("long").alias("rk"))
 
 
+def stored(spark: SparkSession, d: str) -> index.Index:
+    """The index of the documents, built by the session's first search of them."""
+    return library.index_of(D.documents_as_chunks(spark, d), D.table(spark, d, "documents"), "documents")
+
+
 # Tokens and indexes
 
 
@@ -77,31 +82,53 @@ def trigram_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kw_bm25_top30(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieve.keyword(D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)))
+    return shown(retrieve.keyword(D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d), stored=stored(spark, d)))
 
 
 @query
 def kw_bm25_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieve.keyword(D.queries(spark), D.documents_as_chunks(spark, d), match="AND"))
+    return shown(retrieve.keyword(D.queries(spark), D.documents_as_chunks(spark, d), match="AND", stored=stored(spark, d)))
 
 
 @query
 def kw_bm25_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     chunks = D.documents_as_chunks(spark, d)
-    return shown(retrieve.keyword(D.queries(spark), chunks, among=retrieve.allowed(chunks, "lang", ["fr", "de"])))
+    return shown(retrieve.keyword(D.queries(spark), chunks, among=retrieve.allowed(chunks, "lang", ["fr", "de"]), stored=stored(spark, d)))
 
 
 @query
 def kw_title_body_weighted(spark: SparkSession, d: str) -> DataFrame:
+    found = stored(spark, d)
     chunks, asked = D.documents_as_chunks(spark, d), D.queries(spark)
-    plain = retrieve.keyword_scores(asked, chunks, s=retrieve.Settings(bm25_title=1.0)).withColumnRenamed("score", "plain")
-    both = retrieve.keyword_scores(asked, chunks).join(plain, ["query_id", "chunk_id"])
+    plain = retrieve.keyword_scores(asked, chunks, s=retrieve.Settings(bm25_title=1.0), stored=found).withColumnRenamed("score", "plain")
+    both = retrieve.keyword_scores(asked, chunks, stored=found).join(plain, ["query_id", "chunk_id"])
     return both.select("query_id", "chunk_id", F.round("score", 6).alias("weighted"), F.round("plain", 6).alias("plain"))
 
 
 @query
 def kw_cover_density_or(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieve.cover_density(D.queries(spark), D.documents_as_chunks(spark, d)))
+    return shown(retrieve.cover_density(D.queries(spark), D.documents_as_chunks(spark, d), stored=stored(spark, d)))
+
+
+@query
+def kw_cover_density_and(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with all words of a query, by their shortest stretches that have them all."""
+    return shown(retrieve.cover_density(D.and_queries(spark), D.documents_as_chunks(spark, d), match="AND", stored=stored(spark, d)))
+
+
+@query
+def kw_phrase_match(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted words, and words that hold several tokens, as phrases."""
+    return shown(retrieve.keyword(D.phrase_queries(spark), D.documents_as_chunks(spark, d), stored=stored(spark, d), phrases=True))
+
+
+@query
+def kw_user_words_folded(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a user's own as single tokens, no diacritics, in the index and in queries alike."""
+    chunks, docs = D.documents_as_chunks(spark, d), D.table(spark, d, "documents")
+    analyse = T.tokens_with_words(D.USER_WORDS, T.unmarked)
+    found = library.index_of(chunks, docs, "documents-folded-words", analyse)
+    return shown(retrieve.keyword(D.word_queries(spark), chunks, stored=found))
 
 
 @query
@@ -134,24 +161,24 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fallback_word_rr(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieve.fallback(D.queries(spark), D.documents_as_chunks(spark, d)))
+    return shown(retrieve.fallback(D.queries(spark), D.documents_as_chunks(spark, d), stored=stored(spark, d)))
 
 
 @query
 def fallback_bigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return shown(retrieve.bigram_similarity(D.queries(spark), D.documents_as_chunks(spark, d)))
+    return shown(retrieve.bigram_similarity(D.queries(spark), D.documents_as_chunks(spark, d), stored=stored(spark, d)))
 
 
 @query
 def lateral_contains_topk(spark: SparkSession, d: str) -> DataFrame:
     words = D.queries(spark).select("query_id", F.explode(T.search_words(F.col("query"), 3)).alias("word")).select("word").distinct()
-    hits = D.documents_as_chunks(spark, d).select("chunk_id", "body").join(words, F.col("body").contains(F.col("word")))
+    hits = substring.containing(words.withColumnRenamed("word", "needle"), stored(spark, d), least=3).withColumnRenamed("needle", "word")
     order = Window.partitionBy("word").orderBy("chunk_id")
     return hits.withColumn("rk", F.row_number().over(order).cast("long")).where("rk <= 20").select("word", "chunk_id", "rk")
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.together(hybrid.retrieved(D.queries_with_vectors(spark, d), D.documents_as_chunks(spark, d), D.vectors(spark, d)))
+    return fuse.together(hybrid.retrieved(D.queries_with_vectors(spark, d), D.documents_as_chunks(spark, d), D.vectors(spark, d), stored=stored(spark, d)))
 
 
 @query
@@ -174,7 +201,8 @@ def ablation_combos(spark: SparkSession, d: str) -> DataFrame:
 @query
 def batch_search_modes(spark: SparkSession, d: str) -> DataFrame:
     asked, chunks, rows = D.queries_with_vectors(spark, d), D.documents_as_chunks(spark, d), D.vectors(spark, d)
-    parts = [hybrid.search(asked, chunks, rows, m).withColumn("mode", F.lit(m)) for m in hybrid.MODES]
+    found = stored(spark, d)
+    parts = [hybrid.search(asked, chunks, rows, m, stored=found).withColumn("mode", F.lit(m)) for m in hybrid.MODES]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return shown(every, "mode", "hits")
 
@@ -182,14 +210,14 @@ def batch_search_modes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def compare_by_lang_topn(spark: SparkSession, d: str) -> DataFrame:
     chunks = D.documents_as_chunks(spark, d)
-    scores = retrieve.keyword_scores(D.queries(spark), chunks).join(chunks.select("chunk_id", "lang"), "chunk_id")
+    scores = retrieve.keyword_scores(D.queries(spark), chunks, stored=stored(spark, d)).join(chunks.select("chunk_id", "lang"), "chunk_id")
     return shown(retrieve.ranked(scores, 5, "query_id", "lang"), "lang")
 
 
 @query
 def relaxed_filter_search(spark: SparkSession, d: str) -> DataFrame:
     chunks, asked = D.documents_as_chunks(spark, d), D.queries(spark)
-    scores = retrieve.keyword_scores(asked, chunks)
+    scores = retrieve.keyword_scores(asked, chunks, stored=stored(spark, d))
     some = scores.join(retrieve.allowed(chunks, "lang", "es").select("chunk_id"), "chunk_id", "left_semi")
     return shown(fuse.relaxed(retrieve.ranked(some, 10), retrieve.ranked(scores, 10), asked), "was_relaxed")
 
@@ -210,53 +238,60 @@ def facet_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gold_by_substring(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.gold_by_substring(D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d))
+    return evaluation.gold_by_substring(D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d), stored=stored(spark, d))
 
 
 @query
 def eval_hit_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
+    found = stored(spark, d)
     asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
-    gold = evaluation.gold_by_substring(asked, chunks)
-    lists = retrieve.keyword(asked, chunks, 10).withColumn("mode", F.lit("bm25")).unionByName(retrieve.cover_density(asked, chunks, 10).withColumn("mode", F.lit("density")))
+    gold = evaluation.gold_by_substring(asked, chunks, stored=found)
+    lists = retrieve.keyword(asked, chunks, 10, stored=found).withColumn("mode", F.lit("bm25")).unionByName(retrieve.cover_density(asked, chunks, 10, stored=found).withColumn("mode", F.lit("density")))
     return evaluation.means(evaluation.judged(lists, gold, asked, ("mode",)), ("mode",))
 
 
 @query
 def eval_by_label(spark: SparkSession, d: str) -> DataFrame:
     asked, rows = D.vector_queries(spark, d), D.vectors(spark, d)
-    gold = asked.select("query_id", "label").join(rows.select("chunk_id", "label"), "label").select("query_id", "chunk_id")
-    return evaluation.means(evaluation.judged(retrieve.semantic(asked, rows, 10), gold, asked))
+    size = asked.select("query_id", "label").join(rows.groupBy("label").agg(F.count("*").alias("golds")), "label")
+    ranked = retrieve.semantic(asked, rows, 10)
+    right = ranked.join(rows.select("chunk_id", "label"), "chunk_id").join(asked.select("query_id", "label"), ["query_id", "label"])
+    return evaluation.means(evaluation.judged(ranked, right, asked, size=size.select("query_id", "golds")))
 
 
 @query
 def variant_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How far BM25 and cover density agree on the first ten of each benchmark item."""
+    found = stored(spark, d)
     asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
-    return evaluation.overlap(retrieve.keyword(asked, chunks, 10), retrieve.cover_density(asked, chunks, 10))
+    return evaluation.overlap(retrieve.keyword(asked, chunks, 10, stored=found), retrieve.cover_density(asked, chunks, 10, stored=found))
 
 
 @query
 def context_quality(spark: SparkSession, d: str) -> DataFrame:
+    found = stored(spark, d)
     asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
-    found = evaluation.context_quality(retrieve.keyword(asked, chunks, 10), evaluation.gold_by_substring(asked, chunks))
+    found = evaluation.context_quality(retrieve.keyword(asked, chunks, 10, stored=found), evaluation.gold_by_substring(asked, chunks, stored=found))
     return found.select("query_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
 @query
 def ablation_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Combinations of two retrievers on the benchmark, with the loss against both."""
+    found = stored(spark, d)
     asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
-    lists = fuse.together({"keyword": retrieve.keyword(asked, chunks), "fallback": retrieve.cover_density(asked, chunks)})
+    lists = fuse.together({"keyword": retrieve.keyword(asked, chunks, stored=found), "fallback": retrieve.cover_density(asked, chunks, stored=found)})
     combos = fuse.combinations_fused(lists).where("combo in ('keyword', 'fallback', 'keyword+fallback')")
-    gold = evaluation.gold_by_substring(asked, chunks)
+    gold = evaluation.gold_by_substring(asked, chunks, stored=found)
     return evaluation.against(evaluation.judged(combos, gold, asked, ("combo",)), "combo", "keyword+fallback")
 
 
 @query
 def metrics_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal ranks of two kinds of items side by side."""
+    found = stored(spark, d)
     asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
-    rows = evaluation.judged(retrieve.keyword(asked, chunks, 10), evaluation.gold_by_substring(asked, chunks), asked)
+    rows = evaluation.judged(retrieve.keyword(asked, chunks, 10, stored=found), evaluation.gold_by_substring(asked, chunks, stored=found), asked)
     kind = F.when(F.col("query_id") % 2 == 0, "auto").otherwise("manual")
     return rows.withColumn("kind", kind).groupBy(F.lit("bm25").alias("mode")).pivot("kind", ["auto", "manual"]).agg(F.round(F.avg("rr"), 6))
 
@@ -351,7 +386,7 @@ def chunk_length_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyword_top(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = D.documents_as_chunks(spark, d)
-    return retrieve.keyword(D.queries(spark), chunks, 8), chunks
+    return retrieve.keyword(D.queries(spark), chunks, 8, stored=stored(spark, d)), chunks
 
 
 @query

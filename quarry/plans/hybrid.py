@@ -20,7 +20,7 @@ def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
     if "semantic" in modes and vectors is not None and "vector" in queries.columns:
         lists["semantic"] = retrieve.semantic(queries, vectors, k, among=among)
     if "fallback" in modes:
-        lists["fallback"] = retrieve.fallback(queries, chunks, k, among)
+        lists["fallback"] = retrieve.fallback(queries, chunks, k, among, stored=stored)
     return lists
 
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from quarry.functions.text import FURNITURE, LEADING_MARK, REPLACED, SENTENCE_END, WORD_MARKS
-from quarry.plans.tables import QUERIES
+from quarry.plans.tables import AND_QUERIES, PHRASE_QUERIES, QUERIES, USER_WORDS, WORD_QUERIES
 
 P = r"'[\p{L}\p{N}]+'"
-Q = "q(query_id, query) AS (VALUES " + ", ".join(f"({i}::bigint, '{t}')" for i, t in QUERIES) + ")"
+
+
+def asked(rows: list[tuple[int, str]]) -> str:
+    return "q(query_id, query) AS (VALUES " + ", ".join(f"({i}::bigint, '{t}')" for i, t in rows) + ")"
+
+
+Q = asked(QUERIES)
 BENCH = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, split_part(text, chr(10), 1) AS title,
     CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body, lang, source FROM documents)"""
@@ -59,6 +68,41 @@ def with_(*parts: str) -> str:
 KW = (Q, CHUNKS, POSTINGS, TERMS, kw_scores())
 DENSITY = """density AS (SELECT query_id, chunk_id, round((sum(tf_title) * 1.0::double + sum(tf_body) * 0.4::double) / (1 + ln(any_value(len)::double)), 9) AS score
     FROM postings JOIN terms USING (term) JOIN lens USING (chunk_id) GROUP BY ALL)"""
+PLACED = f"""listed AS (SELECT chunk_id, {tokens("title")} AS tt, {tokens("body")} AS bt FROM chunks),
+placed AS (SELECT chunk_id, len(tt) AS n_title, len(tt) + len(bt) AS size, unnest(tt) AS term, generate_subscripts(tt, 1) - 1 AS pos FROM listed
+    UNION ALL SELECT chunk_id, len(tt), len(tt) + len(bt), unnest(bt), generate_subscripts(bt, 1) + len(tt) FROM listed)"""
+COVERS = """occ AS (SELECT query_id, chunk_id, size, term, pos, CASE WHEN pos < n_title THEN 1.0::double ELSE 2.5::double END AS inverse FROM placed JOIN terms USING (term)),
+lasts AS (SELECT r.query_id, r.chunk_id, r.size, r.pos, o.term, max(o.pos) AS last FROM occ r JOIN occ o ON r.query_id = o.query_id AND r.chunk_id = o.chunk_id AND o.pos <= r.pos GROUP BY ALL),
+ends AS (SELECT query_id, chunk_id, size, pos, min(last) AS first, count(*) AS have FROM lasts GROUP BY ALL),
+covers AS (SELECT e.* FROM ends e WHERE have = (SELECT count(*) FROM terms t WHERE t.query_id = e.query_id)
+    QUALIFY first IS DISTINCT FROM lag(first) OVER (PARTITION BY query_id, chunk_id ORDER BY pos)),
+weighed AS (SELECT c.query_id, c.chunk_id, c.size, c.pos, count(*) / sum(o.inverse) / (1 + (c.pos - c.first + 1 - count(*))) AS w
+    FROM covers c JOIN occ o ON o.query_id = c.query_id AND o.chunk_id = c.chunk_id AND o.pos BETWEEN c.first AND c.pos GROUP BY c.query_id, c.chunk_id, c.size, c.pos, c.first),
+cover_scores AS (SELECT query_id, chunk_id, round(sum(w) / (1 + ln(any_value(size)::double)), 9) AS score FROM weighed GROUP BY ALL)"""
+PHRASES = rf"""phrases AS (SELECT query_id, phrase, count(*) AS times FROM (SELECT query_id, {tokens("part")} AS phrase
+    FROM (SELECT query_id, unnest(regexp_extract_all(query, '"[^"]*"|[^\s"]+')) AS part FROM q)) WHERE len(phrase) > 0 GROUP BY ALL),
+phrase_words AS (SELECT phrase, unnest(phrase) AS term, generate_subscripts(phrase, 1) - 1 AS nth FROM (SELECT DISTINCT phrase FROM phrases)),
+starts AS (SELECT phrase, chunk_id, n_title, size, pos - nth AS start FROM phrase_words JOIN placed USING (term) GROUP BY ALL HAVING count(*) = len(phrase)),
+tfs AS (SELECT phrase, chunk_id, size, count(*) FILTER (start < n_title) AS tf_title, count(*) FILTER (start > n_title) AS tf_body FROM starts GROUP BY ALL),
+dfs AS (SELECT phrase, count(*) AS df FROM tfs GROUP BY phrase),
+pstats AS (SELECT count(*) AS n, avg(len(tt) + len(bt)) AS avgdl FROM listed),
+phrase_scores AS (SELECT query_id, chunk_id, round(sum(times * {bm25("(3.0::double * tf_title + tf_body)", "size")}), 9) AS score
+    FROM tfs JOIN dfs USING (phrase) JOIN phrases USING (phrase), pstats GROUP BY ALL)"""
+
+
+def word_tokens(x: str) -> str:
+    """Letters and digits without marks, but a user's words as single tokens: pieces that follow each other are joined, the longest words first."""
+    bare = sorted({"".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c)) for w in USER_WORDS}, key=lambda w: (-len(w), w))
+    pieces = rf"chr(1) || array_to_string(regexp_extract_all(strip_accents(lower({x})), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), chr(1)) || chr(1)"
+    for w in bare:
+        parts = [p for p in re.split(r"([^\W_]+)", w) if p]
+        if len(parts) > 1:
+            old, new = (" || ".join(f"{s} || {literal(p)}" for p in parts) for s in ("chr(1)", "chr(2)"))
+            pieces = f"replace({pieces}, {old} || chr(1), chr(1) || {new} || chr(1))"
+    kept = rf"list_filter(string_split({pieces}, chr(1)), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]'))"
+    return f"list_transform({kept}, lambda p: replace(p, chr(2), ''))"
+
+
 VECTORS = "vectors AS (SELECT vec_id AS chunk_id, embedding::double[] AS e, label FROM embeddings), vq AS (SELECT chunk_id AS query_id, e AS v, label FROM vectors WHERE chunk_id % 50 = 0)"
 COS = "knn AS (SELECT query_id, chunk_id, round(list_cosine_similarity(v, e), 9) AS score, vectors.label FROM vq, vectors)"
 L2 = "knn AS (SELECT query_id, chunk_id, round(0.0::double - list_distance(v, e), 9) AS score FROM vq, vectors)"
@@ -177,6 +221,10 @@ ORACLES = {
     "kw_bm25_lang_filter": with_(*KW) + shown(f"""({best("(SELECT * FROM kw_scores WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE lang IN ('fr', 'de')))", 30)})"""),
     "kw_title_body_weighted": with_(*KW, kw_scores("plain_scores", 1.0)) + "SELECT query_id, chunk_id, round(k.score, 6) AS weighted, round(p.score, 6) AS plain FROM kw_scores k JOIN plain_scores p USING (query_id, chunk_id)",
     "kw_cover_density_or": with_(Q, CHUNKS, POSTINGS, TERMS, DENSITY) + shown(f"({best('density', 30)})"),
+    "kw_cover_density_and": with_(asked(AND_QUERIES), CHUNKS, PLACED, TERMS, COVERS) + shown(f"({best('cover_scores', 30)})"),
+    "kw_phrase_match": with_(asked(PHRASE_QUERIES), CHUNKS, PLACED, PHRASES) + shown(f"({best('phrase_scores', 30)})"),
+    "kw_user_words_folded": with_(asked(WORD_QUERIES), CHUNKS, POSTINGS.replace(tokens("title"), word_tokens("title")).replace(tokens("body"), word_tokens("body")),
+        TERMS.replace(tokens("query"), word_tokens("query")), kw_scores()) + shown(f"({best('kw_scores', 30)})"),
     "knn_l2_top30": with_(VECTORS, L2) + shown(f"({best('knn', 30)})"),
     "knn_cosine_top30": with_(VECTORS, COS) + shown(f"({best('knn', 30)})"),
     "knn_filtered_pre": with_(VECTORS, COS) + shown(f"({best('(SELECT * FROM knn WHERE label = 3)', 30)})"),

@@ -16,6 +16,12 @@ QUERIES = [
     (7, "password token"),
 ]
 
+#: Words that must all stand in a chunk; phrases; words with marks, and with what a user's list keeps together.
+AND_QUERIES = [(1, "the of and"), (2, "der die und"), (3, "de la que"), (4, "license apache version"), (5, "in the in of"), (6, "licensed unheardof"), (7, "")]
+PHRASE_QUERIES = [(1, '"the apache license"'), (2, "2.0"), (3, '"version 2.0" licensed'), (4, '"license the"'), (5, '"of the" "of the"'), (6, '"and the" ing.'), (7, '"" .')]
+USER_WORDS = ["Apache License", "apache", "version 2.0", "que de", "Éuxé"]
+WORD_QUERIES = [(1, "APACHE LICENSE"), (2, "licensé apaché"), (3, "version 2.0 version"), (4, "eleve tre"), (5, "QUE DE la cion"), (6, "fur uber")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +59,22 @@ def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES, "query_id long, query string")
 
 
+def _asked(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "query_id long, query string")
+
+
+def and_queries(spark: SparkSession) -> DataFrame:
+    return _asked(spark, AND_QUERIES)
+
+
+def phrase_queries(spark: SparkSession) -> DataFrame:
+    return _asked(spark, PHRASE_QUERIES)
+
+
+def word_queries(spark: SparkSession) -> DataFrame:
+    return _asked(spark, WORD_QUERIES)
+
+
 def queries_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled queries, each with a row's vector in place of a model's."""
     rows = vectors(spark, sf_dir).where(F.col("chunk_id") % 50 == 0).select((F.col("chunk_id") / 50).cast("long").alias("query_id"), F.col("embedding").alias("vector"))

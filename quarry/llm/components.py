@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import checkpointed
+from quarry.llm.shared import checkpointed, joined_by_key
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Hangs every neighbour larger than a node on the node's smallest neighbour (or itself)."""
     both = edges.union(edges.select("m", "v")).toDF("u", "n")
-    least = both.groupBy("u").agg(F.min("n").alias("least"))
-    return (
-        both.where("n > u")
-        .join(least, "u")
-        .select(F.col("n").alias("v"), F.least("u", "least").alias("m"))
-        .distinct()
-    )
+    least = both.groupBy("u").agg(F.min("n").alias("least"), F.count("*").alias("links"))
+    joined = joined_by_key(both.where("n > u"), least, ["u"], 2 * total, "links")
+    return joined.select(F.col("n").alias("v"), F.least("u", "least").alias("m")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Hangs a node and its smaller neighbours on the smallest of them; edges come as (larger, smaller)."""
-    least = edges.groupBy("v").agg(F.min("m").alias("least"))
-    moved = edges.join(least, "v").select(F.col("m").alias("v"), F.col("least").alias("m")).where("v > m")
+    least = edges.groupBy("v").agg(F.min("m").alias("least"), F.count("*").alias("links"))
+    joined = joined_by_key(edges, least, ["v"], total, "links")
+    moved = joined.select(F.col("m").alias("v"), F.col("least").alias("m")).where("v > m")
     return moved.union(least.select("v", F.col("least").alias("m"))).distinct()
 
 
@@ -51,7 +48,8 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
         if now == before or not row[0]:
             break
         before = now
-        edges = checkpointed(_gathered(_small_star(_large_star(_gathered(edges, row[0]))), row[0]))
+        half = checkpointed(_large_star(_gathered(edges, row[0]), row[0]))
+        edges = checkpointed(_gathered(_small_star(half, row[0]), row[0]))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()

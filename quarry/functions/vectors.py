@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,20 +32,6 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
-def hashed_embedding(tokens: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for a model: token counts by hash, scaled to length 1; zero without tokens."""
-
-    def counted(at: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-
-    def scaled(counts: Column) -> Column:
-        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return let(F.struct(counts.alias("counts"), length.alias("length")), lambda v: F.transform(v["counts"], lambda x: F.when(v["length"] > 0, x / v["length"]).otherwise(0.0).cast("float")))
-
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    return let(let(slots, counted), scaled)
-
-
 #: Takes texts, gives a vector for each, in order.
 Model = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -70,3 +59,28 @@ def embedding(text: Column, load: Callable[[], Model], block: int = 64) -> Colum
             yield pd.Series(found, index=texts.index, dtype=object).reindex(batch.index).astype(object).where(batch.notna(), None)
 
     return vectors(text)
+
+
+#: Numbers of a vector of hashed words.
+HASHED = 64
+_WORD = re.compile(r"[^\W_]+")
+
+
+def hashed_words_model() -> Model:
+    """A stand-in for a trained model, the same everywhere: counts of words by hash, scaled to length 1; zero without words."""
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        found = []
+        for text in texts:
+            counts = [0] * HASHED
+            for word, n in Counter(_WORD.findall(text.lower())).items():
+                counts[hashlib.md5(word.encode()).digest()[0] % HASHED] += n
+            length = math.sqrt(sum(c * c for c in counts)) or 1.0
+            found.append([c / length for c in counts])
+        return found
+
+    return vectors
+
+
+def hashed_words(text: Column) -> Column:
+    return embedding(text, hashed_words_model, block=32)

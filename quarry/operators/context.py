@@ -53,6 +53,13 @@ def collected(ranked: DataFrame, per_topic: int = 5) -> DataFrame:
     return first.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
 
 
+def collected_sums(ranked: DataFrame, chunks: DataFrame, per_topic: int = 5, cost: Callable[[Column], Column] = F.length) -> DataFrame:
+    """``query_id``, ``n_blocks`` and ``cost`` of what each topic collects, and the sums over all topics under a null id."""
+    rows = collected(ranked, per_topic).select("query_id", "chunk_id").join(chunks, "chunk_id")
+    rows = rows.select("query_id", cost(block(rows)).cast("long").alias("cost"))
+    return rows.rollup("query_id").agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"))
+
+
 def citation_report(answers: DataFrame) -> DataFrame:
     """``answers`` (``answer``, ``allowed``: array of ids) with what it cites, what is wrong with that, and the verdict."""
     rows = answers.withColumn("found", T.citations(F.col("answer")))

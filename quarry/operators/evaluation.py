@@ -85,3 +85,45 @@ def against(rows: DataFrame, by: str, full: str) -> DataFrame:
     means_ = means(rows, (by,))
     whole = means_.where(F.col(by) == full).select(F.col("mrr").alias("whole"))
     return means_.crossJoin(whole).select("*", F.round(F.col("mrr") - F.col("whole"), 6).alias("delta_mrr")).drop("whole")  # one row
+
+
+def fuzzy_context(retrieved: DataFrame, references: DataFrame, least: float = 0.5) -> DataFrame:
+    """``query_id``, ``recall`` and ``precision`` of retrieved contexts by likeness of texts: 1 - edit distance / longer length.
+
+    ``retrieved`` has ``query_id``, ``rk``, ``text``, ``references`` ``query_id``, ``ref``, ``text``. Recall is the share of references that a context is like
+    (``least`` or more); precision the mean, over contexts like a reference, of the share of such ones up to their rank; 0 if there are none.
+    Lengths too far apart are passed over, and a distance is given up where it leaves its bound.
+    """
+    r, c = references.select("query_id", "ref", F.col("text").alias("a")), retrieved.select("query_id", "rk", F.col("text").alias("b"))
+    longer = F.greatest(F.length("a"), F.length("b"))
+    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    near = r.join(c, "query_id").where((longer > 0) & (F.length("a") + most >= longer) & (F.length("b") + most >= longer)).withColumn("most", most)
+    alike = near.where(F.expr("levenshtein(a, b, most)") >= 0).select("query_id", "ref", "rk")
+    recall = r.groupBy("query_id").agg(F.count("*").alias("refs")).join(alike.groupBy("query_id").agg(F.countDistinct("ref").alias("met")), "query_id", "left")
+    right = alike.select("query_id", "rk").distinct().withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("rk")) / F.col("rk"))
+    rows = recall.join(right.groupBy("query_id").agg(F.avg("at").alias("precision")), "query_id", "left")
+    return rows.select("query_id", (F.coalesce("met", F.lit(0)) / F.col("refs")).alias("recall"), F.coalesce("precision", F.lit(0.0)).alias("precision"))
+
+
+def misspelt(word: Column) -> Column:
+    """``word`` with one edit: its middle letter and the one before change places, or, where they are equal, the middle one is gone."""
+    at = F.floor(F.length(word) / 2).cast("int")  # counts from 0
+    a, b = F.substring(word, at, F.lit(1)), F.substring(word, at + 1, F.lit(1))
+    head, tail = F.substring(word, F.lit(1), at - 1), F.substring(word, at + 2, F.length(word))
+    return F.when(F.length(word) < 2, word).otherwise(F.concat(head, F.when(a == b, a).otherwise(F.concat(b, a)), tail))
+
+
+def term_items(found: index.Index, n: int = 20, least: int = 3, most: int = 40, letters: int = 6) -> DataFrame:
+    """Items of two kinds from an index: ``n`` rare terms, and the same misspelt; ``query_id``, ``kind``, ``query`` and ``correct``, whose golds count.
+
+    Terms have ``letters`` or more and ``least`` to ``most`` chunks; they are chosen by hash.
+    """
+    some = found.terms.where(F.col("df").between(least, most) & (F.length("term") >= letters)).orderBy(F.md5(F.col("term").cast("binary")), "term").limit(n)
+    kinds = F.array(F.struct(F.lit("term").alias("kind"), F.col("term").alias("query")), F.struct(F.lit("typo").alias("kind"), misspelt(F.col("term")).alias("query")))
+    rows = some.select("term", F.explode(kinds).alias("k"))
+    return rows.select(F.concat("k.kind", F.lit(":"), "term").alias("query_id"), "k.kind", "k.query", F.col("term").alias("correct"))
+
+
+def best(rows: DataFrame, by: str, metric: str = "mrr") -> DataFrame:
+    """One row: the value of ``by`` with the largest ``metric``, of equal ones the first, and that metric."""
+    return rows.groupBy().agg(F.min_by(F.struct(by, metric), F.struct((-F.col(metric)).alias("less"), by)).alias("b")).select(f"b.{by}", f"b.{metric}")

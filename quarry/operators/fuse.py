@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,3 +70,8 @@ def relaxed(filtered: DataFrame, unfiltered: DataFrame, queries: DataFrame) -> D
     """Filtered results, and unfiltered ones for the queries that have none; ``was_relaxed`` tells which."""
     empty = queries.select("query_id").join(filtered.select("query_id").distinct(), "query_id", "left_anti")
     return filtered.withColumn("was_relaxed", F.lit(0)).unionByName(unfiltered.join(empty, "query_id", "left_semi").withColumn("was_relaxed", F.lit(1)))
+
+
+def hit_list(hits: Column) -> Column:
+    """Hits as an array, from a text with commas between them."""
+    return F.filter(F.transform(F.split(hits, ","), lambda h: F.trim(h)), lambda h: h != "")

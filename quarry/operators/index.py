@@ -75,7 +75,8 @@ class Index:
     """What retrievers read of a chunk table.
 
     ``postings``; ``terms`` (``term``, ``df``); ``grams`` (``gram``, ``chunk_id``); ``gram_sizes`` (``gram``, ``df``); ``texts`` (``chunk_id``,
-    ``body``); ``stats``, one row: ``n``, ``avgdl`` in tokens and ``gram_avgdl`` in n-grams; ``analyse``, which queries go through as well.
+    ``body``); ``stats``, one row: ``n``, ``avgdl`` in tokens and ``gram_avgdl`` in n-grams; ``analyse``, which queries go through as well;
+    ``vectors`` (``chunk_id``, ``embedding``) and ``embed``, which makes them from texts and queries, if there are any.
     """
 
     postings: DataFrame
@@ -85,6 +86,14 @@ class Index:
     texts: DataFrame
     stats: DataFrame
     analyse: Analyser = T.tokens
+    vectors: DataFrame | None = None
+    embed: Analyser | None = None
+
+
+def embedded(chunks: DataFrame, embed: Analyser) -> DataFrame:
+    """``chunk_id`` and ``embedding`` of title and body, parted by a line feed, without white space at the ends."""
+    text = T.strip(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
+    return chunks.select("chunk_id", embed(text).alias("embedding"))
 
 
 def _stats(chunks: DataFrame, analyse: Analyser) -> DataFrame:
@@ -96,21 +105,21 @@ def gram_length(body: Column) -> Column:
     return F.greatest(F.length(body) - (GRAM - 1), F.lit(0))
 
 
-def built(chunks: DataFrame, analyse: Analyser = T.tokens) -> Index:
+def built(chunks: DataFrame, analyse: Analyser = T.tokens, embed: Analyser | None = None) -> Index:
     """The index of ``chunks`` as part of whatever plan reads it."""
-    terms, grams = postings(chunks, analyse), substring_grams(chunks)
-    return Index(terms, sizes(terms, "term"), grams, sizes(grams, "gram"), chunks.select("chunk_id", "body"), _stats(chunks, analyse), analyse)
+    terms, grams, vectors = postings(chunks, analyse), substring_grams(chunks), embedded(chunks, embed) if embed else None
+    return Index(terms, sizes(terms, "term"), grams, sizes(grams, "gram"), chunks.select("chunk_id", "body"), _stats(chunks, analyse), analyse, vectors, embed)
 
 
 #: The stored tables and what each is bucketed by.
-_KEYS = {"postings": "term", "terms": "term", "grams": "gram", "gram_sizes": "gram", "texts": "chunk_id"}
+_KEYS = {"postings": "term", "terms": "term", "grams": "gram", "gram_sizes": "gram", "texts": "chunk_id", "vectors": "chunk_id"}
 
 
 def _table(path: str, part: str) -> str:
     return f"quarry_{hashlib.md5(path.encode()).hexdigest()[:16]}_{part}"
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int | None = None, analyse: Analyser = T.tokens) -> None:
+def write_index(chunks: DataFrame, path: str, buckets: int | None = None, analyse: Analyser = T.tokens, embed: Analyser | None = None) -> None:
     """All tables of the index under ``path``, as Parquet, in buckets (by default as many as a shuffle has partitions).
 
     Rows are dealt by bucket and very large buckets to several tasks, so that one term in every chunk is no task of its own.
@@ -130,22 +139,27 @@ def write_index(chunks: DataFrame, path: str, buckets: int | None = None, analys
     grams = write(substring_grams(chunks), "grams")
     write(sizes(grams, "gram"), "gram_sizes")
     texts = write(chunks.select("chunk_id", "body"), "texts")
+    if embed:
+        write(embedded(chunks, embed), "vectors")
     lengths = terms.groupBy("chunk_id").agg(F.any_value("len").alias("len"))
     total = lengths.agg(F.sum("len").alias("tokens")).crossJoin(texts.agg(F.count("*").alias("n"), F.avg(gram_length(F.col("body"))).alias("gram_avgdl")))  # one row each
-    total.select("n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"), "gram_avgdl", F.lit(n).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    total.select("n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"), "gram_avgdl", F.lit(n).alias("buckets"), F.lit(bool(embed)).alias("has_vectors")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read_index(spark: SparkSession, path: str, analyse: Analyser = T.tokens) -> Index:
-    """The index that ``write_index`` wrote, with the same ``analyse``; it serves only the chunks that it was built from."""
+def read_index(spark: SparkSession, path: str, analyse: Analyser = T.tokens, embed: Analyser | None = None) -> Index:
+    """The index that ``write_index`` wrote, with the same ``analyse`` and ``embed``; it serves only the chunks that it was built from."""
     stats = spark.read.parquet(f"{path}/stats")
-    n, tables = stats.first()["buckets"], {}
+    row, tables = stats.first(), {}
+    n = row["buckets"]
     for part, key in _KEYS.items():
+        if part == "vectors" and not row["has_vectors"]:
+            continue
         name = _table(path, part)
         columns = ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(f"{path}/{part}").dtypes)
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # only its name: the rows stay
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{path}/{part}'")
         tables[part] = spark.table(name)
-    return Index(**tables, stats=stats.drop("buckets"), analyse=analyse)
+    return Index(**tables, stats=stats.select("n", "avgdl", "gram_avgdl"), analyse=analyse, embed=embed)
 
 
 def needed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read again, where a plan needs them several times."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _state(source: DataFrame) -> str:
     """A digest of the files that ``source`` reads: a file that is added, changed or gone makes another one."""
     files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
@@ -31,15 +39,15 @@ def _state(source: DataFrame) -> str:
     return hashlib.md5(repr(tuple(row)).encode()).hexdigest()
 
 
-def index_of(chunks: DataFrame, source: DataFrame, name: str, analyse: index.Analyser | None = None) -> index.Index:
-    """The stored index of ``chunks``, which come from the files of ``source``; ``name`` tells kinds of chunks and analysers apart.
+def index_of(chunks: DataFrame, source: DataFrame, name: str, **how: index.Analyser) -> index.Index:
+    """The stored index of ``chunks``, which come from the files of ``source``; ``how`` may give ``analyse`` and ``embed``, ``name`` tells them apart.
 
     The first search of a session builds it; it is built again when the files change.
     """
     spark = chunks.sparkSession
     key = (spark.sparkContext.applicationId, f"{name}-{_state(source)}")
     if key not in _BUILT:
-        path, with_ = f"{shared_folder(spark)}/index-{key[0]}-{key[1]}", {"analyse": analyse} if analyse else {}
-        index.write_index(chunks, path, **with_)
-        _BUILT[key] = index.read_index(spark, path, **with_)
+        path = f"{shared_folder(spark)}/index-{key[0]}-{key[1]}"
+        index.write_index(chunks, path, **how)
+        _BUILT[key] = index.read_index(spark, path, **how)
     return _BUILT[key]

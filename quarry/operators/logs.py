@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,12 @@ def _class(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(2147483647)).otherwise(of.cast("int"))
 
 
-def latencies_of_large(log: DataFrame, *by: str) -> DataFrame:
-    """The same for groups of any size: equal values are counted first, then classes of near values.
+#: Places in the order of ``n`` values, counted from 0.
+PLACES = {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.least(n - 1, F.floor(n * 0.95))}
+
+
+def latencies_of_large(log: DataFrame, *by: str, places: dict[str, Callable[[Column], Column]] = PLACES) -> DataFrame:
+    """The same for groups of any size, and for any ``places``: equal values are counted first, then classes of near values.
 
     Running counts of the classes, a fixed number in each group, show which class holds a percentile; only the
     different values of that class are put in order.
@@ -50,14 +55,11 @@ def latencies_of_large(log: DataFrame, *by: str) -> DataFrame:
     counted = log.where("latency_ms is not null").groupBy(*by, "latency_ms").agg(F.count("*").alias("c")).withColumn("class", _class(value))
     group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("class")
     classes = counted.groupBy(*by, "class").agg(F.sum("c").alias("m")).withColumns({"n": F.sum("m").over(group), "upto": F.sum("m").over(order)})
-    half, most = F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    before = F.col("upto") - F.col("m")
-    holding = classes.withColumns({"half": half, "most": most, "before": before}).where(
-        ((F.col("half") >= F.col("before")) & (F.col("half") < F.col("upto"))) | ((F.col("most") >= F.col("before")) & (F.col("most") < F.col("upto")))
-    )
+    classes = classes.withColumns({f"place_{name}": at(F.col("n")) for name, at in places.items()} | {"before": F.col("upto") - F.col("m")})
+    holding = classes.where(reduce(or_, ((F.col(f"place_{name}") >= F.col("before")) & (F.col(f"place_{name}") < F.col("upto")) for name in places)))
     x, y = counted.alias("x"), holding.alias("y")
     same = reduce(and_, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "class")))
-    near = x.join(y, same).select("x.*", "y.n", "y.half", "y.most", "y.before")
+    near = x.join(y, same).select("x.*", "y.n", "y.before", *(f"y.place_{name}" for name in places))
     ranked = near.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "class").orderBy("latency_ms")))
-    at = lambda i: F.min(F.when(F.col("upto") > F.col(i), F.col("latency_ms")))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), at("half").alias("p50"), at("most").alias("p95"))
+    at = lambda name: F.min(F.when(F.col("upto") > F.col(f"place_{name}"), F.col("latency_ms"))).alias(name)
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *map(at, places))

@@ -8,7 +8,7 @@ table of queries takes several passes over the vectors, each written to the shar
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.library import shared_folder
 
+#: Takes some rows of queries and of vectors, gives a matrix that says which vectors each query may find.
+Fits = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 #: Bytes of query vectors that a pass broadcasts; rows of a block of vectors, and of queries, that are multiplied at once.
 MOST_BYTES = 64 << 20
 ROWS, QUERIES = 4096, 512
@@ -62,25 +64,29 @@ def _matrix(column: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[whole], np.flatnonzero(good)
 
 
-def _pass(pool: DataFrame, asked: pd.DataFrame, k: int, metric: str, shape: str) -> DataFrame:
-    sent = pool.sparkSession.sparkContext.broadcast([(g["query_id"].to_numpy(), np.stack(g["vector"].map(lambda v: np.asarray(v, float)))) for _, g in asked.groupby(asked["vector"].map(len))])
+def _pass(pool: DataFrame, asked: pd.DataFrame, k: int, metric: str, shape: str, fits: Fits | None) -> DataFrame:
+    by_size = [(g.drop(columns="vector").reset_index(drop=True), np.stack([np.asarray(v, float) for v in g["vector"]])) for _, g in asked.groupby(asked["vector"].map(len))]
+    sent = pool.sparkSession.sparkContext.broadcast(by_size)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for batch in batches:
-            batch = batch.sort_values("chunk_id", kind="stable")
+            batch = batch.sort_values("chunk_id", kind="stable").reset_index(drop=True)
             found = [] if best is None else [best]
-            for ids, queries in sent.value:
+            for facts, queries in sent.value:
                 vectors, at = _matrix(batch["embedding"], queries.shape[1])
-                names = batch["chunk_id"].to_numpy()[at]
+                rows = batch.iloc[at]
+                names, ids = rows["chunk_id"].to_numpy(), facts["query_id"].to_numpy()
                 for i in range(0, len(queries), QUERIES):
                     for j in range(0, len(vectors), ROWS):
                         scores = np.round(_scores(queries[i : i + QUERIES], vectors[j : j + ROWS], metric), 9)
+                        if fits is not None:
+                            scores[~fits(facts.iloc[i : i + QUERIES], rows.iloc[j : j + ROWS])] = -np.inf
                         row, column = _best(scores, k)
                         found.append(pd.DataFrame({"query_id": ids[i + row], "chunk_id": names[j + column], "score": scores[row, column]}))
-            every = pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True) if found else None
-            if every is not None and len(every):
-                every = every.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+            found = [f for f in found if len(f)]
+            if found:
+                every = pd.concat(found, ignore_index=True).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
                 best = every[every.groupby("query_id", sort=False).cumcount() < k]
         if best is not None:
             yield best
@@ -88,26 +94,26 @@ def _pass(pool: DataFrame, asked: pd.DataFrame, k: int, metric: str, shape: str)
     return pool.mapInPandas(search, shape)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", most_bytes: int = MOST_BYTES) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", most_bytes: int = MOST_BYTES, fits: Fits | None = None) -> DataFrame:
     """``query_id``, ``chunk_id`` and ``score`` of at least the ``k`` nearest vectors of each query: the best of each task.
 
     ``queries`` has ``query_id`` and ``vector``, ``vectors`` has ``chunk_id`` and ``embedding``. Scores are rounded to nine decimals,
     equal ones go by ``chunk_id``. Null vectors, such with null or non-finite components, of another length than the query's, and for cosines zero
-    ones, are near nothing.
+    ones, are near nothing. With ``fits`` both tables keep their further columns for it.
     """
     spark = vectors.sparkSession
-    pool = vectors.select("chunk_id", "embedding").where("embedding is not null")
+    pool = (vectors if fits else vectors.select("chunk_id", "embedding")).where("embedding is not null")
     asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
-    asked = asked.select("query_id", "vector")
+    asked = asked if fits else asked.select("query_id", "vector")
     shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
     total = asked.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
     passes = max(1, -(-total // most_bytes))
     if passes == 1:
-        return _pass(pool, asked.toPandas(), k, metric, shape)
+        return _pass(pool, asked.toPandas(), k, metric, shape, fits)
     folder, parts = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}", []
     for i in range(passes):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()
         if len(part):
-            _pass(pool, part, k, metric, shape).write.parquet(f"{folder}/{i}")
+            _pass(pool, part, k, metric, shape, fits).write.parquet(f"{folder}/{i}")
             parts.append(spark.read.parquet(f"{folder}/{i}"))
     return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,8 @@ orders. Scores are rounded to nine decimals before ranking: sums of doubles depe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -166,24 +168,24 @@ def among_rows(chunks: DataFrame, among: DataFrame | None) -> DataFrame:
     return chunks if among is None else chunks.join(among.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.topk_per_mode, metric: str = "cosine", among: DataFrame | None = None, overfetch: int = 0) -> DataFrame:
+def semantic(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.topk_per_mode, metric: str = "cosine", among: DataFrame | None = None, overfetch: int = 0, fits: nearest.Fits | None = None) -> DataFrame:
     """Nearest vectors, exactly. ``queries`` has ``vector``, ``vectors`` has ``chunk_id`` and ``embedding``.
 
     With ``among`` the rest is left out before the search, or, if ``overfetch`` is given, after the best
-    ``overfetch * k`` have been taken, which may return fewer than ``k``.
+    ``overfetch * k`` have been taken, which may return fewer than ``k``. ``fits`` says, for blocks, which vectors a query may find.
     """
     pool = among_rows(vectors, None if overfetch else among)
     n = overfetch * k if overfetch else k
-    best = ranked(nearest.nearest(queries, pool, n, metric), n)
+    best = ranked(nearest.nearest(queries, pool, n, metric, fits=fits), n)
     if overfetch and among is not None:
         best = ranked(best.drop("rk").join(among.select("chunk_id"), "chunk_id", "left_semi"), k)
     return best.select("query_id", "chunk_id", "score", "rk")
 
 
-def fallback(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, s: Settings = DEFAULT, stored: I.Index | None = None) -> DataFrame:
+def fallback(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, s: Settings = DEFAULT, stored: I.Index | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Substring search by words: trigram BM25 ranks the chunks of each word, reciprocal ranks are added up.
 
-    A word repeated in a query counts again.
+    A word repeated in a query counts again. ``keep`` leaves of rows with ``query_id`` and ``chunk_id`` those that the query may find.
     """
     found = stored or I.built(chunks)
     asked = queries.select("query_id", F.posexplode(T.search_words(F.col("query"), s.fallback_min_word)).alias("nth", "word"))
@@ -197,8 +199,11 @@ def fallback(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.topk_per_mo
     scored = scored.select("word", "chunk_id", F.round(weight, 9).alias("score"))
     if among is not None:
         scored = scored.join(among.select("chunk_id"), "chunk_id", "left_semi")
-    best = ranked(scored, k, "word").select("word", "chunk_id", F.col("rk").alias("word_rk"))
-    summed = asked.join(best, "word").groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (s.fallback_rank_constant + F.col("word_rk"))), 9).alias("score"))
+    if keep is not None:  # ranks of a word then differ between queries
+        best = ranked(keep(asked.join(scored, "word")), k, "query_id", "nth").withColumnRenamed("rk", "word_rk")
+    else:
+        best = asked.join(ranked(scored, k, "word").select("word", "chunk_id", F.col("rk").alias("word_rk")), "word")
+    summed = best.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (s.fallback_rank_constant + F.col("word_rk"))), 9).alias("score"))
     return ranked(summed, k)
 
 

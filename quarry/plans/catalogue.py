@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import chunking, context, evaluation, fuse, index, library, logs, miner, retrieve, substring
+from quarry.operators import chunk_table, chunking, context, evaluation, fuse, index, library, logs, miner, requests, retrieve, substring
 from quarry.plans import hybrid
 from quarry.plans import tables as D
+from quarry.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -34,7 +36,7 @@ def fused(rows: DataFrame, *more: str) -> DataFrame:
 
 def stored(spark: SparkSession, d: str) -> index.Index:
     """The index of the documents, built by the session's first search of them."""
-    return library.index_of(D.documents_as_chunks(spark, d), D.table(spark, d, "documents"), "documents")
+    return library.index_of(D.documents_as_chunks(spark, d), D.table(spark, d, "documents"), "documents", embed=V.hashed_words)
 
 
 # Tokens and indexes
@@ -96,6 +98,18 @@ def kw_bm25_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     return shown(retrieve.keyword(D.queries(spark), chunks, among=retrieve.allowed(chunks, "lang", ["fr", "de"]), stored=stored(spark, d)))
 
 
+@query
+def kw_exclude_toc(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _with_toc(D.documents_as_chunks(spark, d))
+    return shown(retrieve.keyword(D.queries(spark), chunks, among=retrieve.allowed(chunks, exclude_toc=True), stored=stored(spark, d)))
+
+
+@query
+def semantic_by_text(spark: SparkSession, d: str) -> DataFrame:
+    """Queries without vectors: the index's model makes them, its stored vectors are searched."""
+    return shown(hybrid.search(D.queries(spark), D.documents_as_chunks(spark, d), mode="semantic", stored=stored(spark, d)))
+
+
 @query
 def kw_title_body_weighted(spark: SparkSession, d: str) -> DataFrame:
     found = stored(spark, d)
@@ -126,8 +140,7 @@ def kw_phrase_match(spark: SparkSession, d: str) -> DataFrame:
 def kw_user_words_folded(spark: SparkSession, d: str) -> DataFrame:
     """Words of a user's own as single tokens, no diacritics, in the index and in queries alike."""
     chunks, docs = D.documents_as_chunks(spark, d), D.table(spark, d, "documents")
-    analyse = T.tokens_with_words(D.USER_WORDS, T.unmarked)
-    found = library.index_of(chunks, docs, "documents-folded-words", analyse)
+    found = library.index_of(chunks, docs, "documents-folded-words", analyse=T.tokens_with_words(D.USER_WORDS, T.unmarked))
     return shown(retrieve.keyword(D.word_queries(spark), chunks, stored=found))
 
 
@@ -222,6 +235,13 @@ def relaxed_filter_search(spark: SparkSession, d: str) -> DataFrame:
     return shown(fuse.relaxed(retrieve.ranked(some, 10), retrieve.ranked(scores, 10), asked), "was_relaxed")
 
 
+@query
+def hits_of_results(spark: SparkSession, d: str) -> DataFrame:
+    """Hits given as text, taken apart into retriever and rank."""
+    found = fused(fuse.rrf(_lists(spark, d))).select("query_id", "chunk_id", F.explode(fuse.hit_list(F.col("hits"))).alias("hit"))
+    return found.select("query_id", "chunk_id", F.substring_index("hit", "#", 1).alias("src"), F.substring_index("hit", "#", -1).cast("long").alias("rk"))
+
+
 @query
 def mode_agreement(spark: SparkSession, d: str) -> DataFrame:
     lists = _lists(spark, d)
@@ -277,13 +297,63 @@ def context_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ablation_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Combinations of two retrievers on the benchmark, with the loss against both."""
+    """All combinations of the three retrievers on the benchmark, with the loss against all three."""
+    found = stored(spark, d)
+    asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
+    combos = fuse.combinations_fused(fuse.together(hybrid.retrieved(asked, chunks, None, stored=found)))
+    gold = evaluation.gold_by_substring(asked, chunks, stored=found)
+    return evaluation.against(evaluation.judged(combos, gold, asked, ("combo",)), "combo", "keyword+semantic+fallback")
+
+
+@query
+def term_typo_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Rare terms and their misspelt forms: what each retriever still finds."""
+    found = stored(spark, d)
+    items, chunks = evaluation.term_items(found), D.documents_as_chunks(spark, d)
+    gold = evaluation.gold_by_substring(items.select("query_id", F.col("correct").alias("query")), chunks, stored=found)
+    lists = fuse.together(hybrid.retrieved(items.select("query_id", "query"), chunks, None, 10, stored=found)).withColumnRenamed("src", "mode")
+    rows = evaluation.judged(lists, gold, items, ("mode",)).join(items.select("query_id", "kind"), "query_id")
+    return evaluation.means(rows, ("kind", "mode"))
+
+
+@query
+def term_typo_items(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.term_items(stored(spark, d))
+
+
+@query
+def best_mode(spark: SparkSession, d: str) -> DataFrame:
+    """The retriever with the best mean reciprocal rank on the benchmark."""
     found = stored(spark, d)
     asked, chunks = D.benchmark_queries(spark, d), D.documents_as_chunks(spark, d)
-    lists = fuse.together({"keyword": retrieve.keyword(asked, chunks, stored=found), "fallback": retrieve.cover_density(asked, chunks, stored=found)})
-    combos = fuse.combinations_fused(lists).where("combo in ('keyword', 'fallback', 'keyword+fallback')")
+    lists = retrieve.keyword(asked, chunks, 10, stored=found).withColumn("mode", F.lit("bm25")).unionByName(retrieve.cover_density(asked, chunks, 10, stored=found).withColumn("mode", F.lit("density")))
     gold = evaluation.gold_by_substring(asked, chunks, stored=found)
-    return evaluation.against(evaluation.judged(combos, gold, asked, ("combo",)), "combo", "keyword+fallback")
+    return evaluation.best(evaluation.means(evaluation.judged(lists, gold, asked, ("mode",)), ("mode",)), "mode")
+
+
+@query
+def context_quality_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Lines found for each benchmark item against the item's own lines, by edit distance (letters beyond ASCII count as one sign)."""
+    items, lines = D.benchmark_queries(spark, d), D.lines_as_chunks(spark, d)
+    plain = lambda c: F.regexp_replace(c, r"[^\x20-\x7E]", "?")
+    found = library.index_of(lines, D.table(spark, d, "documents"), "lines")
+    ranked = retrieve.keyword(items, lines, 10, stored=found).join(found.texts, "chunk_id").select("query_id", "rk", plain("body").alias("text"))
+    references = items.select("query_id", F.posexplode(F.split("query", "\n")).alias("ref", "text")).select("query_id", "ref", plain("text").alias("text"))
+    rows = evaluation.fuzzy_context(ranked, references)
+    return rows.select("query_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+@query
+def tool_search(spark: SparkSession, d: str) -> DataFrame:
+    """A table of tool requests: safe arguments, filters relaxed, contexts within a budget, and the ids that were served."""
+    chunks = _with_toc(D.documents_as_chunks(spark, d)).withColumn("facet", F.col("lang"))
+    rows = requests.answered(D.requests(spark, d), chunks, stored(spark, d))
+    served = F.array_join(F.transform("served", lambda i: i.cast("string")), ",")
+    return rows.select("query_id", "status", "was_relaxed", served.alias("served"), "used", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+def _with_toc(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("is_toc", (F.col("chunk_id") % 9 == 0).cast("int"))
 
 
 @query
@@ -341,6 +411,20 @@ def chunk_merge_islands(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "chunk_id", F.col("seq").cast("long").alias("seq"), "title", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+@query
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to chunks by the table function: sections, texts up to the target, short ones dropped or joined, numbers."""
+    found = chunk_table.chunk_table(D.documents_as_markdown(spark, d))
+    return found.select("doc_id", "chunk_id", F.col("seq").cast("long").alias("seq"), "title", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query
+def markdown_from_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Page lines to markdown: headings by size, furniture and repeated lines gone, paragraphs from lines."""
+    found = chunking.markdown(D.documents_as_pages(spark, d))
+    return found.select("doc_id", F.length("md").cast("long").alias("chars"), F.md5(F.col("md").cast("binary")).alias("md_md5"))
+
+
 @query
 def toc_flag(spark: SparkSession, d: str) -> DataFrame:
     docs = D.documents_as_chunks(spark, d)
@@ -378,7 +462,8 @@ def chunk_length_distribution(spark: SparkSession, d: str) -> DataFrame:
     docs = D.table(spark, d, "documents")
     lengths = docs.select("source", F.length("text").cast("long").alias("latency_ms"))
     spread = lengths.groupBy("source").agg(F.min("latency_ms").alias("least"), F.expr("sum(latency_ms) div count(*)").alias("mean"), F.max("latency_ms").alias("most"))
-    return logs.latencies_of_large(lengths, "source").join(spread, "source")
+    tenths = {"p10": lambda n: F.floor(n / 10), "p50": lambda n: F.floor(n / 2), "p90": lambda n: F.floor(n * 9 / 10)}
+    return logs.latencies_of_large(lengths, "source", places=logs.PLACES | tenths).join(spread, "source")
 
 
 # Context and citations
@@ -406,6 +491,12 @@ def topic_collect_dedup(spark: SparkSession, d: str) -> DataFrame:
     return shown(context.collected(ranked))
 
 
+@query
+def topic_collect_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks and characters that each topic collects, and in all."""
+    return context.collected_sums(*_keyword_top(spark, d))
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations as answers that cite their own turn; turns 1 to 3 are allowed."""
     turns = D.table(spark, d, "conversations")
@@ -461,6 +552,27 @@ def latest_200(spark: SparkSession, d: str) -> DataFrame:
     return logs.latest(D.events_as_log(spark, d)).select("id", "mode", F.round("latency_ms", 6).alias("latency_ms"))
 
 
+@query
+def log_append(spark: SparkSession, d: str) -> DataFrame:
+    """Two days' entries appended to a log one after the other; what the log then holds by mode."""
+    entries, path = D.events_as_log(spark, d).drop("ts"), f"{library.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    for rest in (0, 1):
+        sinks.append_log(entries.where(F.col("id") % 2 == rest), path)
+    return logs.kpis(spark.read.parquet(path), "mode")
+
+
+@query
+def evalset_replace(spark: SparkSession, d: str) -> DataFrame:
+    """A set of manual and automatic items whose automatic ones are made anew, saved and read again."""
+    items, path = D.table(spark, d, "benchmark"), f"{library.shared_folder(spark)}/evalset-{uuid.uuid4().hex}"
+    kind = F.when(F.col("item_id") % 3 == 0, "auto").otherwise("manual")
+    known = items.select(F.format_string("%s-%03d", kind, "item_id").alias("id"), F.col("text").alias("query"), F.array(F.col("item_id").cast("string")).alias("gold"), kind.alias("kind"))
+    new = make_auto_items(spark, d).select("id", "query", F.array(F.col("gold").cast("string")).alias("gold"), F.lit("auto").alias("kind"))
+    sinks.replace_auto(known, new, path)
+    rows = spark.read.schema(readers.EVAL_SCHEMA).json(path)
+    return rows.select("id", F.md5(F.col("query").cast("binary")).alias("query_md5"), F.array_join("gold", ",").alias("gold"), "kind")
+
+
 # Scale and scans
 
 

@@ -13,8 +13,15 @@ MODES = ("keyword", "semantic", "fallback", "hybrid")
 
 
 def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k: int = DEFAULT.topk_per_mode, among: DataFrame | None = None, modes: tuple[str, ...] = MODES[:3], stored: index.Index | None = None) -> dict[str, DataFrame]:
-    """The ranked list of each retriever; without vectors (or query vectors) there is no semantic one."""
+    """The ranked list of each retriever; without vectors (or query vectors) there is no semantic one.
+
+    Vectors come from ``vectors`` or from the stored index, whose model then makes those of queries without one.
+    """
     lists = {}
+    if vectors is None and stored is not None:
+        vectors = stored.vectors
+        if vectors is not None and stored.embed is not None and "vector" not in queries.columns:
+            queries = queries.withColumn("vector", stored.embed(F.col("query")))
     if "keyword" in modes:
         lists["keyword"] = retrieve.keyword(queries, chunks, k, among, stored=stored)
     if "semantic" in modes and vectors is not None and "vector" in queries.columns:

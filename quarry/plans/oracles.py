@@ -115,6 +115,15 @@ fdf AS (SELECT word, count(*) AS df FROM hits GROUP BY word),
 wscores AS (SELECT word, chunk_id, round({bm25("tf::double", "len")}, 9) AS score FROM hits JOIN fdf USING (word), fstats),
 wbest AS ({best("wscores", 30, "word")}),
 fb_scores AS (SELECT query_id, chunk_id, round(sum(1.0::double / (10 + rk)), 9) AS score FROM words JOIN wbest USING (word) GROUP BY ALL)"""
+#: The same where words may overlap themselves: each place is tried for words that begin as they end.
+OVERLAPPING = FALLBACK.replace(
+    FALLBACK[FALLBACK.index("hits AS"):FALLBACK.index("fstats AS")],
+    """met AS (SELECT word, chunk_id, lower(body) AS body, len(list_filter(range(1, length(word)), lambda k: left(word, k) = right(word, k))) > 0 AS bordered
+    FROM (SELECT DISTINCT word FROM words) JOIN chunks ON contains(lower(body), word)),
+places AS (SELECT word, chunk_id, count(*) AS tf FROM (SELECT word, chunk_id, body, unnest(range(1, length(body) - length(word) + 2)) AS i FROM met WHERE bordered) WHERE substr(body, i, length(word)) = word GROUP BY ALL),
+hits AS (SELECT word, chunk_id, greatest(length(body) - 2, 0) AS len, coalesce(tf, (length(body) - length(replace(body, word, ''))) // length(word)) AS tf FROM met LEFT JOIN places USING (word, chunk_id)),
+""",
+)
 QV = "qv AS (SELECT query_id, e AS v FROM q JOIN vectors ON chunk_id = query_id * 50)"
 LISTS = with_(
     *KW, FALLBACK, VECTORS, QV,
@@ -202,10 +211,100 @@ collide AS (SELECT own.word, piece, list_position(pieces, piece) AS nth,
     FROM own JOIN kept USING (word)),
 mined AS (SELECT word, any_value(n) AS n, any_value(docs) AS docs, max(collide) AS collide, arg_max(piece, {{'c': collide, 'n': -nth}}) AS worst
     FROM collide JOIN kept USING (word) GROUP BY word)"""
+TENTHS = "list_sort(list({0}))[count(*) // 10 + 1] AS p10, list_sort(list({0}))[count(*) * 9 // 10 + 1] AS p90"
 PERCENTILES = "list_sort(list({0}))[count(*) // 2 + 1] AS p50, list_sort(list({0}))[least(count(*) - 1, floor(count(*) * 0.95))::bigint + 1] AS p95"
 PRICED = "ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber"
 _TAIL = r"regexp_replace(title || ' > ' || source || ' ' || chunk_id, '^.*>', '')"
 
+SECTIONS = (
+    r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""",
+    r"""marked AS (SELECT *, length(regexp_extract(line, '^(#{2,3})\s+(.*)$', 1)) AS level, trim(regexp_extract(line, '^(#{2,3})\s+(.*)$', 2)) AS name FROM lines)""",
+    "numbered AS (SELECT *, sum((level > 0)::int) OVER d AS section, sum((level = 2)::int) OVER d AS part FROM marked WINDOW d AS (PARTITION BY doc_id ORDER BY n))",
+    """titled AS (SELECT *, last_value(CASE WHEN level = 2 THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS h2,
+    last_value(CASE WHEN level = 3 THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id, part ORDER BY n) AS h3 FROM numbered)""",
+    rf"""found AS (SELECT doc_id, section::bigint AS section, any_value(concat_ws(' > ', nullif(h2, ''), nullif(h3, ''))) AS title,
+    {trimmed("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), '')")} AS body FROM titled GROUP BY doc_id, section)""",
+)
+_PIECES = rf"""pieces AS (SELECT doc_id, section, title, list_filter(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(body, '\n{{2,}}'), lambda p: {trimmed("p")}), lambda p: p <> ''),
+    lambda p: CASE WHEN length(p) > 1600 THEN string_split(regexp_replace(p, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [p] END)), lambda p: p <> '') AS ps FROM found WHERE body <> ''),
+"""
+CHUNKED = (
+    *SECTIONS,
+    _PIECES + PIECES[PIECES.index("folded AS"):].replace("doc_id, list_reduce", "doc_id, section, title, list_reduce").replace("SELECT doc_id, unnest", "SELECT doc_id, section, title, unnest"),
+    """begun AS (SELECT *, NOT (length(chunk) < 120 AND coalesce(title = lag(title) OVER d, false)) AS begins FROM split WHERE length(chunk) >= 40 WINDOW d AS (PARTITION BY doc_id ORDER BY section, n))""",
+    "islands AS (SELECT *, sum(begins::int) OVER (PARTITION BY doc_id ORDER BY section, n) AS island FROM begun)",
+    "merged AS (SELECT doc_id, island, arg_min(title, (section, n)) AS title, string_agg(chunk, ' ' ORDER BY section, n) AS body FROM islands GROUP BY doc_id, island)",
+    "numbered_chunks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS seq FROM merged)",
+)
+MARKDOWN = (
+    """page_lines AS (SELECT doc_id, i // 8 AS page, i % 8 AS line_no, text, 10.0::double + length(text) % 4 AS size
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))""",
+    f"cl AS (SELECT doc_id, page, line_no, size, {cleaned('text')} AS text FROM page_lines)",
+    "fonts AS (SELECT doc_id, arg_max(size, (chars, -size)) AS body_size FROM (SELECT doc_id, size, sum(length(text)) AS chars FROM cl GROUP BY ALL) GROUP BY doc_id)",
+    """repeats AS (SELECT doc_id, text FROM (SELECT doc_id, text, count(DISTINCT (page, size)) AS n FROM cl WHERE length(text) BETWEEN 1 AND 40 GROUP BY ALL)
+    JOIN (SELECT doc_id, count(DISTINCT page) AS pages FROM cl GROUP BY 1) USING (doc_id) WHERE n >= greatest(3, floor(pages * 0.4::double)))""",
+    f"""leveled AS (SELECT cl.*, CASE WHEN length(text) <= 70 AND size >= body_size + 2.5 THEN 2 WHEN length(text) <= 70 AND size >= body_size + 1.0 THEN 3 END AS level
+    FROM cl JOIN fonts USING (doc_id) WHERE NOT ({NOISE}) AND NOT EXISTS (FROM repeats r WHERE r.doc_id = cl.doc_id AND r.text = cl.text))""",
+    f"stripped AS (SELECT * REPLACE (CASE WHEN marked THEN regexp_replace(text, {literal(LEADING_MARK)}, '') ELSE text END AS text) FROM (SELECT *, level IS NULL AND regexp_matches(text, {literal(LEADING_MARK)}) AS marked FROM leveled))",
+    f"ended AS (SELECT *, level IS NOT NULL OR regexp_matches(text, {literal(SENTENCE_END)}) AS ends FROM stripped)",
+    "broken AS (SELECT *, level IS NOT NULL OR marked OR coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY page, line_no), true) AS breaks FROM ended)",
+    "in_blocks AS (SELECT *, sum(breaks::int) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS block FROM broken)",
+    "md_blocks AS (SELECT doc_id, block, CASE max(level) WHEN 2 THEN '## ' WHEN 3 THEN '### ' ELSE '' END || string_agg(text, ' ' ORDER BY page, line_no) AS text FROM in_blocks GROUP BY ALL)",
+    rf"mds AS (SELECT doc_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY block), '\n{{3,}}', chr(10) || chr(10), 'g') AS md FROM md_blocks WHERE {trimmed('text')} <> '' GROUP BY doc_id)",
+)
+
+
+def hashed_words(name: str, rows: str, key: str, text: str) -> str:
+    """Vectors of hashed words as rows of slot and value, rounded to floats as a stored vector is."""
+    return f"""{name}_counts AS (SELECT {key}, ('0x' || left(md5(t), 2))::int % 64 AS slot, count(*) AS c FROM (SELECT {key}, unnest({tokens(text)}) AS t FROM {rows}) GROUP BY ALL),
+{name} AS (SELECT {key}, slot, (c / sqrt(sum(c * c) OVER (PARTITION BY {key})::double))::float::double AS x FROM {name}_counts),
+{name}_norms AS (SELECT {key}, sqrt(sum(x * x)) AS norm FROM {name} GROUP BY {key})"""
+
+
+TEXT_VECTORS = f"""{hashed_words("cv", "chunks", "chunk_id", "title || chr(10) || body")},
+{hashed_words("qv", "q", "query_id", "query")},
+text_sem AS (SELECT query_id, cn.chunk_id, round(coalesce(sum(qv.x * cv.x), 0) / any_value(qn.norm) / any_value(cn.norm), 9) AS score
+    FROM qv_norms qn CROSS JOIN cv_norms cn JOIN qv USING (query_id) LEFT JOIN cv ON cv.chunk_id = cn.chunk_id AND cv.slot = qv.slot GROUP BY query_id, cn.chunk_id)"""
+THREE = f"""lists AS (SELECT query_id, 'keyword' AS src, chunk_id, rk FROM ({best("kw_scores", 30)})
+    UNION ALL SELECT query_id, 'semantic', chunk_id, rk FROM ({best("text_sem", 30)})
+    UNION ALL SELECT query_id, 'fallback', chunk_id, rk FROM ({best("fb_scores", 30)}))"""
+COMBOS = """combos(combo) AS (VALUES ('keyword'), ('semantic'), ('fallback'), ('keyword+semantic'), ('keyword+fallback'), ('semantic+fallback'), ('keyword+semantic+fallback')),
+in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(string_split(combo, '+'), src))"""
+TERM_ITEMS = """chosen_terms AS (SELECT term FROM df WHERE df BETWEEN 3 AND 40 AND length(term) >= 6 ORDER BY md5(term), term LIMIT 20),
+items AS (SELECT 'term:' || term AS query_id, 'term' AS kind, term AS query, term AS correct FROM chosen_terms
+    UNION ALL SELECT 'typo:' || term, 'typo', left(term, m - 1) || CASE WHEN term[m] = term[m + 1] THEN term[m] ELSE term[m + 1] || term[m] END || substr(term, m + 2), term
+    FROM (SELECT term, length(term) // 2 AS m FROM chosen_terms))"""
+LINE_CHUNKS = """chunks AS (SELECT doc_id || '#' || printf('%04d', n) AS chunk_id, '' AS title, body FROM
+    (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) WHERE body <> '')"""
+FUZZY = rf"""retrieved AS (SELECT query_id, rk, regexp_replace(body, '[^ -~]', '?', 'g') AS b FROM ({best("kw_scores", 10)}) JOIN chunks USING (chunk_id)),
+refs AS (SELECT query_id, generate_subscripts(string_split(query, chr(10)), 1) AS ref, regexp_replace(unnest(string_split(query, chr(10))), '[^ -~]', '?', 'g') AS a FROM q),
+alike AS (SELECT query_id, ref, rk FROM refs JOIN retrieved USING (query_id) WHERE greatest(length(a), length(b)) > 0
+    AND levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.5::double + 1e-9)),
+precisions AS (SELECT query_id, avg(at_rank) AS precision FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rk)::double / rk AS at_rank FROM (SELECT DISTINCT query_id, rk FROM alike)) GROUP BY query_id)"""
+_TOC = "chunks AS (SELECT *, (chunk_id % 9 = 0)::int AS is_toc FROM plain_chunks)"
+TOC_CHUNKS = CHUNKS.replace("chunks AS", "plain_chunks AS", 1) + ", " + _TOC
+REQUESTS = f"""raw AS (SELECT item_id AS query_id, trim(CASE WHEN item_id % 17 = 0 THEN '  ' ELSE array_to_string(string_split(text, ' ')[1:6], ' ') END, chr(32) || chr(9) || chr(10) || chr(13)) AS query,
+    CASE item_id % 5 WHEN 0 THEN 'keyword' WHEN 1 THEN 'semantic' WHEN 2 THEN 'fallback' ELSE 'hybrid' END AS mode,
+    CASE item_id % 7 WHEN 2 THEN 5 WHEN 3 THEN 20 WHEN 4 THEN 3 WHEN 5 THEN 12 WHEN 6 THEN 1 ELSE 8 END AS top_n,
+    CASE item_id % 4 WHEN 1 THEN ['en'] WHEN 2 THEN ['fr', 'xx'] WHEN 3 THEN ['none'] END AS facets, item_id % 3 <> 2 AS exclude_toc FROM benchmark),
+q AS (SELECT query_id, query FROM raw WHERE query <> '')"""
+TOOL = f"""pairs AS (SELECT query_id, level, chunk_id FROM raw, (VALUES (0), (1)) l(level), chunks WHERE query <> '' AND (level = 1 OR facets IS NULL OR list_contains(facets, lang)) AND NOT (exclude_toc AND is_toc = 1)),
+by_word AS (SELECT query_id, level, nth, chunk_id, score FROM (SELECT query_id, word, row_number() OVER () AS nth FROM words) JOIN wscores USING (word) JOIN pairs USING (query_id, chunk_id)),
+fb_level AS (SELECT query_id, level, chunk_id, round(sum(1.0::double / (10 + rk)), 9) AS score FROM ({best("by_word", 30, "query_id, level, nth")}) GROUP BY ALL),
+kw_level AS (SELECT s.query_id, level, chunk_id, score FROM kw_scores s JOIN pairs USING (query_id, chunk_id)),
+sem_level AS (SELECT s.query_id, level, chunk_id, score FROM text_sem s JOIN pairs USING (query_id, chunk_id)),
+lists AS (SELECT query_id, level, 'keyword' AS src, chunk_id, rk FROM ({best("kw_level", 30, "query_id, level")})
+    UNION ALL SELECT query_id, level, 'semantic', chunk_id, rk FROM ({best("sem_level", 30, "query_id, level")})
+    UNION ALL SELECT query_id, level, 'fallback', chunk_id, rk FROM ({best("fb_level", 30, "query_id, level")})),
+{rrf(USUAL, 60, 20, "lists", "level")},
+answers AS (SELECT query_id, level, chunk_id, l.rk FROM lists l JOIN raw USING (query_id) WHERE src = mode AND l.rk <= top_n
+    UNION ALL SELECT query_id, level, chunk_id, t.rk FROM top t JOIN raw USING (query_id) WHERE mode = 'hybrid' AND t.rk <= top_n),
+level_of AS (SELECT query_id, min(level) AS level FROM answers JOIN raw USING (query_id) WHERE level = 0 OR facets IS NOT NULL GROUP BY query_id),
+chosen AS (SELECT answers.* FROM answers JOIN level_of USING (query_id, level)),
+tool_blocks AS (SELECT query_id, chunk_id, rk, '[' || chunk_id || ']' || chr(10) || ' ' || source || chr(10) || title || chr(10) || body || chr(10) AS block FROM chosen JOIN chunks USING (chunk_id)),
+tool_running AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rk ROWS UNBOUNDED PRECEDING)::bigint AS used FROM tool_blocks),
+tool_served AS (SELECT query_id, string_agg(chunk_id::varchar, ',' ORDER BY rk) AS served, string_agg(block, chr(10) || '---' || chr(10) ORDER BY rk) AS context, max(used) AS used FROM tool_running WHERE used <= 2500 GROUP BY query_id)"""
+
 ORACLES = {
     "tokenize_terms": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "query_strings": rf"""SELECT item_id, array_to_string(list_transform({tokens("text")}, lambda t: '"' || t || '"'), ' OR ') AS fts_or,
@@ -265,12 +364,33 @@ in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(strin
         "hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rk)::double / rk AS p FROM a JOIN gold USING (query_id, chunk_id))",
         "sizes AS (SELECT query_id, count(*) AS golds FROM gold GROUP BY 1)")
         + "SELECT query_id, round(count(p)::double / any_value(golds), 6) AS recall, round(coalesce(avg(p), 0), 6) AS precision FROM sizes LEFT JOIN hits USING (query_id) GROUP BY query_id",
-    "ablation_metrics": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), DENSITY, GOLD,
-        f"""lists AS (SELECT query_id, 'keyword' AS src, chunk_id, rk FROM ({best("kw_scores", 30)}) UNION ALL SELECT query_id, 'fallback', chunk_id, rk FROM ({best("density", 30)}))""",
-        "combos(combo) AS (VALUES ('keyword'), ('fallback'), ('keyword+fallback'))",
-        "in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(string_split(combo, '+'), src))",
+    "ablation_metrics": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), OVERLAPPING, TEXT_VECTORS, GOLD, THREE, COMBOS,
         rrf(USUAL, 60, 10, "in_combo", "combo"), "m AS (WITH " + metrics("top", "q", "combo") + ")")
-        + "SELECT *, round(mrr - (SELECT mrr FROM m WHERE combo = 'keyword+fallback'), 6) AS delta_mrr FROM m",
+        + "SELECT *, round(mrr - (SELECT mrr FROM m WHERE combo = 'keyword+semantic+fallback'), 6) AS delta_mrr FROM m",
+    "term_typo_items": with_(CHUNKS, POSTINGS, TERM_ITEMS) + "SELECT query_id, kind, query, correct FROM items",
+    "term_typo_metrics": with_(CHUNKS, POSTINGS, TERM_ITEMS, "q AS (SELECT query_id, query FROM items)", TERMS, kw_scores(), OVERLAPPING, TEXT_VECTORS,
+        GOLD.replace("FROM q JOIN", "FROM (SELECT query_id, correct AS query FROM items) JOIN"),
+        THREE.replace("30)", "10)").replace("rk <= 30", "rk <= 10"),
+        "kinds AS (SELECT i.kind, i.query_id, l.src AS mode, l.chunk_id, l.rk FROM items i JOIN lists l USING (query_id))",
+        "sizes AS (SELECT query_id, count(*) AS golds FROM gold GROUP BY 1)",
+        "judged AS (SELECT kind, m.mode, i.query_id, any_value(golds) AS golds, min(rk) FILTER (g.chunk_id IS NOT NULL) AS best, "
+        + ", ".join(f"count(*) FILTER (g.chunk_id IS NOT NULL AND rk <= {k}) AS n{k}" for k in (1, 3, 5, 10))
+        + " FROM items i CROSS JOIN (SELECT DISTINCT src AS mode FROM lists) m LEFT JOIN lists l ON l.query_id = i.query_id AND l.src = m.mode LEFT JOIN gold g ON g.query_id = l.query_id AND g.chunk_id = l.chunk_id LEFT JOIN sizes z ON z.query_id = i.query_id GROUP BY ALL)")
+        + "SELECT kind, mode, count(*) AS n_queries, " + ", ".join(f"round(avg((n{k} > 0)::int), 6) AS hit_{k}, round(avg(coalesce(n{k}::double / golds, 0)), 6) AS recall_{k}" for k in (1, 3, 5, 10))
+        + ", round(avg(coalesce(1.0::double / best, 0)), 6) AS mrr FROM judged GROUP BY kind, mode",
+    "context_quality_fuzzy": with_(BENCH, LINE_CHUNKS, POSTINGS, TERMS, kw_scores(), FUZZY)
+        + """SELECT r.query_id, round(count(DISTINCT a.ref)::double / any_value(n), 6) AS recall, round(coalesce(any_value(precision), 0), 6) AS precision
+        FROM (SELECT query_id, count(*) AS n FROM refs GROUP BY 1) r LEFT JOIN alike a USING (query_id) LEFT JOIN precisions p USING (query_id) GROUP BY r.query_id""",
+    "tool_search": with_(REQUESTS, TOC_CHUNKS, POSTINGS, TERMS, kw_scores(), OVERLAPPING, TEXT_VECTORS, TOOL)
+        + """SELECT raw.query_id, CASE WHEN query = '' THEN 'empty query' WHEN l.level IS NULL THEN 'no results' ELSE 'ok' END AS status, coalesce(l.level = 1, false) AS was_relaxed,
+        coalesce(served, '') AS served, coalesce(used, 0) AS used, md5(coalesce(context, '')) AS context_md5 FROM raw LEFT JOIN level_of l USING (query_id) LEFT JOIN tool_served USING (query_id)""",
+    "kw_exclude_toc": with_(Q, TOC_CHUNKS, POSTINGS, TERMS, kw_scores()) + shown(f"({best('(SELECT * FROM kw_scores WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE is_toc = 0))', 30)})"),
+    "semantic_by_text": with_(Q, CHUNKS, TEXT_VECTORS) + shown(f"({best('text_sem', 10)})"),
+    "chunk_documents": with_(*CHUNKED) + "SELECT doc_id, doc_id || '#' || printf('%04d', seq) AS chunk_id, seq, title, md5(body) AS body_md5 FROM numbered_chunks",
+    "markdown_from_lines": with_(*MARKDOWN) + "SELECT doc_id, length(md) AS chars, md5(md) AS md_md5 FROM mds",
+    "topic_collect_sums": with_(*KW, BLOCKS, "chosen AS (SELECT * FROM blocks WHERE rk <= 5 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY query_id) = 1)")
+        + "SELECT query_id, count(*) AS n_blocks, coalesce(sum(length(block)), 0)::bigint AS cost FROM chosen GROUP BY ROLLUP (query_id)",
+    "log_append": with_(LOG) + "SELECT mode, count(*) AS n, round(avg(refused), 6) AS refused_share, count(*) FILTER (invalid > 0) AS n_invalid, round(avg(coverage), 6) AS mean_coverage FROM log GROUP BY mode",
     "metrics_by_kind": with_(BENCH, CHUNKS, POSTINGS, TERMS, kw_scores(), GOLD, f"a AS ({best('kw_scores', 10)})",
         "rr AS (SELECT q.query_id, coalesce(1.0::double / min(rk) FILTER (gold.chunk_id IS NOT NULL), 0) AS rr FROM q LEFT JOIN a USING (query_id) LEFT JOIN gold ON gold.query_id = a.query_id AND gold.chunk_id = a.chunk_id GROUP BY q.query_id)")
         + "SELECT 'bm25' AS mode, round(avg(rr) FILTER (query_id % 2 = 0), 6) AS auto, round(avg(rr) FILTER (query_id % 2 <> 0), 6) AS manual FROM rr",
@@ -279,13 +399,7 @@ in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(strin
         WHERE length(body) > 300 AND title <> '' AND length(title) > 6)""", "firsts AS (SELECT tail, min(o) AS o, arg_min(chunk_id, o) AS gold FROM tails WHERE length(tail) >= 8 GROUP BY tail ORDER BY o LIMIT 30)")
         + "SELECT 'auto-' || printf('%02d', row_number() OVER (ORDER BY o)) AS id, tail AS query, gold FROM firsts",
     "latency_p50_p95": with_(LOG) + f"SELECT mode, count(*) AS n, {PERCENTILES.format('latency_ms')} FROM log GROUP BY mode",
-    "section_headings": with_(r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""",
-        r"""marked AS (SELECT *, length(regexp_extract(line, '^(#{2,3})\s+(.*)$', 1)) AS level, trim(regexp_extract(line, '^(#{2,3})\s+(.*)$', 2)) AS name FROM lines)""",
-        "numbered AS (SELECT *, sum((level > 0)::int) OVER d AS section, sum((level = 2)::int) OVER d AS part FROM marked WINDOW d AS (PARTITION BY doc_id ORDER BY n))",
-        """titled AS (SELECT *, last_value(CASE WHEN level = 2 THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS h2,
-        last_value(CASE WHEN level = 3 THEN name END IGNORE NULLS) OVER (PARTITION BY doc_id, part ORDER BY n) AS h3 FROM numbered)""",
-        rf"""found AS (SELECT doc_id, section::bigint AS section, any_value(concat_ws(' > ', nullif(h2, ''), nullif(h3, ''))) AS title,
-        {trimmed("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), '')")} AS body FROM titled GROUP BY doc_id, section)""")
+    "section_headings": with_(*SECTIONS)
         + "SELECT doc_id, section, title, md5(body) AS body_md5 FROM found WHERE body <> ''",
     "chunk_split_long": with_(PIECES) + "SELECT doc_id, n, length(chunk) AS chars, md5(chunk) AS chunk_md5 FROM split",
     "chunk_merge_islands": with_("""parts AS (SELECT doc_id, lang AS title, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""",
@@ -304,7 +418,7 @@ in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(strin
         "counted AS (SELECT doc_id, text, count(DISTINCT (page, size)) AS n FROM sized WHERE length(text) BETWEEN 1 AND 40 GROUP BY ALL)")
         + "SELECT doc_id, text, n FROM counted JOIN pages USING (doc_id) WHERE n >= greatest(3, floor(pages * 0.02::double))",
     "body_font_mode": with_(LINES) + "SELECT doc_id, arg_max(size, (chars, -size)) AS body_size FROM (SELECT doc_id, size, sum(length(text)) AS chars FROM sized GROUP BY ALL) GROUP BY doc_id",
-    "chunk_length_distribution": f"SELECT source, count(*) AS n, {PERCENTILES.format('length(text)')}, min(length(text)) AS least, (sum(length(text)) // count(*))::bigint AS mean, max(length(text)) AS most FROM documents GROUP BY source",
+    "chunk_length_distribution": f"SELECT source, count(*) AS n, {PERCENTILES.format('length(text)')}, {TENTHS.format('length(text)')}, min(length(text)) AS least, (sum(length(text)) // count(*))::bigint AS mean, max(length(text)) AS most FROM documents GROUP BY source",
     "context_budget_prefix": with_(*KW, BLOCKS) + "SELECT query_id, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY rk)) AS context_md5, count(*) AS n_blocks, max(used) AS used FROM running WHERE used <= 6000 GROUP BY query_id",
     "budget_scan": with_(*KW, BLOCKS) + "SELECT query_id, budget::bigint AS budget, count(*) AS n_blocks, max(used) AS used FROM running JOIN (VALUES (1000), (2000), (3000), (6000)) b(budget) ON used <= budget GROUP BY ALL",
     "topic_collect_dedup": with_(*KW, f"ranked AS ({best('kw_scores', 8)})") + "SELECT query_id, chunk_id, round(score, 6) AS score, rk FROM ranked WHERE rk <= 5 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY query_id) = 1",
@@ -325,3 +439,11 @@ in_combo AS (SELECT combo, lists.* FROM combos JOIN lists ON list_contains(strin
     "heading_counts": "SELECT source, sum(len(regexp_extract_all(text, '(?m)^## ')))::bigint AS h2, sum(len(regexp_extract_all(text, '(?m)^### ')))::bigint AS h3 FROM documents GROUP BY source",
     "dashboard_modes": "SELECT lang, count(*) AS n, count(quality) AS labelled, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
 }
+
+ORACLES["best_mode"] = "SELECT mode, mrr FROM (" + ORACLES["eval_hit_recall_mrr"] + ") ORDER BY mrr DESC, mode LIMIT 1"
+ORACLES["hits_of_results"] = (
+    LISTS.rstrip() + ",\n" + rrf(USUAL, 60, 10)
+    + "SELECT query_id, chunk_id, split_part(h, '#', 1) AS src, split_part(h, '#', 2)::bigint AS rk FROM (SELECT query_id, chunk_id, unnest(string_split(hits, ', ')) AS h FROM top)"
+)
+ORACLES["evalset_replace"] = """SELECT printf('manual-%03d', item_id) AS id, md5(text) AS query_md5, item_id::varchar AS gold, 'manual' AS kind FROM benchmark WHERE item_id % 3 <> 0
+    UNION ALL SELECT id, md5(query), gold::varchar, 'auto' FROM (""" + ORACLES["make_auto_items"] + ")"

@@ -99,3 +99,29 @@ def events_as_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "error").cast("int").alias("refused"),
         F.when(F.col("event_type") != "view", F.least(F.lit(1.0), F.abs("value") / 100)).alias("coverage"),
     )
+
+
+def documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a file of pages of eight lines; sizes follow the lines' lengths."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return lines.select("doc_id", F.floor(F.col("i") / 8).alias("page"), (F.col("i") % 8).alias("line_no"), "text", (10.0 + F.length("text") % 4).alias("size"))
+
+
+def lines_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as chunks without titles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "body"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.format_string("%04d", "n"))
+    return docs.where("body <> ''").select(name.alias("chunk_id"), F.lit("").alias("title"), "body")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as requests of a tool: the first six words, with all kinds of arguments, some of them unknown, too large or blank."""
+    items, at = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    pick = lambda *values: F.get(F.array(*(F.lit(v) for v in values)), (at % len(values)).cast("int"))
+    facets = F.when(at % 4 == 1, F.array(F.lit("en"))).when(at % 4 == 2, F.array(F.lit("fr"), F.lit("xx"))).when(at % 4 == 3, F.array(F.lit("none")))
+    return items.select(
+        at.alias("query_id"), F.when(at % 17 == 0, "  ").otherwise(words).alias("query"), pick("keyword", "semantic", "fallback", "hybrid", "other").alias("mode"),
+        pick(None, 0, 5, 50, 3, 12, 1).cast("int").alias("top_n"), facets.alias("facets"), pick(None, True, False).cast("boolean").alias("exclude_toc"),
+    )

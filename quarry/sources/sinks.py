@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import miner
@@ -53,3 +53,14 @@ def report(title: str, sections: list[tuple[str, str]], cited: DataFrame) -> str
     n = cited.agg(F.countDistinct("chunk_id")).first()[0]
     parts = [f"# {title}", f"{datetime.date.today():%Y-%m-%d}, {n} sources"]
     return "\n\n".join([*parts, *(f"## {name}\n\n{body}" for name, body in sections)]) + "\n"
+
+
+def analyzed(rows: DataFrame, name: str) -> None:
+    """``rows`` as a table with statistics of all columns, from which later plans choose their joins; an older one of the name goes."""
+    dropped(rows.sparkSession, name)
+    rows.write.saveAsTable(name)
+    rows.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
+def dropped(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -117,10 +118,25 @@ def test_one_row_of_each_group_stays(spark):
     assert S.keep_one_of_each(df.limit(0)).count() == 0
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("in_a_task", [1 << 18, 40])  # all links in one task; contracted in parts, then in rounds
+def test_components_of_a_long_path_and_a_star(spark, in_a_task):
     path = [(i, i + 1) for i in range(1, 200)]
     star = [(1000, 1000 + i) for i in range(1, 100)]
-    rows = [*path, *star, (5, 5), (None, 3), (2, 1)]
-    found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
-    assert found == {i: 1 for i in range(1, 201)} | {1000 + i: 1000 for i in range(100)}
-    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    rows = [*path, *star, (5, 5), (None, 3), (2, 1), (2, 1), (1100, None), (-7, -9)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b", in_a_task=in_a_task).collect()}
+    assert found == {i: 1 for i in range(1, 201)} | {1000 + i: 1000 for i in range(100)} | {-7: -9, -9: -9}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", in_a_task=in_a_task).count() == 0
+
+
+@pytest.mark.parametrize("in_a_task", [1 << 18, 60])
+def test_components_of_random_links_between_binary_nodes(spark, in_a_task):
+    rng = random.Random(5)
+    name = lambda i: (i * 2654435761 % (1 << 32)).to_bytes(4, "big")  # noqa: E731  bytes above and below 0x80
+    pairs = [(name(rng.randrange(300)), name(rng.randrange(300))) for _ in range(220)]
+    root = {v: v for pair in pairs for v in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    found = connected_components(spark.createDataFrame(pairs, "a binary, b binary"), "a", "b", in_a_task=in_a_task).collect()
+    linked = {v for a, b in pairs if a != b for v in (a, b)}
+    assert {bytes(r.node): bytes(r.root) for r in found} == {v: root[v] for v in linked} and len(found) == len(linked)

@@ -1,12 +1,16 @@
 """Personal data: exact base patterns, and further spans by weak supervision.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. Wider patterns propose further
-spans. Six labelers, none of which reads what another reads, vote on each: the value's format, a harmless format, a
-gazetteer (names, issuers, known prefixes and placeholders), harmless words before it, telling words before it, and its
-mix of characters. Expectation-maximisation over the counts of vote patterns, which Spark gathers from every
+spans; names are proposed after a title, after a word such as `name:`, and where capitalised words begin with a first name of
+the gazetteer. Six labelers, none of which reads what another reads, vote on each: the value's format, a harmless format
+(words, paths, dates, uuids), a gazetteer (names, issuers, known prefixes and placeholders), harmless words before it,
+telling words before it, and its mix of characters. That a value is hexadecimal is no vote, as a digest and a
+key look alike. Expectation-maximisation over the counts of vote patterns, which Spark gathers from every
 document, estimates each labeler's reliability by kind and each span's probability. With these probabilities as soft
 labels a logistic classifier over a span's votes and shape is trained, and adds the spans it gives at least one half. So that
-it judges votes that no document shows, every possible pattern of votes is among its examples with a small weight.
+it judges votes that no document shows, every possible pattern of votes is among its examples with a small weight, in the
+mean shape of what was seen: a corpus in which all proposals are secrets then can't teach that the shape alone tells. For the
+same reason the share of private spans is held between bounds (``SHARES``).
 
 What reaches the driver are counts by kind, votes and shape, whose number is fixed by the buckets below.
 
@@ -21,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -69,7 +73,7 @@ _HARMLESS = frozenset(
     part serial sku ticket model reference ref item case""".split()
 )
 _NEAR = {
-    "name": frozenset(("contact", "name", "signed", "author", "by", "kontakt", "nombre", "nom", "patient", "dear")),
+    "name": frozenset(("contact", "name", "signed", "author", "by", "kontakt", "nombre", "nom", "patient", "dear", *map(str.lower, _TITLES))),
     "national_id": frozenset(("ssn", "social", "security", "id", "tax")),
     "bank_account": frozenset(("iban", "account", "konto", "bank", "cuenta", "compte")),
 }
@@ -81,7 +85,12 @@ _WIDE = {
     "secret": re.compile(r"(?<![\w+/=-])([A-Za-z0-9_+/-]{12,})(?![\w+/-])"),
 }
 _ASSIGNED = re.compile(r"(?i)(?:" + "|".join(_KEY_WORDS) + r")\w{0,10}\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
-_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+_CAPITALISED = re.compile(r"(?<![\w'-])[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)+")
+_NAMED = re.compile(r"(?i:\b(?:name|nombre|nom|kontakt|contact|patient|author)\b) ?[:=] ?([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+){1,2})")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_SEPARATOR = re.compile(r"[/_+-]+")
+#: A word, a date or number, or a letter with a number, as between the separators of a path.
+_PIECE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[A-Za-z]?[0-9]{1,8}")
 _NATIONAL = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
 #: Code points before a span that the context labelers read.
 _BEFORE = 32
@@ -135,14 +144,28 @@ def _iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def wide_spans(text: str, base: list[Span]) -> list[Span]:
+def _known_names(text: str, names: frozenset[str]) -> Iterator[Span]:
+    """Of each run of capitalised words: a first name of the gazetteer with the one or two words after it."""
+    for run in _CAPITALISED.finditer(text):
+        start, words = run.start(), run[0].split(" ")
+        i = 0
+        while i < len(words):
+            some = words[i : i + 3] if words[i].lower() in names else words[i : i + 1]
+            long = sum(map(len, some)) + len(some) - 1
+            if len(some) > 1:
+                yield start, start + long, "name"
+            start, i = start + long + 1, i + len(some)
+
+
+def wide_spans(text: str, base: list[Span], names: frozenset[str] = FIRST_NAMES) -> list[Span]:
     """Proposed spans that touch no base span and not each other; the kinds' order decides between them."""
-    found: list[Span] = []
+    found: list[Span] = list(_known_names(text, names))
     digits = bool(_DIGIT.search(text))
     for kind, pattern in _WIDE.items():
         if kind == "name" or digits:
             found += [(m.start(1), m.end(1), kind) for m in pattern.finditer(text) if kind != "secret" or _DIGIT.search(m[1]) and not m[1].isdigit()]
     if "=" in text or ":" in text:
+        found += [(m.start(1), m.end(1), "name") for m in _NAMED.finditer(text)]
         found += [(m.start(1), m.end(1), "secret") for m in _ASSIGNED.finditer(text)]
     if not found:
         return []
@@ -162,7 +185,17 @@ def _form(kind: str, value: str) -> int:
         return 1 if _iban(value) else -1
     if kind == "national_id":
         return 1 if _NATIONAL.fullmatch(value) else -1
-    return 1 if kind == "secret" and _HEX.fullmatch(value) else 0
+    return 0
+
+
+def _plain(kind: str, value: str) -> bool:
+    """A single word, a uuid, or at least three words, numbers and dates between separators, as in a path."""
+    if kind == "name":
+        return False
+    if value.isalpha() or _UUID.fullmatch(value):
+        return True
+    pieces = _SEPARATOR.split(value) if kind == "secret" else ()
+    return len(pieces) >= 3 and all(map(_PIECE.fullmatch, pieces))
 
 
 def _listed(kind: str, value: str, names: frozenset[str]) -> int:
@@ -182,7 +215,7 @@ def votes(text: str, span: Span, names: frozenset[str] = FIRST_NAMES) -> tuple[i
     if start > _BEFORE:
         before = re.sub(r"^\w+", "", before)  # the rest of a word that begins further ahead
     words = set(re.findall(r"[^\W_]+", before))
-    plain = -1 if value.isalpha() and kind != "name" or before.endswith(("://", "www.")) else 0
+    plain = -1 if _plain(kind, value) or before.endswith(("://", "www.")) else 0
     harmless = -1 if words & _HARMLESS else 0
     near = 1 if (_KEY.search(before) if kind == "secret" else words & _NEAR[kind]) else 0
     mixed = 1 if kind == "secret" and sum(c.isdigit() for c in value) >= 2 and len(set(value)) >= 8 else 0
@@ -229,12 +262,16 @@ class SpanModel:
     prior: dict[str, float]
     weights: np.ndarray
     names: frozenset[str] = FIRST_NAMES
+    _known: dict[tuple, float] = field(default_factory=dict, repr=False, compare=False)  # as many as there are buckets, at most
 
     def probability(self, kind: str, ballot: tuple[int, ...], buckets: tuple[int, ...]) -> float:
-        return 1 / (1 + math.exp(-float(np.clip(self.weights @ _features(kind, ballot, buckets), -30, 30))))
+        cell = (kind, ballot, buckets)
+        if cell not in self._known:
+            self._known[cell] = 1 / (1 + math.exp(-float(np.clip(self.weights @ _features(*cell), -30, 30))))
+        return self._known[cell]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        return [s for s in wide_spans(text, base) if self.probability(s[2], votes(text, s, self.names), shape(text, s)) >= 0.5]
+        return [s for s in wide_spans(text, base, self.names) if self.probability(s[2], votes(text, s, self.names), shape(text, s)) >= 0.5]
 
     def spans(self, text: str) -> list[Span]:
         base = base_spans(text)
@@ -250,7 +287,7 @@ def _assumed() -> np.ndarray:
     shares = np.tile(by_labeler, (len(ADDED), 1, 1, 1))
     for kind in ("national_id", "bank_account"):  # rules that a true number can't break
         shares[ADDED.index(kind), 0] = ((0.5, 0.3, 0.2), (0.01, 0.2, 0.79))
-    silent = [(ADDED.index("name"), 0), *((k, 5) for k, kind in enumerate(ADDED) if kind != "secret")]  # no such labeler for the kind
+    silent = [(ADDED.index("name"), 0), (ADDED.index("secret"), 0), *((k, 5) for k, kind in enumerate(ADDED) if kind != "secret")]  # no such labeler for the kind
     for k, i in silent:
         shares[k, i] = (0.01, 0.98, 0.01)
     return shares
@@ -258,6 +295,10 @@ def _assumed() -> np.ndarray:
 
 #: The labelers' reliability at the start, which counts as if seen on so many spans of each class.
 ASSUMED, AS_MANY = _assumed(), 20
+#: Bounds on the share of private spans of a kind, whose pull would otherwise outweigh all labelers in a one-sided corpus.
+SHARES = (0.1, 0.9)
+#: Pull of the classifier's weights to zero: of constants and votes, and of shapes.
+RIDGE = (0.01, 1.0)
 #: Weight of each pattern of votes among the classifier's examples, and of all seen spans of a kind, at most.
 PATTERN_WEIGHT, SEEN_WEIGHT = 0.5, 1000.0
 
@@ -292,19 +333,24 @@ def estimate(cells: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], nam
     ballots = np.array([v for _, v, *_ in cells], int).reshape(-1, _LABELERS) + 1
     count = np.array([c[3] for c in cells], float)
     reliability, share = maximise(kinds, ballots, count)
+    share = np.clip(share, *SHARES)
 
     every = [(k, v) for k in ADDED for v in _PATTERNS]
     x = np.array([_features(k, v, b) for k, v, b, _ in cells] + [_features(k, v) for k, v in every])
+    for k in set(kinds.tolist()):  # patterns in the mean shape of their kind
+        at = len(cells) + np.flatnonzero([ADDED.index(kind) == k for kind, _ in every])
+        x[at, _OF_KIND * len(ADDED) :] = np.average(x[: len(cells), _OF_KIND * len(ADDED) :][kinds == k], axis=0, weights=count[kinds == k])
     kinds = np.append(kinds, [ADDED.index(k) for k, _ in every])
     private = _posterior(reliability, share, kinds, np.concatenate([ballots, np.array([v for _, v in every]) + 1]))
     of_kind = np.bincount(kinds[: len(cells)], count, len(ADDED))
     count = count * np.minimum(1, SEEN_WEIGHT / np.maximum(1, of_kind))[kinds[: len(cells)]]  # alike at every size of corpus
     count = np.append(count, np.full(len(every), PATTERN_WEIGHT))
     weights = np.zeros(x.shape[1])
+    ridge = np.repeat(RIDGE, (_OF_KIND * len(ADDED), sum(_SIZES)))
     for _ in range(30):  # Newton steps of a logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (count * (private - p)) - 0.01 * weights
-        curve = (x * (count * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.01 * np.eye(len(weights))
+        slope = x.T @ (count * (private - p)) - ridge * weights
+        curve = (x * (count * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
         weights = weights + np.clip(np.linalg.solve(curve, slope), -2, 2)
     return SpanModel(reliability, dict(zip(ADDED, share.tolist(), strict=True)), weights, names)
 
@@ -316,7 +362,7 @@ def learn(docs: DataFrame, text: str = "text", names: frozenset[str] = FIRST_NAM
         cells: dict[tuple, int] = {}
         for batch in batches:
             for t in batch["text"]:
-                for span in wide_spans(t, base_spans(t)):
+                for span in wide_spans(t, base_spans(t), names):
                     cell = (span[2], votes(t, span, names), shape(t, span))
                     cells[cell] = cells.get(cell, 0) + 1
         yield pd.DataFrame([(k, list(v), list(s), n) for (k, v, s), n in cells.items()], columns=["kind", "votes", "shape", "n"])

@@ -32,7 +32,7 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def _state(source: DataFrame) -> str:
+def state_of(source: DataFrame) -> str:
     """A digest of the files that ``source`` reads: a file that is added, changed or gone makes another one."""
     files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     row = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
@@ -45,7 +45,7 @@ def index_of(chunks: DataFrame, source: DataFrame, name: str, **how: index.Analy
     The first search of a session builds it; it is built again when the files change.
     """
     spark = chunks.sparkSession
-    key = (spark.sparkContext.applicationId, f"{name}-{_state(source)}")
+    key = (spark.sparkContext.applicationId, f"{name}-{state_of(source)}")
     if key not in _BUILT:
         path = f"{shared_folder(spark)}/index-{key[0]}-{key[1]}"
         index.write_index(chunks, path, **how)

@@ -25,7 +25,7 @@ MOST_BYTES = 64 << 20
 ROWS, QUERIES = 4096, 512
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+def scores_of(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer; NaN for the cosine with a zero vector."""
     products = queries @ vectors.T
     squares_q, squares_v = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", vectors, vectors)
@@ -42,7 +42,7 @@ def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray
     return out
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_places(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the ``k`` largest of each row, of equal ones the first; NaN is never chosen."""
     scores = np.where(np.isnan(scores), -np.inf, scores)
     if scores.shape[1] > k:
@@ -56,7 +56,7 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[nth < k], column[nth < k]
 
 
-def _matrix(column: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix_of(column: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of ``size`` numbers without null as doubles, and which rows they are."""
     good = np.array([v is not None and len(v) == size for v in column], bool)
     rows = np.array([np.asarray(v, float) for v in column[good]], float).reshape(int(good.sum()), size)
@@ -64,6 +64,40 @@ def _matrix(column: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[whole], np.flatnonzero(good)
 
 
+def best_of(found: list[pd.DataFrame], k: int) -> pd.DataFrame | None:
+    """The best ``k`` of each query among lists of a task; None if there are none."""
+    found = [f for f in found if len(f)]
+    if not found:
+        return None
+    every = pd.concat(found, ignore_index=True).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+    return every[every.groupby("query_id", sort=False).cumcount() < k]
+
+
+def shape_of(queries: DataFrame, vectors: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+
+
+def usable(queries: DataFrame) -> DataFrame:
+    """Queries whose vectors have components, all of them finite."""
+    return queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
+
+
+def in_passes(asked: DataFrame, most_bytes: int, one: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``one`` makes of the queries, of at most about ``most_bytes`` of vectors at once; more than one pass are written."""
+    spark = asked.sparkSession
+    total = asked.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // most_bytes))
+    if passes == 1:
+        return one(asked.toPandas())
+    folder, parts = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}", []
+    for i in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()
+        if len(part):
+            one(part).write.parquet(f"{folder}/{i}")
+            parts.append(spark.read.parquet(f"{folder}/{i}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _pass(pool: DataFrame, asked: pd.DataFrame, k: int, metric: str, shape: str, fits: Fits | None) -> DataFrame:
     by_size = [(g.drop(columns="vector").reset_index(drop=True), np.stack([np.asarray(v, float) for v in g["vector"]])) for _, g in asked.groupby(asked["vector"].map(len))]
     sent = pool.sparkSession.sparkContext.broadcast(by_size)
@@ -74,20 +108,17 @@ def _pass(pool: DataFrame, asked: pd.DataFrame, k: int, metric: str, shape: str,
             batch = batch.sort_values("chunk_id", kind="stable").reset_index(drop=True)
             found = [] if best is None else [best]
             for facts, queries in sent.value:
-                vectors, at = _matrix(batch["embedding"], queries.shape[1])
+                vectors, at = matrix_of(batch["embedding"], queries.shape[1])
                 rows = batch.iloc[at]
                 names, ids = rows["chunk_id"].to_numpy(), facts["query_id"].to_numpy()
                 for i in range(0, len(queries), QUERIES):
                     for j in range(0, len(vectors), ROWS):
-                        scores = np.round(_scores(queries[i : i + QUERIES], vectors[j : j + ROWS], metric), 9)
+                        scores = np.round(scores_of(queries[i : i + QUERIES], vectors[j : j + ROWS], metric), 9)
                         if fits is not None:
                             scores[~fits(facts.iloc[i : i + QUERIES], rows.iloc[j : j + ROWS])] = -np.inf
-                        row, column = _best(scores, k)
+                        row, column = best_places(scores, k)
                         found.append(pd.DataFrame({"query_id": ids[i + row], "chunk_id": names[j + column], "score": scores[row, column]}))
-            found = [f for f in found if len(f)]
-            if found:
-                every = pd.concat(found, ignore_index=True).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-                best = every[every.groupby("query_id", sort=False).cumcount() < k]
+            best = best_of(found, k)
         if best is not None:
             yield best
 
@@ -101,19 +132,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     equal ones go by ``chunk_id``. Null vectors, such with null or non-finite components, of another length than the query's, and for cosines zero
     ones, are near nothing. With ``fits`` both tables keep their further columns for it.
     """
-    spark = vectors.sparkSession
     pool = (vectors if fits else vectors.select("chunk_id", "embedding")).where("embedding is not null")
-    asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
+    asked = usable(queries)
     asked = asked if fits else asked.select("query_id", "vector")
-    shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    total = asked.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // most_bytes))
-    if passes == 1:
-        return _pass(pool, asked.toPandas(), k, metric, shape, fits)
-    folder, parts = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}", []
-    for i in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()
-        if len(part):
-            _pass(pool, part, k, metric, shape, fits).write.parquet(f"{folder}/{i}")
-            parts.append(spark.read.parquet(f"{folder}/{i}"))
-    return reduce(DataFrame.unionByName, parts)
+    return in_passes(asked, most_bytes, lambda part: _pass(pool, part, k, metric, shape_of(queries, vectors), fits))

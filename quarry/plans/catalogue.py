@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import chunk_table, chunking, context, evaluation, fuse, index, library, logs, miner, requests, retrieve, substring
+from quarry.operators import chunk_table, chunking, context, evaluation, fuse, index, library, logs, miner, requests, retrieve, substring, vector_cells
 from quarry.plans import hybrid
 from quarry.plans import tables as D
 from quarry.sources import readers, sinks
@@ -154,6 +154,13 @@ def knn_cosine_top30(spark: SparkSession, d: str) -> DataFrame:
     return shown(retrieve.semantic(D.vector_queries(spark, d), D.vectors(spark, d)))
 
 
+@query
+def knn_cells_top30(spark: SparkSession, d: str) -> DataFrame:
+    """The stored vectors in cells, of which each query's search reads those that may hold a neighbour."""
+    cells = vector_cells.cells_of(D.vectors(spark, d), D.table(spark, d, "embeddings"))
+    return shown(retrieve.ranked(vector_cells.nearest_in_cells(D.vector_queries(spark, d), cells, 30), 30))
+
+
 @query
 def knn_filtered_pre(spark: SparkSession, d: str) -> DataFrame:
     rows = D.vectors(spark, d)

@@ -326,6 +326,7 @@ ORACLES = {
         TERMS.replace(tokens("query"), word_tokens("query")), kw_scores()) + shown(f"({best('kw_scores', 30)})"),
     "knn_l2_top30": with_(VECTORS, L2) + shown(f"({best('knn', 30)})"),
     "knn_cosine_top30": with_(VECTORS, COS) + shown(f"({best('knn', 30)})"),
+    "knn_cells_top30": with_(VECTORS, COS) + shown(f"({best('knn', 30)})"),
     "knn_filtered_pre": with_(VECTORS, COS) + shown(f"({best('(SELECT * FROM knn WHERE label = 3)', 30)})"),
     "knn_overfetch_postfilter": with_(VECTORS, COS, f"pool AS (SELECT query_id, chunk_id, score FROM ({best('knn', 240)}) WHERE label = 3)") + shown(f"({best('pool', 30)})"),
     "vector_norms": with_(VECTORS) + "SELECT chunk_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(list_dot_product(e, e), 6) AS square FROM vectors",

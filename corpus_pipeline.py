@@ -45,7 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: Jaccard similarity of five-word shingles 0.8 or more, each link compared.
 
     The smallest id stays, a null id only if there is no other; null and empty texts and texts of blanks are near copies of
-    one another; of rows equal in id and text one stays. MinHash finds the candidates: SimHash misses most pairs of 0.8 (see README).
+    one another; of rows equal in id and text one stays. SimHash fingerprints of the shingles find the candidates, up to six of
+    64 bits apart all of them; MinHash bands add near copies whose fingerprints lie further apart (see README).
     """
     return without_near_copies(docs, words=5)
 

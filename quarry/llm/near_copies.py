@@ -1,8 +1,11 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, the texts decide.
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints propose pairs, the texts decide.
 
-Each text gets ``BANDS * ROWS`` minima over its distinct shingles; two texts meet in a bucket if all minima of a band
-agree. A pair of similarity 0.8 meets in some band with probability 0.9994, one of 0.9 practically always. No
-pair is linked before the shingles of both texts were compared. Texts of equal shingle sets form one class.
+Each text gets a SimHash fingerprint of its distinct shingles, which goes to the covering tables of ``simhash_dedup``: all
+pairs within ``RADIUS`` bits meet in a bucket, none is missed. Fingerprints of near copies may lie further apart (some 10
+bits at a similarity of 0.8, 7 at 0.9); for these each text also gets ``BANDS * ROWS`` minima over its shingles, and two
+texts meet in a bucket too if all minima of a band agree. A pair of 0.8 meets in some band with probability 0.9994, one of
+0.9 practically always. No pair is linked before the shingles of both texts were compared. Texts of equal shingle sets form one
+class; those of so few shingles that no other set can be near go to no bucket.
 
 First neighbours in each bucket's order are compared, a number of pairs linear in the texts: one of each text's
 neighbours, then those that this leaves unconnected. Of the buckets whose
@@ -32,7 +35,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
 from quarry.llm.shared import HOT_KEYS, checkpointed
+from quarry.llm.simhash_dedup import BITS, bits_set, covering_masks, majority
 
+#: Bits by which fingerprints may differ and yet are sure to meet in a table.
+RADIUS = 6
 BANDS, ROWS = 40, 8
 #: Least similarity of near copies, in tenths, so that no rounding decides.
 TENTHS = 8
@@ -56,30 +62,48 @@ def shingles(text: str | None, words: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
 
 
-def sketch(text: str | None, words: int) -> tuple[bytes, int, list[int], list[int]]:
-    """A name of the shingle set, its size, a map with a bit set for each shingle (several may share one), and the keys of the bands."""
+def sketch(text: str | None, words: int) -> tuple[bytes, int, int, list[int], list[int]]:
+    """A name of the shingle set, its size, its fingerprint, a map with a bit set for each shingle (several may share one), and the keys of the bands."""
     found = shingles(text, words)
     hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
     name = xxhash.xxh3_128_digest(hashes.tobytes())
     if not found:
-        return name, 0, [0] * (MAP // 64), []
+        return name, 0, 0, [0] * (MAP // 64), []
+    ones = np.zeros(BITS, np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for start in range(0, len(hashes), BLOCK):
-        np.minimum(least, (hashes[start : start + BLOCK, None] * _FACTOR + _SUMMAND).min(0), out=least)
+        part = hashes[start : start + BLOCK]
+        ones += bits_set(part)
+        np.minimum(least, (part[:, None] * _FACTOR + _SUMMAND).min(0), out=least)
     keys = [xxhash.xxh64_intdigest(band.tobytes(), seed=t) for t, band in enumerate(least.reshape(BANDS, ROWS))]
     bits = np.packbits(np.bincount((hashes % np.uint64(MAP)).astype(np.int64), minlength=MAP) > 0).view(np.int64).tolist()
-    return name, len(found), bits, np.array(keys, np.uint64).view(np.int64).tolist()
+    return name, len(found), majority(ones, len(found)), bits, np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def _sketch_column(text: Column, words: int) -> Column:
-    @F.pandas_udf("node binary, n long, bits array<long>, keys array<long>")
+    @F.pandas_udf("name binary, n long, fp long, bits array<long>, keys array<long>")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([sketch(t, words) for t in batch], columns=["node", "n", "bits", "keys"])
+            yield pd.DataFrame([sketch(t, words) for t in batch], columns=["name", "n", "fp", "bits", "keys"])
 
     return sketches(text)
 
 
+def _classes(rows: DataFrame, words: int) -> DataFrame:
+    """One row for each set of shingles of ``rows`` (``who``, ``text``): a number ``node``, the least of ``who`` and the sketch; checkpointed."""
+    sketched = rows.select("who", _sketch_column(F.col("text"), words).alias("s")).select("who", "s.*")
+    first = F.min(F.struct(F.col("who.id").isNull(), "who")).alias("first")
+    classes = sketched.groupBy("name").agg(first, *(F.any_value(c).alias(c) for c in ("n", "fp", "bits", "keys"))).drop("name")
+    return checkpointed(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("who", F.col("first.who")).drop("first"))
+
+
+def _keyed(classes: DataFrame, *more: str) -> DataFrame:
+    """``node``, ``n``, ``more`` and each ``key``: buckets of the fingerprint's covering tables, and of the bands."""
+    tables = F.transform(F.array(*map(F.lit, covering_masks(RADIUS))), lambda mask: F.xxhash64(mask, F.col("fp").bitwiseAND(mask)))
+    others = classes.where(10 * F.col("n") >= TENTHS * (F.col("n") + 1))  # a set that is near to another of its size has more
+    return others.select("node", "n", *more, F.explode(F.concat(tables, "keys")).alias("key"))
+
+
 def _with_set(pairs: DataFrame, end: str, sets: DataFrame, total: int) -> DataFrame:
     """``pairs`` with the set of ``end``; the sets of nodes that many of the ``total`` pairs have stand in ``PARTS`` parts."""
     hot = pairs.groupBy(end).agg(F.count("*").alias("pairs")).where(F.col("pairs") * HOT_KEYS > total).select(F.col(end).alias("node"), F.lit(True).alias("hot"))
@@ -105,7 +129,6 @@ def _alike_in_size(a: Column, b: Column) -> Column:
 
 
 _ORDER = ["key", "n", "node"]
-_MET = "a binary, b binary, alike boolean, key long, n long"
 
 
 def _may_be_near(a: str, b: str) -> Column:
@@ -141,9 +164,11 @@ def _met(keyed: DataFrame) -> DataFrame:
     """``a``, ``b``, ``alike``: every member of a bucket with the next one of the bucket, whatever ranges they were dealt to; checkpointed."""
     partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.select(*_ORDER).repartitionByRange(partitions, *_ORDER).sortWithinPartitions(*_ORDER)
-    found = checkpointed(ordered.mapInPandas(_neighbours, _MET))
+    name = keyed.schema["node"].dataType.simpleString()
+    met = f"a {name}, b {name}, alike boolean, key long, n long"
+    found = checkpointed(ordered.mapInPandas(_neighbours, met))
     ends = found.where("b is null").select("key", "n", F.col("a").alias("node"))  # two rows a range: few, so one task orders them
-    across = ends.coalesce(1).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours, _MET)
+    across = ends.coalesce(1).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours, met)
     return checkpointed(found.union(across).where("b is not null").select("a", "b", "alike").distinct())
 
 
@@ -153,12 +178,16 @@ def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.hash("node"), F.lit(PARTS))).join(copies, ["key", "part"]).drop("part")
 
 
-def _apart(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (``node``, ``key``) in buckets that ``links`` don't connect, with ``root``; checkpointed."""
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` to which ``links`` connect ``node``; checkpointed."""
     roots = connected_components(links, "a", "b")
-    rooted = checkpointed(keyed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    buckets = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    return checkpointed(_with_bucket(rooted, buckets.where("least < most").select("key")))
+    return checkpointed(rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+def _apart(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (``node``, ``key``, ``root``) in buckets that have several roots; checkpointed."""
+    buckets = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    return checkpointed(_with_bucket(keyed, buckets.where("least < most").select("key")))
 
 
 def _grams(text: str | None, words: int) -> np.ndarray:
@@ -204,7 +233,7 @@ def _rarest(sets: DataFrame) -> DataFrame:
                     rows.append((node, own, grams[np.lexsort([grams, seen])][own:most].view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "own", "rare"])
 
-    return checkpointed(sets.select("node", "grams").mapInPandas(choose, "node binary, own int, rare array<long>"))
+    return checkpointed(sets.select("node", "grams").mapInPandas(choose, "node long, own int, rare array<long>"))
 
 
 def _share_a_rarest() -> Column:
@@ -231,13 +260,10 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
 def _links(classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Links ``a``, ``b`` of near copies that connect what all pairs of near copies with a common bucket connect."""
-    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
-    met = _met(keyed)
+    met = _met(_keyed(classes))
     nodes = checkpointed(met.select("a").union(met.select("b")).toDF("node").distinct())
-    chosen = classes.join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
-    r, c = rows.alias("r"), chosen.alias("c")
-    same = (F.col("r.mark") == F.col("c.mark")) & F.col("r.id").eqNullSafe(F.col("c.id"))
-    sets = _sets(r.join(c, same).select("c.node", "r.text").dropDuplicates(["node"]), words)
+    meeting = checkpointed(classes.join(nodes, "node"))
+    sets = _sets(rows.join(meeting.select("node", "who"), "who").dropDuplicates(["who"]), words)
     alike = met.where("alike").select("a", "b")
     links = _confirmed(alike.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)  # one pair for each text first
     roots = connected_components(links, "a", "b")
@@ -245,15 +271,15 @@ def _links(classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     rest = alike.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = checkpointed(links.union(_confirmed(rest, sets)))
 
-    live = _apart(keyed.join(nodes, "node"), links)
+    live = _apart(_keyed(_rooted(meeting.select("node", "n", "fp", "keys"), links), "root"))
     live = live.join(_rarest(live.select("node").distinct().join(sets, "node")), "node")
-    live = checkpointed(live.join(classes.select("node", "bits"), "node"))
+    live = checkpointed(live.join(meeting.select("node", "bits"), "node"))
     ordinary = live.groupBy("key").agg(F.min(F.struct("own", "node", "n", "root", "bits")).alias("o"))
     beside = _with_bucket(live, ordinary).where("root <> o.root").where(_may_be_near("", "o."))
     pairs = beside.where(_alike_in_size(F.col("n"), F.col("o.n"))).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     links = checkpointed(links.union(_confirmed(pairs, sets)))
 
-    live = _apart(live, links)
+    live = _apart(_rooted(live, links))
     x, y = live.alias("x"), live.alias("y")
     rest = x.join(
         y,
@@ -265,14 +291,10 @@ def _links(classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
     """``docs`` less near copies: of each component one row stays, that with the smallest id (a null id comes last)."""
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    sketched = rows.select("id", "mark", _sketch_column(F.col("text"), words).alias("s")).select("id", "mark", "s.*")
-    first = F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first")
-    classes = checkpointed(sketched.groupBy("node").agg(first, *(F.any_value(c).alias(c) for c in ("n", "bits", "keys"))))
+    who = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("mark")).alias("who")
+    rows = docs.select(who, F.col(text).alias("text"))
+    classes = _classes(rows, words)
     roots = connected_components(_links(classes, rows, words), "a", "b")
-    rooted = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.mark"))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark"))
-    m, k = marked.alias("m"), kept.alias("k")
-    same = (F.col("m.mark") == F.col("k.mark")) & F.col("m.id").eqNullSafe(F.col("k.id"))
-    return m.join(k, same, "left_semi").dropDuplicates(["id", "mark"]).select("row.*")
+    rooted = classes.select("node", "who").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "who")
+    kept = checkpointed(rooted.groupBy("root").agg(F.min(F.struct(F.col("who.id").isNull(), "who")).alias("first")).select("first.who"))
+    return docs.select(F.struct(*docs.columns).alias("row"), who).join(kept, "who", "left_semi").dropDuplicates(["who"]).select("row.*")

@@ -33,6 +33,16 @@ LARGE_BUCKET = 4096
 BLOCK = 1 << 15
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes have, as a signed 64-bit integer."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The fingerprint of one text, as a signed 64-bit integer."""
     tokens = (text or "").encode().lower().split()  # bytes: only A-Z change, only the six ASCII blanks part words
@@ -46,9 +56,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     for start in range(0, len(shingles), BLOCK):
         part = shingles[start : start + BLOCK]
-        hashes = np.fromiter((digest(s, 42) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+        ones += bits_set(np.fromiter((digest(s, 42) for s in part), np.uint64, len(part)))
+    return majority(ones, len(shingles))
 
 
 def fingerprint_column(text: Column, words: int) -> Column:

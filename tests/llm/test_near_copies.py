@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -155,3 +156,48 @@ def test_neighbours_across_ranges(spark):
             assert got == [(bytes([k, n]), bytes([k, n + 1])) for k in range(6) for n in range(1, 8)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def distance(a, b):
+    """Bits in which the fingerprints of two texts differ, from all hashes of their shingles."""
+    prints = []
+    for t in (a, b):
+        hashes = [xxhash.xxh64_intdigest(" ".join(s)) for s in slow_shingles(t)]
+        prints.append(sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)))
+    return (prints[0] ^ prints[1]).bit_count()
+
+
+def test_fingerprints_find_near_copies_that_share_no_band(spark):
+    """Pairs of exactly 0.8 within six bits, of which no band of minima agrees."""
+    rows = []
+    for seed in (3595, 11277, 13717):
+        rng = random.Random(seed)
+        base = text(rng, 44)
+        rows += [(2 * seed, " ".join(base)), (2 * seed + 1, " ".join(base + text(rng, 10)))]
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        assert jaccard(slow_shingles(a), slow_shingles(b)) == 0.8 and distance(a, b) <= 6
+        assert not set(N.sketch(a, 5)[-1]) & set(N.sketch(b, 5)[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.without_near_copies(docs).collect()) == [i for i, _ in rows[::2]]
+
+
+def test_covering_tables_alone_miss_no_near_copies_within_the_radius(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = text(rng, 120)
+        rows += [(10 * g + k, " ".join(changed(rng, base, k))) for k in range(4)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    who = F.struct("id", F.xxhash64("text").alias("mark")).alias("who")
+    found = docs.select(who, "text")
+    classes = N._classes(found, 5).withColumn("keys", F.array().cast("array<long>"))
+    ids = {r.node: r.who.id for r in classes.collect()}
+    links = [(ids[r.a], ids[r.b]) for r in N._links(classes, found, 5).collect()]
+    texts, root = dict(rows), {i: i for i in ids.values()}
+    assert len(root) == len(rows) and all(jaccard(slow_shingles(texts[a]), slow_shingles(texts[b])) >= 0.8 for a, b in links)
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    near = [(a, b) for g in range(30) for a in range(10 * g, 10 * g + 4) for b in range(a + 1, 10 * g + 4) if jaccard(slow_shingles(texts[a]), slow_shingles(texts[b])) >= 0.8]
+    within = [(a, b) for a, b in near if distance(texts[a], texts[b]) <= 6]
+    assert 20 < len(within) < len(near) and all(root[a] == root[b] for a, b in within)

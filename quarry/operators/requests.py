@@ -7,6 +7,8 @@ request and chunk before anything is ranked.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,7 +48,8 @@ def found(requests: DataFrame, chunks: DataFrame, stored: I.Index, k: int = retr
     facts = chunks.select("chunk_id", "facet", "is_toc")
 
     def kept(rows: DataFrame) -> DataFrame:
-        return rows.join(facts, "chunk_id").join(requests.select("query_id", "facets", "exclude_toc"), "query_id").where(_fits()).drop("facet", "is_toc", "facets", "exclude_toc")
+        asked = I.sent(requests, requests.select("query_id", "facets", "exclude_toc"))
+        return rows.join(facts.hint("shuffle_hash"), "chunk_id").join(asked, "query_id").where(_fits()).drop("facet", "is_toc", "facets", "exclude_toc")
 
     def of(mode: str) -> DataFrame:
         return requests.where(F.col("mode").isin(mode, "hybrid"))
@@ -69,11 +72,13 @@ def answered(requests: DataFrame, chunks: DataFrame, stored: I.Index, budget: in
     """
     every = safe(requests)
     asked = every.where("query <> ''")
+    if stored.chunks is not None and stored.vectors is not None:  # made once for both searches
+        stored = replace(stored, vectors=library.kept(stored.vectors, "vectors"))
     first = library.kept(found(asked, chunks, stored), "found")  # at most ``MOST_TOP`` rows a request
     bare = asked.where("facets is not null").join(first.select("query_id").distinct(), "query_id", "left_anti")
     again = library.kept(found(bare.withColumn("facets", F.lit(None).cast("array<string>")), chunks, stored), "found-again")
     results = first.withColumn("was_relaxed", F.lit(False)).union(again.withColumn("was_relaxed", F.lit(True)))
-    blocks = context.within_budget(results, chunks.drop("facet", "is_toc"), budget)
+    blocks = context.within_budget(I.sent(results), chunks.drop("facet", "is_toc"), budget)
     parts = F.array_sort(F.collect_list(F.struct("rk", "block", "chunk_id")))  # at most ``MOST_TOP``
     served = blocks.groupBy("query_id").agg(parts.alias("parts"), F.max("used").alias("used"))
     counted = results.groupBy("query_id").agg(F.max("was_relaxed").alias("was_relaxed"))

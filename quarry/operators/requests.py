@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import context, fuse, library, retrieve
+from quarry.operators import context, fuse, library, retrieve, term_blocks
 from quarry.operators import index as I
 
 MODES = ("keyword", "semantic", "fallback", "hybrid")
@@ -43,7 +43,7 @@ def _fits_block(queries: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
     return facets[:, code] & ~(queries["exclude_toc"].to_numpy(bool)[:, None] & toc)
 
 
-def found(requests: DataFrame, chunks: DataFrame, stored: I.Index, k: int = retrieve.DEFAULT.topk_per_mode) -> DataFrame:
+def found(requests: DataFrame, chunks: DataFrame, stored: I.Index, k: int = retrieve.DEFAULT.topk_per_mode, hits: DataFrame | None = None) -> DataFrame:
     """``query_id``, ``chunk_id``, ``rk`` of ``safe`` requests, each by its own mode and filters; ``chunks`` has ``chunk_id``, ``facet``, ``is_toc``."""
     facts = chunks.select("chunk_id", "facet", "is_toc")
 
@@ -54,12 +54,15 @@ def found(requests: DataFrame, chunks: DataFrame, stored: I.Index, k: int = retr
     def of(mode: str) -> DataFrame:
         return requests.where(F.col("mode").isin(mode, "hybrid"))
 
-    lists = {"keyword": retrieve.ranked(kept(retrieve.keyword_scores(of("keyword"), chunks, stored=stored)), k)}
+    if stored.chunks is not None and term_blocks.fit(retrieve.query_terms(of("keyword"), stored.analyse)):
+        lists = {"keyword": retrieve.keyword(of("keyword"), chunks, k, stored=replace(stored, chunks=chunks), fits=_fits_block, facts=("facet", "is_toc"))}
+    else:
+        lists = {"keyword": retrieve.ranked(kept(retrieve.keyword_scores(of("keyword"), chunks, stored=stored)), k)}
     if stored.vectors is not None and stored.embed is not None:
         asked = of("semantic").withColumn("vector", stored.embed(F.col("query")))
         lists["semantic"] = retrieve.semantic(asked, stored.vectors.join(facts, "chunk_id"), k, fits=_fits_block)
-    lists["fallback"] = retrieve.fallback(of("fallback"), chunks, k, stored=stored, keep=kept)
-    every = fuse.together(lists).join(requests.select("query_id", "mode", "top_n"), "query_id")
+    lists["fallback"] = retrieve.fallback(of("fallback"), chunks, k, stored=stored, keep=kept, hits=hits)
+    every = library.kept(fuse.together(lists), "lists").join(requests.select("query_id", "mode", "top_n"), "query_id")
     single = every.where("mode <> 'hybrid' and rk <= top_n").select("query_id", "chunk_id", "rk")
     mixed = fuse.rrf(every.where("mode = 'hybrid'").drop("mode", "top_n"), top_n=MOST_TOP).join(requests.select("query_id", "top_n"), "query_id")
     return single.union(mixed.where("rk <= top_n").select("query_id", "chunk_id", "rk"))
@@ -72,11 +75,13 @@ def answered(requests: DataFrame, chunks: DataFrame, stored: I.Index, budget: in
     """
     every = safe(requests)
     asked = every.where("query <> ''")
-    if stored.chunks is not None and stored.vectors is not None:  # made once for both searches
-        stored = replace(stored, vectors=library.kept(stored.vectors, "vectors"))
-    first = library.kept(found(asked, chunks, stored), "found")  # at most ``MOST_TOP`` rows a request
+    hits = None
+    if stored.chunks is not None:  # made once for both searches
+        stored = replace(stored, stats=library.kept(stored.stats, "stats"), vectors=stored.vectors and library.kept(stored.vectors, "vectors"))
+        hits = retrieve.word_hits(retrieve.query_words(asked.where(F.col("mode").isin("fallback", "hybrid"))), stored)
+    first = library.kept(found(asked, chunks, stored, hits=hits), "found")  # at most ``MOST_TOP`` rows a request
     bare = asked.where("facets is not null").join(first.select("query_id").distinct(), "query_id", "left_anti")
-    again = library.kept(found(bare.withColumn("facets", F.lit(None).cast("array<string>")), chunks, stored), "found-again")
+    again = library.kept(found(bare.withColumn("facets", F.lit(None).cast("array<string>")), chunks, stored, hits=hits), "found-again")
     results = first.withColumn("was_relaxed", F.lit(False)).union(again.withColumn("was_relaxed", F.lit(True)))
     blocks = context.within_budget(I.sent(results), chunks.drop("facet", "is_toc"), budget)
     parts = F.array_sort(F.collect_list(F.struct("rk", "block", "chunk_id")))  # at most ``MOST_TOP``
